@@ -18,6 +18,8 @@ U64 = np.uint64
 # ASCII white space is 0x20 and 0x09-0x0D; A-Z are lowered, no other letter is.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII that is no letter or digit parts words here; bytes of other characters never do.
+NO_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -76,12 +78,12 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the number of its first word (n + 1 values)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~IS_SPACE[data]
+    solid = ~parts[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
     first, last = solid.copy(), solid.copy()
