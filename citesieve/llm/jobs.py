@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,14 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the cluster's shared folder; without one configured (tests), in a new local folder."""
+    """Cut the lineage with a copy in the cluster's shared folder; without one configured (tests), in a new local folder.
+
+    Shuffle files and copies that only earlier steps needed are let go first: Spark deletes them when the
+    driver collects their handles.
+    """
     context = df.sparkSession.sparkContext
+    gc.collect()
+    context._jvm.System.gc()
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
