@@ -2,19 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import block_naming, chat_views, decontaminate, language_id, lpt_shards, ngram_join, poisson_mix, repeated_bytes, token_counts, toxicity
 from .jobs import table
 
 
+def _crc(modulus: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def op1_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_views.rotated(table(spark, sf_dir, "conversations"))
+    return views.select("conv_id", "speaker", "turn", "role", "name", F.md5("segment").alias("segment_md5"), "start", "trained_from", "trained_to")
+
+
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.without_repeats(table(spark, sf_dir, "documents"), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lpt_shards.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8, keep_text=False)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = toxicity.scored(documents, toxicity.trained(documents, labels.filter(_crc(4) != 2)))
+    return scores.select("doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = poisson_mix.mixed(table(spark, sf_dir, "documents"), temperature=0.5, seed=7)
+    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy_no", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.trained(documents.filter(_crc(5) != 0))
+    return language_id.predicted(documents, model).select("doc_id", F.coalesce(_crc(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op10_ngram_join": op10_ngram_join}
+    return {
+        f.__name__: f
+        for f in (
+            op1_chat_views, op2_repeated_bytes, op3_token_counts, op4_lpt_shards, op5_decontaminate, op6_toxicity, op7_poisson_mix,
+            op8_language_id, op9_block_naming, op10_ngram_join, pipeline,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_views": chat_views.ORACLE_SQL, "op7_poisson_mix": poisson_mix.oracle_sql(0.5, 7), "op9_block_naming": block_naming.ORACLE_SQL}
