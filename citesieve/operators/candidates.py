@@ -3,7 +3,7 @@
 Any accepted candidate needs a year within the tolerance, so citations meet works on (key, year) equi-joins
 with the citation's year spread over the tolerance. The author key is lossless for lists that agree: their
 first surnames are equal, or of one length with equal first three and last two letters. Title words are the
-approximate arm: words of more than ``COMMON_SHARE`` of the works are left out. The rank is the sum of the
+approximate arm: words of more than ``COMMON_SHARE`` of the works (``LEAST_COMMON`` at least) are left out. The rank is the sum of the
 keys' inverse document frequencies, ties by record_id.
 """
 
@@ -18,7 +18,7 @@ from .compare import same_journal
 from .lookup import as_record
 from .staging import staged
 
-COMMON_SHARE, LEAST_WORD = 0.02, 4
+COMMON_SHARE, LEAST_COMMON, LEAST_WORD = 0.005, 20.0, 4
 
 
 def author_key(name: Column) -> Column:
@@ -47,7 +47,7 @@ def key_weights(keys: DataFrame) -> DataFrame:
     """(key, idf) of keys that are not too common; author keys always stay."""
     total = F.lit(float(max(1, keys.select("source", "record_id").distinct().count())))
     counted = keys.groupBy("key").agg(F.count("*").alias("df"))
-    return counted.filter(F.col("key").startswith("a:") | (F.col("df") <= F.greatest(total * COMMON_SHARE, F.lit(50.0)))).select("key", F.log(total / F.col("df") + 1).alias("idf"))
+    return counted.filter(F.col("key").startswith("a:") | (F.col("df") <= F.greatest(total * COMMON_SHARE, F.lit(LEAST_COMMON)))).select("key", F.log(total / F.col("df") + 1).alias("idf"))
 
 
 def _ranked(asked: DataFrame, keys: DataFrame, works: DataFrame, k: int, bonus: Column | None = None) -> DataFrame:
@@ -137,16 +137,14 @@ def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
 def title_search_unique(citations: DataFrame, works: DataFrame, source: str = "arXiv") -> DataFrame:
     """(ref_id, record): the one work of a source with a title ratio of 0.9 or more and an agreeing author list.
 
-    Titles that alike share a word or the first surname; those with more than one such work get none.
+    Lists that agree agree in their first surnames, so the author key loses none. Citations with more than
+    one such work get none.
     """
     works = works.filter(F.col("source") == source)
-    asked = citations.filter("title IS NOT NULL").select("ref_id", "title", "authors", "uses_et_al", helpers.normalize_title("title").alias("t"), helpers.normalize_author("first_author").alias("a"))
-    keys = F.concat(_title_words(F.col("t")), F.when(F.col("a") != "", F.array(author_key(F.col("a")))).otherwise(F.array().cast("array<string>")))
-    held = work_keys(works)
-    near = held.join(key_weights(held), "key").select("key", "record_id")
-    pairs = asked.select("ref_id", F.explode(keys).alias("key")).join(near, "key").select("ref_id", "record_id").distinct()
-    records = works.select("record_id", as_record().alias("record"))
-    met = pairs.join(records, "record_id").join(asked.drop("t", "a"), "ref_id")
+    asked = citations.filter("title IS NOT NULL").select("ref_id", "title", "authors", "uses_et_al", helpers.normalize_authors("authors").alias("names"))
+    asked = asked.filter("size(names) > 0").select("ref_id", "title", "authors", "uses_et_al", author_key(F.get("names", F.lit(0))).alias("key"))
+    held = works.select("record_id", as_record().alias("record")).withColumn("names", helpers.normalize_authors("record.surnames")).filter("size(names) > 0")
+    met = asked.join(held.select("record_id", "record", author_key(F.get("names", F.lit(0))).alias("key")), "key")
     met = met.withColumns({"sim": helpers.title_similarity(F.col("title"), F.col("record.title")), "list": helpers.compare_authors(F.col("authors"), F.col("record.surnames"), F.col("uses_et_al"))})
     return met.filter("sim >= 0.9 AND list.ok").groupBy("ref_id").agg(F.count("*").alias("n"), F.min_by("record", F.col("record_id")).alias("record")).filter("n = 1").select("ref_id", "record")
 

@@ -123,6 +123,7 @@ def validate_citations(
 
 
 def _as_results(df: DataFrame) -> DataFrame:
-    out = df.select(*[F.expr(e).alias(n) for n, e in RESULT.items()])
-    false = [f.name for f in out.schema.fields if f.dataType.typeName() == "boolean"]
-    return out.fillna(False, subset=false).fillna({"metadata_conflict_count": 0, "metadata_conflicts": ""})
+    kinds = dict(df.selectExpr(*[f"{e} AS `{n}`" for n, e in RESULT.items()]).dtypes)
+    known = {"boolean": "false", "int": "0"}
+    whole = lambda n, e: f"coalesce({e}, {known[kinds[n]]})" if kinds[n] in known and n != "Ref #" else e
+    return df.selectExpr(*[f"{whole(n, e)} AS `{n}`" for n, e in RESULT.items()])

@@ -37,10 +37,10 @@ ATOM = (
 )
 
 
-def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """(submission_id, text): one row per text file, or the rows of a parquet dataset that has both columns."""
+def read_submissions(spark: SparkSession, path: str, id_column: str = "submission_id", text_column: str = "text") -> DataFrame:
+    """(submission_id, text): the two columns of a parquet dataset, or one row per text file under a path that is none."""
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path).select("submission_id", "text")
+        return spark.read.parquet(path).select(F.col(id_column).alias("submission_id"), F.col(text_column).alias("text"))
     lists = spark.read.text(path, wholetext=True)
     return lists.select(F.xxhash64(F.input_file_name()).alias("submission_id"), F.col("value").alias("text"))
 
