@@ -29,6 +29,8 @@ CELLS_A_ROW = 1 << 13
 ORDER_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Set sizes within 4 percent are of one class; only classes that can link are joined.
 CLASS_BASE = 1.04
+#: Words of 64 bits in a set's parity sketch: each token flips one bit.
+SKETCH_WORDS = 32
 
 
 def _count_cells(n: int):
@@ -94,6 +96,15 @@ def _named(names: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(body), [None, pa.py_buffer(body.tobytes())]).cast(pa.binary())
 
 
+def _sketches(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Parity bits of each set. Sets differ in at least as many tokens as their sketches do in bits."""
+    out = np.zeros((len(begins) - 1) * SKETCH_WORDS, np.uint64)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    bit = (mix(tokens) >> U64(40)) % U64(64 * SKETCH_WORDS)
+    np.bitwise_xor.at(out, owner * SKETCH_WORDS + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return out
+
+
 def _prefixes(n: int, percent: int, shared):
     def prefix(batches):
         counts = shared.value
@@ -107,8 +118,9 @@ def _prefixes(n: int, percent: int, shared):
                 common = np.log2(1.0 + counts[(tokens >> U64(64 - COUNT_BITS)).astype(np.int64)])
                 weight[sizes > 0] = np.add.reduceat(common, begins[:-1][sizes > 0]) / sizes[sizes > 0]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), ragged(tokens[place], begins[:-1], lengths)],
-                ["doc_id", "n_shingles", "node", "weight", "prefix"],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), ragged(tokens[place], begins[:-1], lengths),
+                 ragged(_sketches(tokens, begins), np.arange(len(sizes)) * SKETCH_WORDS, np.full(len(sizes), SKETCH_WORDS))],
+                ["doc_id", "n_shingles", "node", "weight", "prefix", "sketch"],
             )
 
     return prefix
@@ -159,16 +171,27 @@ def _verified(percent: int, shared, orders: int):
     return verify
 
 
+def _within_reach(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave room for enough shared tokens: at most (sizes - differing bits) / 2."""
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    differ = "aggregate(zip_with(a_sketch, b_sketch, (x, y) -> bit_count(x ^ y)), 0, (n, k) -> n + k)"
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(f"(a_n + b_n - {differ}) * {100 + percent} >= {2 * percent} * (a_n + b_n)").select("a", "b")
+
+
 def _links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, shared, orders: int) -> DataFrame:
     """The pairs (a, b) of nodes that meet under the other orders too and are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = checkpointed(nodes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct())
+    pairs = checkpointed(_within_reach(nodes, pairs, percent))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = checkpointed(nodes.select("id", "node", "doc_id").join(wanted, "id"))
+    ids = asked.select(F.col("doc_id").alias("wanted_id")).distinct()
     texts = documents.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
-    sets = checkpointed(texts.select("text").mapInArrow(_sets(n), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens")))
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens"))
+    sets = texts.select("text").mapInArrow(_sets(n), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    sets = checkpointed(sets.join(asked.select("id", "node"), "node").select("id", "tokens"))
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
-    return checkpointed(met.mapInArrow(_verified(percent, shared, orders), "a binary, b binary"))
+    return checkpointed(met.mapInArrow(_verified(percent, shared, orders), "a bigint, b bigint"))
 
 
 def similar_components(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
@@ -183,22 +206,25 @@ def similar_components(documents: DataFrame, n: int = 5, percent: int = 80, orde
     documents = documents.select("doc_id", "text")
     context: SparkContext = documents.sparkSession.sparkContext
     shared = context.broadcast(token_counts(documents, n))
-    rows = checkpointed(documents.mapInArrow(_prefixes(n, percent, shared), "doc_id bigint, n_shingles bigint, node binary, weight double, prefix array<bigint>"))
+    rows = checkpointed(documents.mapInArrow(_prefixes(n, percent, shared), "doc_id bigint, n_shingles bigint, node binary, weight double, prefix array<bigint>, sketch array<bigint>"))
     some = rows.filter("n_shingles > 0")
-    nodes = checkpointed(some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("weight").alias("weight"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id")))
-    entries = nodes.select("node", "n", "weight", F.posexplode("prefix").alias("place", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("times"), F.max(F.struct("weight", "n", "node", "place")).alias("hub")).filter("times > 1").drop("times")
-    entries = checkpointed(entries.drop("weight").join(often, "token").select("token", "node", "n", "place", "hub"))
-    to_hub = entries.filter("hub.node <> node").filter(
-        f"{100 + percent} * least(n - place, hub.n - hub.place) >= {percent} * (n + hub.n)"
-    ).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    nodes = some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("weight").alias("weight"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
+    entries = nodes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
+    often = entries.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    entries = checkpointed(entries.join(often, "token"))
+    hubs = entries.join(nodes.select("id", "weight"), "id").groupBy("token").agg(F.max(F.struct("weight", "n", "id", "place")).alias("hub"))
+    to_hub = entries.join(hubs, "token").filter(
+        f"hub.id <> id AND {100 + percent} * least(n - place, hub.n - hub.place) >= {percent} * (n + hub.n)"
+    ).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
     links = _links(documents, nodes, checkpointed(to_hub), n, percent, shared, orders)
     labels = components(links)
     rest = _across(entries, labels, percent)
     if not rest.isEmpty():
         links = links.union(_links(documents, nodes, rest, n, percent, shared, orders))
         labels = components(links)
-    placed = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = nodes.select("id", "node").join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("label", "id").alias("label"))
+    placed = rows.select("doc_id", "n_shingles", "node").join(labelled, "node", "left")
     lowest = placed.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("lowest"))
     return placed.join(lowest, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -209,7 +235,7 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     For each token the component with most entries is not joined with itself: the other entries meet all
     entries. They are dealt by the token and a narrow class of set size, to the classes that can link.
     """
-    held = checkpointed(entries.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    held = checkpointed(entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
     most = held.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token").agg(F.max(F.struct("times", "label")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
     held = checkpointed(held.join(most.select("token", "most.label").withColumnRenamed("label", "main"), "token").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_BASE)))))
     # A partner of b tokens needs min(n - place, ...) >= percent (n + b) / (100 + percent), so b has an upper and a lower bound.
@@ -221,4 +247,4 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     pairs = left.join(held.alias("b"), ["token", "class"]).filter(
         f"a.label <> b.label and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)"
     )
-    return checkpointed(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+    return checkpointed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
