@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .jobs import checkpointed, small
 from .text import _BASE, LOWER, NO_ALNUM, U64, mix, slices, span_hashes, utf8, word_spans
 
-#: Where a mask has 1 the words must agree. The solid one alone finds every item of which 80 percent is left.
-MASKS = ("1111", "11011", "110101", "1100101", "10100011")
+#: Where a mask has 1 the words must agree. Whatever fifth of an item's words is exchanged, one of them still fits.
+MASKS = ("1111", "11011", "110101", "1100101", "10100011", "111")
+#: The last mask is only needed, and only used, for items of fewer words than this.
+SHORT_ITEM = 19
 #: Items are compared in pieces of up to this many words, so what a hit carries along is bounded.
 PIECE_WORDS = 128
 #: An item of fewer words is too short to tell where it comes from, and matches nothing.
@@ -56,7 +58,8 @@ def _cut_items(batches):
             pieces = -(-n // PIECE_WORDS)
             for k in range(pieces):
                 own = words[low + n * k // pieces : low + n * (k + 1) // pieces]
-                found = [(h, p) for number, mask in enumerate(MASKS) for p, h in enumerate(_seeds(own, mask, number).view(np.int64).tolist())]
+                masks = MASKS if n < SHORT_ITEM else MASKS[:-1]
+                found = [(h, p) for number, mask in enumerate(masks) for p, h in enumerate(_seeds(own, mask, number).view(np.int64).tolist())]
                 yield pa.RecordBatch.from_pylist(
                     [{"item_id": item, "item_words": n, "piece": k, "words": own.view(np.int64).tolist(), "seeds": [{"h": h, "at": p} for h, p in found]}],
                     pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("piece", pa.int32()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))]),

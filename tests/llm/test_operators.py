@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -218,8 +219,12 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
 
 
-def test_solid_seed_finds_every_item_of_which_80_percent_is_left():
-    for n in range(5, 400):
+def test_some_mask_fits_whatever_fifth_is_exchanged():
+    fits = lambda gone, n, mask: any(all(m == "0" or at + k not in gone for k, m in enumerate(mask)) for at in range(n - len(mask) + 1))
+    for n in range(decontaminate.LEAST_WORDS, decontaminate.SHORT_ITEM):
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(fits(set(gone), n, mask) for mask in decontaminate.MASKS)
+    for n in range(decontaminate.SHORT_ITEM, 2000):
         longest_run = -(-(n - n // 5) // (n // 5 + 1))
         assert longest_run >= len(decontaminate.MASKS[0])
 
