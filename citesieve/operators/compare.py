@@ -47,7 +47,7 @@ def matched_title(title: Column, metadata: Column, similarity: Column, a: Column
 
 def pages_match(start: Column, end: Column, metadata: Column) -> Column:
     """Equal first pages or overlapping ranges; locators that are no numbers are compared as text."""
-    parts = F.transform(F.split(metadata, r"(?U)[-–]\s*"), F.trim)
+    parts = F.transform(F.split(metadata, r"(?U)[-–]\s*"), lambda p: F.trim(p))
     first, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     number = lambda c: F.trim(c).try_cast("long")
     first, last = F.when(first != "", first), F.when(last != "", last)

@@ -14,7 +14,8 @@ AI_NOTE = "AI tracking parameter detected: utm_source=chatgpt"
 def parse_citations(citations: DataFrame) -> DataFrame:
     """citations (ref_id, ref, ...) with every extracted field; other columns are kept. No shuffle.
 
-    Steps are stacked so that a costly expression is computed once for those that read it.
+    Steps are stacked so that a costly expression is computed once for those that read it. Stage the result
+    (``staging.staged``) before filtering on extracted fields: Spark would push such filters below the extraction.
     """
     df = citations.withColumn("reference", text.fix_broken_urls(text.strip_list_marker(F.coalesce("ref", F.lit("")))))
     df = df.withColumns({"ref_clean": text.clean_reference(F.col("reference")), "urls": text.extract_urls(F.col("reference"))})

@@ -34,22 +34,22 @@ def registered(oracle: str | None = None, **tables: str) -> Callable[[Query], Qu
     return add
 
 
-def column_query(name: str, columns: dict[str, Column], oracle: str) -> None:
+def column_query(name: str, columns: Callable[[], dict[str, Column]], oracle: str) -> None:
     """A query that adds columns to the citations' ref_id."""
-    QUERIES[name] = lambda spark, sf_dir: fx.citations(spark, sf_dir).select("ref_id", *[c.alias(n) for n, c in columns.items()])
+    QUERIES[name] = lambda spark, sf_dir: fx.citations(spark, sf_dir).select("ref_id", *[c.alias(n) for n, c in columns().items()])
     ORACLES[name] = fx.sql(oracle)
 
 
-def body_query(name: str, body: str, columns: dict[str, Column], oracle: str) -> None:
+def body_query(name: str, body: str, columns: Callable[[], dict[str, Column]], oracle: str) -> None:
     """A query over rows that SQL makes from the citations."""
-    QUERIES[name] = lambda spark, sf_dir: fx._run(spark, sf_dir, body).select("ref_id", *[c.alias(n) for n, c in columns.items()])
+    QUERIES[name] = lambda spark, sf_dir: fx._run(spark, sf_dir, body).select("ref_id", *[c.alias(n) for n, c in columns().items()])
     ORACLES[name] = fx.sql(oracle)
 
 
-REF, V = F.col("ref"), F.col("v")
 PUBLISHED = "mode NOT IN (7, 8, 11)"
 LETTERS = fx._LETTERS.format("ref_id")
-parsed = lambda spark, sf_dir: parse_citations(fx.citations(spark, sf_dir))
+# Staged, so that filters on extracted fields read them and are not pushed below the extraction.
+parsed = lambda spark, sf_dir: staged(parse_citations(fx.citations(spark, sf_dir)))
 
 # --- splitting and cleaning ---------------------------------------------------------------------
 
@@ -69,18 +69,18 @@ def l1_split_references(spark, sf_dir):
 body_query(
     "l2_strip_list_marker",
     "SELECT ref_id, concat(CASE ref_id % 5 WHEN 0 THEN '12. ' WHEN 1 THEN '• ' WHEN 2 THEN 'a) ' WHEN 3 THEN ' 7] ' ELSE '' END, t_title) AS v FROM citations",
-    {"stripped": text.strip_list_marker(V)},
+    lambda: {"stripped": text.strip_list_marker(F.col("v"))},
     "SELECT ref_id, t_title AS stripped FROM citations",
 )
 body_query(
     "l3_fix_broken_urls",
     f"SELECT ref_id, concat('See https://x.org/abc- ', {LETTERS}, ' and a- b.') AS v FROM citations",
-    {"fixed": text.fix_broken_urls(V)},
+    lambda: {"fixed": text.fix_broken_urls(F.col("v"))},
     f"SELECT ref_id, concat('See https://x.org/abc-', {LETTERS}, ' and a- b.') AS fixed FROM citations",
 )
 column_query(
     "l4_clean_reference",
-    {"cleaned": text.clean_reference(REF)},
+    lambda: {"cleaned": text.clean_reference(F.col("ref"))},
     "SELECT ref_id, rtrim(CASE WHEN mode IN (8, 11) THEN split_part(ref, ' Available at', 1) ELSE ref END, ' .') AS cleaned FROM citations",
 )
 
@@ -105,69 +105,69 @@ JOURNAL = """CASE t_journal WHEN 'Sleep Medicine Reviews' THEN 'sleep' WHEN 'Nat
  WHEN 'Journal of Applied Studies' THEN 'journal of applied studies' WHEN 'Annals of Measured Systems' THEN 'annals of measured systems' WHEN 'BMC Pediatrics' THEN 'bmc pediatrics' ELSE lower(t_journal) END"""
 TITLE = "CASE mode WHEN 8 THEN 'Annual statistics page' WHEN 11 THEN 'Small notes' ELSE t_title END"
 only = lambda expr: f"CASE WHEN {PUBLISHED} THEN {expr} END"
-column_query("x1_author_surnames", {"authors": F.array_join(helpers.author_surnames(REF), ", ")}, f"SELECT ref_id, {AUTHORS} AS authors FROM citations")
+column_query("x1_author_surnames", lambda: {"authors": F.array_join(helpers.author_surnames(F.col("ref")), ", ")}, f"SELECT ref_id, {AUTHORS} AS authors FROM citations")
 body_query(
     "x2_uses_et_al",
     "SELECT ref_id, CASE ref_id % 3 WHEN 0 THEN concat(t_s1, ' et al. (2001)') WHEN 1 THEN concat(t_s1, ' ET  AL, 2001') ELSE concat(t_s1, ' et alia 2001') END AS v FROM citations",
-    {"et_al": text.uses_et_al(V)},
+    lambda: {"et_al": text.uses_et_al(F.col("v"))},
     "SELECT ref_id, ref_id % 3 <> 2 AS et_al FROM citations",
 )
 body_query(
     "x3_year",
     "SELECT ref_id, concat(t_s1, ' (', CAST(t_year AS STRING), CASE ref_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'a' ELSE '' END, ') 12345 pages') AS v FROM citations",
-    {"year_token": text.year_token(V), "year": text.year_value(V), "suffix": text.year_suffix(V)},
+    lambda: {"year_token": text.year_token(F.col("v")), "year": text.year_value(F.col("v")), "suffix": text.year_suffix(F.col("v"))},
     "SELECT ref_id, concat(CAST(t_year AS STRING), CASE ref_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'a' ELSE '' END) AS year_token, t_year AS year, CASE ref_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'a' END AS suffix FROM citations",
 )
-column_query("x4_extract_title", {"title": text.extract_title(REF)}, f"SELECT ref_id, {TITLE} AS title FROM citations")
+column_query("x4_extract_title", lambda: {"title": text.extract_title(F.col("ref"))}, f"SELECT ref_id, {TITLE} AS title FROM citations")
 column_query(
     "x5_publication_tail",
-    {"tail": text.publication_tail(text.clean_reference(REF))},
+    lambda: {"tail": text.publication_tail(text.clean_reference(F.col("ref")))},
     f"""SELECT ref_id, CASE WHEN mode = 7 THEN concat('arXiv, arXiv:', arxiv_id) WHEN {PUBLISHED} THEN concat(t_journal, ', ', t_volume, '(', issue, '), pp. ', t_start, '-', t_end,
   CASE WHEN mode = 5 THEN concat('. PMID: ', pmid) WHEN mode = 4 THEN '' ELSE '.' END) END AS tail FROM citations""",
 )
 column_query(
-    "x6_extract_journal", {"journal": text.extract_journal(text.clean_reference(REF))},
+    "x6_extract_journal", lambda: {"journal": text.extract_journal(text.clean_reference(F.col("ref")))},
     f"SELECT ref_id, CASE WHEN mode = 7 THEN concat('arxiv, arxiv:', arxiv_id) WHEN {PUBLISHED} THEN {JOURNAL} END AS journal FROM citations",
 )
-VIP = text.vol_issue_pages(text.clean_reference(REF))
+vip = lambda: text.vol_issue_pages(text.clean_reference(F.col("ref")))
 column_query(
-    "x7_vol_issue_pages", {n: VIP[n] for n in ("volume", "issue", "pages", "page_start", "page_end")},
+    "x7_vol_issue_pages", lambda: {n: vip()[n] for n in ("volume", "issue", "pages", "page_start", "page_end")},
     f"SELECT ref_id, {only('t_volume')} AS volume, {only('issue')} AS issue, {only('concat(t_start, chr(45), t_end)')} AS pages, {only('t_start')} AS page_start, {only('t_end')} AS page_end FROM citations",
 )
-column_query("x8_extract_doi", {"doi": text.extract_doi(REF)}, "SELECT ref_id, t_doi AS doi FROM citations")
+column_query("x8_extract_doi", lambda: {"doi": text.extract_doi(F.col("ref"))}, "SELECT ref_id, t_doi AS doi FROM citations")
 body_query(
     "x8_clean_doi",
     """SELECT ref_id, CASE ref_id % 6 WHEN 0 THEN concat('[', doi, '](https://doi.org/', doi, ')') WHEN 1 THEN concat('doi: ', doi, '.') WHEN 2 THEN concat('(https://dx.doi.org/', doi, '?utm_source=x)')
   WHEN 3 THEN concat('see ', doi, ');') WHEN 4 THEN concat('https://www.cochranelibrary.com/cdsr/doi/10.1002/', pmid, '/full') ELSE concat('https://doi.org/10.1016/S0140(', pmid, ')2-X (Accessed 1 May 2020)') END AS v FROM citations""",
-    {"doi": text.extract_doi(V)},
+    lambda: {"doi": text.extract_doi(F.col("v"))},
     "SELECT ref_id, CASE WHEN ref_id % 6 < 4 THEN doi WHEN ref_id % 6 = 4 THEN concat('10.1002/', pmid) ELSE concat('10.1016/S0140(', pmid, ')2-X') END AS doi FROM citations",
 )
 body_query(
     "x9_infer_doi_from_url",
     f"""SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat('https://www.nature.com/articles/s41586-020-', {LETTERS}) WHEN 1 THEN concat('https://elifesciences.org/articles/', pmid)
   WHEN 2 THEN concat('https://www.nature.com/articles/', {LETTERS}) ELSE concat('https://www.nature.com/articles/nature.2014.', pmid, ' https://elifesciences.org/articles/1') END AS v FROM citations""",
-    {"doi": text.infer_doi_from_url(text.extract_urls(V))},
+    lambda: {"doi": text.infer_doi_from_url(text.extract_urls(F.col("v")))},
     f"SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat('10.1038/s41586-020-', {LETTERS}) WHEN 1 THEN concat('10.7554/eLife.', pmid) WHEN 3 THEN concat('10.1038/nature.2014.', pmid) END AS doi FROM citations",
 )
 column_query(
-    "x10_pmid_pmcid", {"pmid": text.extract_pmid(REF, text.extract_urls(REF)), "pmcid": text.extract_pmcid(REF)},
+    "x10_pmid_pmcid", lambda: {"pmid": text.extract_pmid(F.col("ref"), text.extract_urls(F.col("ref"))), "pmcid": text.extract_pmcid(F.col("ref"))},
     "SELECT ref_id, t_pmid AS pmid, t_pmcid AS pmcid FROM citations",
 )
 body_query(
     "x10_pmid_from_url", "SELECT ref_id, concat(t_title, CASE WHEN ref_id % 2 = 0 THEN ' https://pubmed.ncbi.nlm.nih.gov/' ELSE ' https://pubmed.example.org/' END, pmid, '/?x=1') AS v FROM citations",
-    {"pmid": text.extract_pmid(V, text.extract_urls(V))}, "SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN pmid END AS pmid FROM citations",
+    lambda: {"pmid": text.extract_pmid(F.col("v"), text.extract_urls(F.col("v")))}, "SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN pmid END AS pmid FROM citations",
 )
 body_query(
     "x11_arxiv_ads",
     """SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat('arXiv: ', arxiv_id, 'v2.') WHEN 1 THEN concat('https://arxiv.org/pdf/', arxiv_id) WHEN 2 THEN concat('https://ui.adsabs.harvard.edu/abs/', bibcode, '/abstract')
   ELSE 'arXiv:hep-TH/9901001' END AS v FROM citations""",
-    {"arxiv_id": text.extract_arxiv_id(V), "ads_id": text.extract_ads_id(V)},
+    lambda: {"arxiv_id": text.extract_arxiv_id(F.col("v")), "ads_id": text.extract_ads_id(F.col("v"))},
     "SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat(arxiv_id, 'v2') WHEN 1 THEN arxiv_id WHEN 3 THEN 'hep-th/9901001' END AS arxiv_id, CASE WHEN ref_id % 4 = 2 THEN bibcode END AS ads_id FROM citations",
 )
 body_query(
     "x12_extract_urls",
     "SELECT ref_id, concat('See (', coalesce(t_url, 'nothing'), ') and ', coalesce(t_url, 'no'), ', also http://b.example.org/', pmid, '(accessed 2020)') AS v FROM citations",
-    {"urls": F.array_join(text.extract_urls(V), " "), "source_url": text.first_of(text.extract_urls(V))},
+    lambda: {"urls": F.array_join(text.extract_urls(F.col("v")), " "), "source_url": text.first_of(text.extract_urls(F.col("v")))},
     "SELECT ref_id, concat(CASE WHEN t_url IS NULL THEN '' ELSE concat(t_url, ' ') END, 'http://b.example.org/', pmid) AS urls, coalesce(t_url, concat('http://b.example.org/', pmid)) AS source_url FROM citations",
 )
 
@@ -178,45 +178,48 @@ def x13_extract_domains(spark, sf_dir):
     return pages.select("page_id", text.first_of(text.extract_domains(text.extract_urls(F.col("url")))).alias("domain"))
 
 
-column_query("x14_ai_tracking_flag", {"flag": helpers.ai_tracking_flag(REF)}, "SELECT ref_id, mode = 11 AS flag FROM citations")
+column_query("x14_ai_tracking_flag", lambda: {"flag": helpers.ai_tracking_flag(F.col("ref"))}, "SELECT ref_id, mode = 11 AS flag FROM citations")
 column_query(
-    "x15_x16_shape", {"shape": text.bibliographic_shape(text.clean_reference(REF)), "scholarly": text.scholarly_like(text.clean_reference(REF))},
+    "x15_x16_shape", lambda: {"shape": text.bibliographic_shape(text.clean_reference(F.col("ref"))), "scholarly": text.scholarly_like(text.clean_reference(F.col("ref")))},
     f"SELECT ref_id, {PUBLISHED} AS shape, mode NOT IN (8, 11) AS scholarly FROM citations",
 )
 body_query(
     "x17_author_extraction_issue", "SELECT ref_id, concat(s1, ', A. and ', s2, ', B. (2001)') AS ref, s1, s2 FROM citations",
-    {"missed": helpers.author_extraction_issue(REF, F.when(F.col("ref_id") % 2 == 0, F.array("s1", "s2")).otherwise(F.array("s1"))).isNotNull()},
+    lambda: {"missed": helpers.author_extraction_issue(F.col("ref"), F.when(F.col("ref_id") % 2 == 0, F.array("s1", "s2")).otherwise(F.array("s1"))).isNotNull()},
     "SELECT ref_id, ref_id % 2 = 1 AS missed FROM citations",
 )
 
 # --- normal forms -------------------------------------------------------------------------------
 
 body_query(
-    "n1_fold_text", "SELECT ref_id, concat(t_title, ' &amp; É-', s1) AS v FROM citations", {"name": helpers.normalize_author(V), "title": helpers.normalize_title(V)},
+    "n1_fold_text", "SELECT ref_id, concat(t_title, ' &amp; É-', s1) AS v FROM citations", lambda: {"name": helpers.normalize_author(F.col("v")), "title": helpers.normalize_title(F.col("v"))},
     "SELECT ref_id, concat(replace(lower(t_title), ' ', ''), 'e', lower(s1)) AS name, concat(lower(t_title), ' e ', lower(s1)) AS title FROM citations",
 )
 body_query(
     "n2_normalize_journal", "SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN concat('The ', t_journal, ' : official publication of us') ELSE concat(t_journal, ' [Preprint] ') END AS v FROM citations",
-    {"journal": F.trim(normalize.normalize_journal(V))}, f"SELECT ref_id, {JOURNAL} AS journal FROM citations",
-)
-PERSON = catalogue.AUTHORS.replace("array<", "").removesuffix(">")
-NAMED = F.array(
-    F.struct(F.lit("A").alias("given"), F.col("s1").alias("family"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("name")),
-    F.struct(F.lit(None).cast("string").alias("given"), F.lit("").alias("family"), F.lit(None).cast("string").alias("last"), F.concat("s2", F.lit(" BC")).alias("name")),
-    F.struct(F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("last"), F.lit("The Study Group").alias("name")),
-    F.struct(F.when(F.col("ref_id") % 3 == 0, "Professor").otherwise("C.").alias("given"), F.concat("s3", F.lit(", C.")).alias("family"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("name")),
-)
+    lambda: {"journal": F.trim(normalize.normalize_journal(F.col("v")))}, f"SELECT ref_id, {JOURNAL} AS journal FROM citations",
+)
+def named():
+    """Authors of every kind, as an array of author structs."""
+    return F.array(
+        F.struct(F.lit("A").alias("given"), F.col("s1").alias("family"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("name")),
+        F.struct(F.lit(None).cast("string").alias("given"), F.lit("").alias("family"), F.lit(None).cast("string").alias("last"), F.concat("s2", F.lit(" BC")).alias("name")),
+        F.struct(F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("last"), F.lit("The Study Group").alias("name")),
+        F.struct(F.when(F.col("ref_id") % 3 == 0, "Professor").otherwise("C.").alias("given"), F.concat("s3", F.lit(", C.")).alias("family"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("name")),
+    )
+
+
 body_query(
-    "n3_n5_metadata_authors", "SELECT ref_id, s1, s2, s3 FROM citations", {"surnames": F.array_join(normalize.metadata_surnames(NAMED), ", "), "unusable": normalize.metadata_author_issue(NAMED).isNotNull()},
+    "n3_n5_metadata_authors", "SELECT ref_id, s1, s2, s3 FROM citations", lambda: {"surnames": F.array_join(normalize.metadata_surnames(named()), ", "), "unusable": normalize.metadata_author_issue(named()).isNotNull()},
     "SELECT ref_id, concat(s1, ', ', s2, ', ', s3) AS surnames, ref_id % 3 = 0 AS unusable FROM citations",
 )
 body_query(
     "n4_preprint_surname", "SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat('Anna van  der ', s1) WHEN 1 THEN concat(s1, ', Anna') WHEN 2 THEN concat(s1, ' Collaboration') ELSE concat('A. B. ', s1) END AS v FROM citations",
-    {"surname": normalize.preprint_surname(V)}, "SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat('van der ', s1) WHEN 2 THEN concat(s1, ' Collaboration') ELSE s1 END AS surname FROM citations",
+    lambda: {"surname": normalize.preprint_surname(F.col("v"))}, "SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN concat('van der ', s1) WHEN 2 THEN concat(s1, ' Collaboration') ELSE s1 END AS surname FROM citations",
 )
 body_query(
     "n6_n7_title_rules", "SELECT ref_id, CASE WHEN ref_id % 5 = 0 THEN concat(t_title, ' and peer review') WHEN ref_id % 5 = 1 THEN 'small note' ELSE t_title END AS v FROM citations",
-    {"distinctive": normalize.title_distinctive(helpers.normalize_title(V)), "is_review": normalize.review_from_title(V)},
+    lambda: {"distinctive": normalize.title_distinctive(helpers.normalize_title(F.col("v"))), "is_review": normalize.review_from_title(F.col("v"))},
     "SELECT ref_id, ref_id % 5 <> 1 AS distinctive, ref_id % 5 > 1 AND t_title LIKE '%review%' AS is_review FROM citations",
 )
 
@@ -230,7 +233,7 @@ def n8_review_from_pub_types(spark, sf_dir):
 
 body_query(
     "f1_trusted_domain", "SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN 'who.int' WHEN 1 THEN 'a.b.nhs.uk' WHEN 2 THEN 'notwho.int' ELSE 'example.com' END AS v FROM citations",
-    {"trusted": route.trusted_domain(V)}, "SELECT ref_id, ref_id % 4 < 2 AS trusted FROM citations",
+    lambda: {"trusted": route.trusted_domain(F.col("v"))}, "SELECT ref_id, ref_id % 4 < 2 AS trusted FROM citations",
 )
 ROUTE = "CASE mode WHEN 4 THEN 'search' WHEN 5 THEN 'pmid' WHEN 6 THEN 'pmcid' WHEN 7 THEN 'arxiv' WHEN 8 THEN 'manual_review' WHEN 11 THEN 'web' ELSE 'doi' END"
 
@@ -330,12 +333,12 @@ def s7_pubmed_pub_types(spark, sf_dir):
 
 # --- lookups ------------------------------------------------------------------------------------
 
-found_id = F.col("record.record_id").alias("record_id")
+found_id = lambda: F.col("record.record_id").alias("record_id")
 
 
 @registered("SELECT ref_id, CASE WHEN mode <> 10 THEN doi END AS record_id FROM citations WHERE t_doi IS NOT NULL")
 def j1_lookup_doi(spark, sf_dir):
-    return lookup.lookup_doi(parsed(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id)
+    return lookup.lookup_doi(parsed(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
 RESOLVES = "CASE WHEN mode = 10 THEN false WHEN work_id % 50 = 0 THEN NULL ELSE work_id % 50 <> 1 END"
@@ -352,12 +355,12 @@ def j2_resolve_doi(spark, sf_dir):
 
 @registered("SELECT ref_id, pmid AS record_id FROM citations WHERE mode = 5")
 def j3_lookup_pmid(spark, sf_dir):
-    return lookup.lookup_pmid(parsed(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id)
+    return lookup.lookup_pmid(parsed(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
 @registered("SELECT ref_id, pmcid AS record_id, pmid AS bridge_pmid FROM citations WHERE mode = 6")
 def j4_lookup_pmcid(spark, sf_dir):
-    return lookup.lookup_pmcid(parsed(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id, "bridge_pmid")
+    return lookup.lookup_pmcid(parsed(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id(), "bridge_pmid")
 
 
 def _versions(spark, sf_dir):
@@ -379,19 +382,19 @@ def _asked_versions(spark, sf_dir):
   FROM citations WHERE mode = 7"""
 )
 def j5_lookup_arxiv(spark, sf_dir):
-    return lookup.lookup_arxiv(_asked_versions(spark, sf_dir), _versions(spark, sf_dir)).select("ref_id", found_id)
+    return lookup.lookup_arxiv(_asked_versions(spark, sf_dir), _versions(spark, sf_dir)).select("ref_id", found_id())
 
 
 @registered("SELECT ref_id, arxiv_id AS record_id FROM citations WHERE mode = 7 AND work_id % 3 = 0 AND ref_id % 24 <> 7")
 def j6_lookup_datacite(spark, sf_dir):
     works = _versions(spark, sf_dir)
-    return lookup.lookup_datacite(lookup.lookup_arxiv(_asked_versions(spark, sf_dir), works), works).select("ref_id", found_id)
+    return lookup.lookup_datacite(lookup.lookup_arxiv(_asked_versions(spark, sf_dir), works), works).select("ref_id", found_id())
 
 
 @registered("SELECT ref_id, CASE WHEN work_id % 20 = 3 THEN bibcode END AS record_id FROM citations")
 def j7_lookup_ads(spark, sf_dir):
     asked = fx._run(spark, sf_dir, "SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN bibcode ELSE doi END AS ads_id FROM citations")
-    return lookup.lookup_ads(asked, fx.works(spark, sf_dir)).select("ref_id", found_id)
+    return lookup.lookup_ads(asked, fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
 searchable = lambda spark, sf_dir: parsed(spark, sf_dir).filter("mode IN (2, 3, 4)")
@@ -411,13 +414,13 @@ def j9_search_fielded(spark, sf_dir):
 
 @registered("SELECT ref_id, arxiv_id AS record_id FROM citations WHERE mode IN (3, 4)")
 def j10_title_search_unique(spark, sf_dir):
-    return candidates.title_search_unique(searchable(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id)
+    return candidates.title_search_unique(searchable(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
 @registered("SELECT ref_id, bibcode AS record_id FROM citations WHERE mode IN (0, 4) AND work_id % 20 = 3")
 def j11_ads_discovery(spark, sf_dir):
     missed = parsed(spark, sf_dir).filter("mode IN (0, 4, 5)").withColumn("record", F.lit(None).cast("string"))
-    return candidates.ads_discovery(missed, fx.works(spark, sf_dir)).select("ref_id", found_id)
+    return candidates.ads_discovery(missed, fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
 @registered(
@@ -425,7 +428,7 @@ def j11_ads_discovery(spark, sf_dir):
   FROM citations WHERE mode IN (0, 1, 2, 3, 5, 6, 9, 10)"""
 )
 def j12_review_lookup(spark, sf_dir):
-    works, own = fx.works(spark, sf_dir), staged(parsed(spark, sf_dir))
+    works, own = fx.works(spark, sf_dir), parsed(spark, sf_dir)
     at = lambda name: own.filter(F.col("route") == name)
     found = lookup.lookup_doi(at("doi"), works)
     for part in (lookup.lookup_pmid(at("pmid"), works), lookup.lookup_pmcid(at("pmcid"), works)):
@@ -458,7 +461,7 @@ def c1_text_ratio(spark, sf_dir):
 body_query(
     "c2_surname_match",
     "SELECT ref_id, concat('kowalski', translate(CAST(work_id AS STRING), '0123456789', 'abcdefghij'), 'en') AS a, CASE ref_id % 3 WHEN 0 THEN 'kowalsky' WHEN 1 THEN 'kowalski' ELSE 'nowalski' END AS b, translate(CAST(work_id AS STRING), '0123456789', 'abcdefghij') AS k FROM citations",
-    {"same": helpers.surname_match(F.col("a"), F.concat("b", "k", F.lit("en")))}, "SELECT ref_id, ref_id % 3 <> 2 AS same FROM citations",
+    lambda: {"same": helpers.surname_match(F.col("a"), F.concat("b", "k", F.lit("en")))}, "SELECT ref_id, ref_id % 3 <> 2 AS same FROM citations",
 )
 
 
@@ -492,7 +495,7 @@ def c5_match_title(spark, sf_dir):
 
 body_query(
     "c5_title_containment", "SELECT ref_id, t_title, concat(t_title, ' followed by a long second title that nobody cited') AS long FROM citations",
-    {"found": compare.match_title(F.lit("Unrelated words"), F.col("t_title"), F.concat(F.lit("A. B. (2001) "), "long"), 0.75)["method"], "short": compare.match_title(F.lit("x"), F.lit("Short title"), F.lit("A Short title"), 0.75)["ok"]},
+    lambda: {"found": compare.match_title(F.lit("Unrelated words"), F.col("t_title"), F.concat(F.lit("A. B. (2001) "), "long"), 0.75)["method"], "short": compare.match_title(F.lit("x"), F.lit("Short title"), F.lit("A Short title"), 0.75)["ok"]},
     "SELECT ref_id, 'metadata title found in full reference' AS found, false AS short FROM citations",
 )
 
@@ -504,7 +507,7 @@ def c6_journals_match(spark, sf_dir):
 
 body_query(
     "c7_journal_abbreviation_issue", "SELECT ref_id, CASE ref_id % 3 WHEN 0 THEN 'Ann Meas Syst' WHEN 1 THEN 'Annals of Measured Systems' ELSE 'Ann Other' END AS v FROM citations",
-    {"uncertain": helpers.journal_abbreviation_issue(V, F.lit("Annals of Measured Systems")).isNotNull()}, "SELECT ref_id, ref_id % 3 = 0 AS uncertain FROM citations",
+    lambda: {"uncertain": helpers.journal_abbreviation_issue(F.col("v"), F.lit("Annals of Measured Systems")).isNotNull()}, "SELECT ref_id, ref_id % 3 = 0 AS uncertain FROM citations",
 )
 
 
@@ -517,7 +520,7 @@ def c8_c9_c10_details(spark, sf_dir):
 
 body_query(
     "c10_pages_match", "SELECT ref_id, CAST(ref_id % 40 + 1 AS STRING) AS a, CAST(ref_id % 40 + 5 AS STRING) AS b FROM citations",
-    {"overlap": compare.pages_match(F.col("a"), F.col("b"), F.lit("10-20")), "locator": compare.pages_match(F.concat(F.lit("e"), "a"), F.lit(""), F.lit("e7"))},
+    lambda: {"overlap": compare.pages_match(F.col("a"), F.col("b"), F.lit("10-20")), "locator": compare.pages_match(F.concat(F.lit("e"), "a"), F.lit(""), F.lit("e7"))},
     "SELECT ref_id, ref_id % 40 + 1 <= 20 AND ref_id % 40 + 5 >= 10 AS overlap, 'e7' LIKE concat('%e', CAST(ref_id % 40 + 1 AS STRING), '%') AS locator FROM citations",
 )
 
@@ -555,15 +558,15 @@ def c13_conflict_list(spark, sf_dir):
 
 body_query(
     "c13_confirmed_conflicts", "SELECT ref_id FROM citations",
-    {"names": F.array_join(compare.confirmed_conflicts(F.array(*[F.struct(F.lit(n).alias("field"), (F.col("ref_id") % k > 0).alias("submitted"), F.lit(True).alias("metadata"), (F.col("ref_id") % 5 == 0).alias("matches")) for n, k in (("year", 2), ("pages", 3))])), ",")},
+    lambda: {"names": F.array_join(compare.confirmed_conflicts(F.array(*[F.struct(F.lit(n).alias("field"), (F.col("ref_id") % k > 0).alias("submitted"), F.lit(True).alias("metadata"), (F.col("ref_id") % 5 == 0).alias("matches")) for n, k in (("year", 2), ("pages", 3))])), ",")},
     "SELECT ref_id, CASE WHEN ref_id % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN ref_id % 2 > 0 THEN 'year' END, CASE WHEN ref_id % 3 > 0 THEN 'pages' END) END AS names FROM citations",
 )
 
 # --- score and label ----------------------------------------------------------------------------
 
-FLAGS = {n: (F.shiftright(F.col("ref_id").cast("int"), k) % 2 == 1) for k, n in enumerate(classify.POINTS)}
+flags = lambda: {n: (F.shiftright(F.col("ref_id").cast("int"), k) % 2 == 1) for k, n in enumerate(classify.POINTS)}
 body_query(
-    "g1_weighted_score", "SELECT ref_id FROM citations", {"score": classify.weighted_score(FLAGS)},
+    "g1_weighted_score", "SELECT ref_id FROM citations", lambda: {"score": classify.weighted_score(flags())},
     "SELECT ref_id, CAST(" + " + ".join(f"{p} * ((ref_id >> {k}) % 2)" for k, p in enumerate(classify.POINTS.values())) + " AS INT) AS score FROM citations",
 )
 LABEL = f"""CASE WHEN mode IN (2, 9) THEN '{classify.MAJOR}' WHEN mode = 1 OR (mode = 3 AND ref_id % 24 <> 3) THEN '{classify.DETAILS}' WHEN mode = 10 THEN '{classify.UNVERIFIED}'

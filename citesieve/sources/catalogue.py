@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.normalize import preprint_surname
 from ..functions.text import arxiv_stem, extract_arxiv_id, squeezed, stripped
 
 AUTHORS = "array<struct<given:string,family:string,last:string,name:string>>"
-WORKS = T.StructType.fromDDL(
-    f"source string, record_id string, doi string, dois array<string>, pmid string, pmcid string, arxiv_id string, bibcode string, identifiers array<string>, "
-    f"title string, authors {AUTHORS}, year int, years array<string>, pubdate string, journal string, volume string, issue string, pages string, type string, "
-    "pub_types array<string>, url string"
-)
+#: The columns of a catalogue, by type.
+WORKS = {
+    "source": "string", "record_id": "string", "doi": "string", "dois": "array<string>", "pmid": "string", "pmcid": "string", "arxiv_id": "string", "bibcode": "string",
+    "identifiers": "array<string>", "title": "string", "authors": AUTHORS, "year": "int", "years": "array<string>", "pubdate": "string", "journal": "string", "volume": "string",
+    "issue": "string", "pages": "string", "type": "string", "pub_types": "array<string>", "url": "string",
+}
 _DATE = "struct<`date-parts`:array<array<int>>>"
 CROSSREF = (
     f"struct<DOI:string,title:array<string>,`container-title`:array<string>,issued:{_DATE},`published-print`:{_DATE},created:{_DATE},"
@@ -48,7 +48,7 @@ def read_submissions(spark: SparkSession, path: str, id_column: str = "submissio
 def as_works(df: DataFrame) -> DataFrame:
     """All columns of ``WORKS`` in order; those not given are null."""
     given = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in WORKS])
+    return df.select(*[(F.col(name) if name in given else F.lit(None)).cast(kind).alias(name) for name, kind in WORKS.items()])
 
 
 def _filled(*cols: Column) -> Column:
