@@ -65,7 +65,7 @@ def test_tracking():
 
 def test_identifiers(spark):
     v = F.col("v")
-    assert one(spark, "doi: 10.7326/M14-0737(Assessed24April2026)", text.extract_doi(v)) == "10.7326/M14-0737"
+    assert one(spark, "doi: 10.7326/M14-0737(Assessed 24 April 2026)", text.extract_doi(v)) == "10.7326/M14-0737"
     assert one(spark, "see https://doi.org/10.1000/a(b)c).", text.extract_doi(v)) == "10.1000/a(b)c"
     assert one(spark, r"10.1000/x%2Fy\ ", text.extract_doi(v)) == "10.1000/x/y"
     assert one(spark, "https://www.sciencedirect.com/science/article/pii/S0140", text.infer_doi_from_url(text.extract_urls(v))) is None
