@@ -112,9 +112,9 @@ def trained(documents: DataFrame, most: int = MOST_TRAINING) -> Filters | None:
     rated = counts.withColumn("rate", F.col("n") / F.element_at(totals, F.concat(F.col("length").cast("string"), "lang"))).filter(F.col("rate") >= LEAST_RATE)
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
     # At most 1 / LEAST_RATE n-grams of each length can be so frequent in a language: the model has a bound.
-    found = rated.join(top, "gram").filter(F.col("rate") >= LEAST_RATIO * F.col("top")).select("lang", "gram").toPandas()
+    found = rated.join(top, "gram").filter(F.col("rate") >= LEAST_RATIO * F.col("top")).select("lang", "gram").toArrow()
     languages = sorted({lang for lang, _ in sums})
-    return Filters(languages, {x: found.gram[found.lang == x].to_numpy(np.int64).view(np.uint64) for x in languages})
+    return Filters(languages, {x: found.filter(pc.equal(found.column("lang"), x)).column("gram").to_numpy().view(np.uint64) for x in languages})
 
 
 def predicted(documents: DataFrame, model: Filters | None) -> DataFrame:

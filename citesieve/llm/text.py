@@ -1,6 +1,6 @@
 """Whole texts as byte arrays: words, word shingles and per-document sets, for use inside Spark tasks.
 
-Everything here works on one Arrow slice of a few megabytes; Spark decides which rows a task gets.
+Everything here works on one Arrow slice of a megabyte; Spark decides which rows a task gets.
 A null text counts as an empty one.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 # ASCII white space is 0x20 and 0x09-0x0D; A-Z are lowered, no other letter is.

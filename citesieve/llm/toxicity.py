@@ -167,14 +167,14 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING)
     def read(batches):
         for part in slices(batches):
             x = features(part.column("text"), lexicon)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())], ["doc_id", "toxic", "x"])
 
-    sample = rows.select("doc_id", "toxic", "text").mapInArrow(read, "doc_id bigint, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    y = sample.toxic.to_numpy(float)
+    sample = rows.select("doc_id", "toxic", "text").mapInArrow(read, "doc_id bigint, toxic int, x binary").toArrow().sort_by("doc_id")
+    y = sample.column("toxic").to_numpy().astype(float)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.1
     if not len(lexicon):
         return Model(lexicon, np.zeros(4), 0.0, (0.0, float(np.log(share / (1 - share)))))
-    x = np.vstack(sample.x.to_numpy())
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(len(y), -1).astype(float)
     posterior = label_model(votes(x), share)
     weights, bias = logistic(inputs(x), posterior)
     raw = inputs(x) @ weights + bias
