@@ -17,7 +17,7 @@ from ..operators.parse import parse_citations
 from ..operators.staging import staged
 from ..sources import catalogue
 from . import fixtures as fx
-from .validate import looked_up, validate_citations, with_doi_flags
+from .validate import classified, validate_citations, with_doi_flags
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,9 +574,7 @@ LABEL = f"""CASE WHEN mode IN (2, 9) THEN '{classify.MAJOR}' WHEN mode = 1 OR (m
 
 
 def _verdicts(spark, sf_dir, modes="0, 1, 2, 3, 9, 10"):
-    """The minimum slice: citations with a DOI, from text to label, without the author helpers' staging."""
-    from .validate import classified
-
+    """Citations with a DOI, from text to label."""
     own = parsed(spark, sf_dir).filter(f"mode IN ({modes})")
     found = with_doi_flags(lookup.lookup_doi(own, fx.works(spark, sf_dir)).withColumn("match_reason", F.lit(None).cast("string")), fx.registry(spark, sf_dir))
     return classified(compare.with_evidence(compare.compared(found)))
