@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and copies that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the cluster's shared folder; without one configured (tests), in a new local folder.
 
-    Shuffle files and copies that only earlier steps needed are let go first: Spark deletes them when the
-    driver collects their handles.
+    Shuffle files and copies that only earlier steps needed are let go first.
     """
     context = df.sparkSession.sparkContext
-    gc.collect()
-    context._jvm.System.gc()
+    let_go(df.sparkSession)
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))

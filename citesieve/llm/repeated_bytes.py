@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import checkpointed, small
+from .jobs import checkpointed, let_go, small
 from .text import _BASE, _BASE_INVERSE, _BYTE, U64, _power, mix, slices, utf8
 
 #: Places of a window among which its trigger is; the hash there is of TRIGGER_BYTES bytes.
-FIRST_HALF, TRIGGER_BYTES = 101, 32
+FIRST_HALF, TRIGGER_BYTES = 81, 32
 #: A text longer than this is parsed in overlapping parts.
-PART_BYTES = 3 << 20
+PART_BYTES = 1 << 20
 _PLACE_BITS = 22
 
 
@@ -113,7 +113,7 @@ def _windows(length: int):
             lists = part.column("phrases")
             at = lists.offsets.to_numpy()
             # Arrow keeps the lists of a sliced batch in one array; the offsets say which part is ours.
-            first, last = (lists.values.field(k).to_numpy()[at[0] : at[-1]] for k in ("first", "last"))
+            first, last = (lists.values.field(k).to_numpy()[at[0] : at[-1]].astype(np.int64) for k in ("first", "last"))
             owner = np.repeat(np.arange(part.num_rows), np.diff(at))
             for data, cuts, base in _parts(whole, offsets, length):
                 inside = (first >= base) & (last - base + length <= len(data)) if base or len(data) < len(whole) else np.ones(len(first), bool)
@@ -142,7 +142,7 @@ def _removed(length: int):
                 found = lists[k].values
                 spans = []
                 if found is not None and len(found):
-                    first, last = (found.field(c).to_numpy() for c in ("first", "last"))
+                    first, last = (found.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
                     order = np.argsort(first, kind="stable")
                     first, ends = first[order], np.maximum.accumulate(last[order] + length)
                     new = np.append(True, first[1:] > ends[:-1])
@@ -169,23 +169,31 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def repeated_windows(documents: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, tag, first, last): runs of windows of ``length`` bytes that each start somewhere else in the corpus too.
+    """(doc_id, tag, spans): for each row the runs (first, last) of windows of ``length`` bytes that start somewhere else too.
 
-    Rows are known as in ``_keyed``; rows that share doc_id and text are found at the same places.
+    Rows are known as in ``_keyed``; rows that share doc_id and text are found at the same places. A list is
+    as long as its own text at most.
     """
     texts = _keyed(documents).select("doc_id", "tag", "text").filter(F.octet_length("text") >= length)
     parse = texts.mapInArrow(_parse(length), "core bigint, phrase bigint, doc_id bigint, tag bigint, first bigint, last bigint")
     cores = parse.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core")
     parse = checkpointed(parse.join(cores, "core"))
     dictionary = checkpointed(parse.groupBy("core", "phrase").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc_id", "tag", "first", "last")]))
-    settled = parse.join(dictionary.filter("times > 1").select("core", "phrase"), ["core", "phrase"]).select("doc_id", "tag", "first", "last")
+    place = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    settled = parse.join(dictionary.filter("times > 1").select("core", "phrase"), ["core", "phrase"])
+    settled = checkpointed(settled.groupBy("doc_id", "tag").agg(F.collect_list(place).alias("spans")))
     several = dictionary.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
-    listed = checkpointed(dictionary.join(several, "core").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("phrases")))
+    listed = checkpointed(dictionary.join(several, "core").groupBy("doc_id", "tag").agg(F.collect_list(place).alias("phrases")))
+    del parse, cores, dictionary, several  # their copies can go before the next step
     asked = texts.join(small(listed.select("doc_id", "tag")), ["doc_id", "tag"], "left_semi")
     looked = asked.join(listed, ["doc_id", "tag"]).mapInArrow(_windows(length), "name bigint, doc_id bigint, tag bigint, first bigint")
     names = looked.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1").select("name")
-    found = checkpointed(looked.join(names, "name").select("doc_id", "tag", "first"))
-    return settled.union(found.select("doc_id", "tag", "first", F.col("first").alias("last")))
+    found = looked.join(names, "name").groupBy("doc_id", "tag").agg(F.collect_list(F.col("first").cast("int")).alias("firsts"))
+    found = checkpointed(found)
+    one = found.select("doc_id", "tag", F.transform("firsts", lambda i: F.struct(i.alias("first"), i.alias("last"))).alias("spans"))
+    del looked, names, asked, listed
+    let_go(documents.sparkSession)
+    return settled.union(one).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
@@ -196,6 +204,5 @@ def without_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     lists the maximal removed runs (from, to), ``kept`` is the remaining bytes, which need not be UTF-8. Null
     and empty texts have no bytes. Repeated rows stay, and remove one another's bytes. Other columns are ignored.
     """
-    spans = repeated_windows(documents, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = _keyed(documents).join(spans, ["doc_id", "tag"], "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
+    joined = _keyed(documents).join(repeated_windows(documents, length), ["doc_id", "tag"], "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_removed(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<from: bigint, to: bigint>>, kept binary")
