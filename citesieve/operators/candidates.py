@@ -1,14 +1,17 @@
-"""Candidate search for citations without a usable identifier, by blocking keys, and the choice of the best.
+"""Candidate search for citations without a usable identifier, by an inverted index, and the choice of the best.
 
-Any accepted candidate needs a year within the tolerance, so citations meet works on (key, year) equi-joins
-with the citation's year spread over the tolerance. The author key is lossless for lists that agree: their
-first surnames are equal, or of one length with equal first three and last two letters. Title words are the
-approximate arm: words of more than ``COMMON_SHARE`` of the works (``LEAST_COMMON`` at least) are left out. The rank is the sum of the
-keys' inverse document frequencies, ties by record_id.
+Any accepted candidate needs a year within the tolerance, so citations meet works in blocks of one year, with
+the citation's year spread over the tolerance. The author key loses no list that agrees: their
+first surnames are equal, or of one length with equal first three and last two letters. Of titles every word and every
+pair of neighbours counts, however short or common. The rank is the sum of the idf of all shared keys, ties by source
+and record_id, and is exact; a title without one whole word in common is only met by its author.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,10 @@ from .compare import same_journal
 from .lookup import as_record
 from .staging import staged
 
-COMMON_SHARE, LEAST_COMMON, LEAST_WORD = 0.005, 20.0, 4
+#: Weights of keys of more than this share of the works (and this many) are broadcast, so that no join is dealt by them.
+COMMON_SHARE, LEAST_COMMON = 0.005, 20.0
+#: Blocks of a year hold about this many works and this many citations.
+BLOCK = 20_000
 
 
 def author_key(name: Column) -> Column:
@@ -32,30 +38,108 @@ def year_tolerance(year: Column) -> Column:
 
 
 def _title_words(title: Column) -> Column:
-    words = F.filter(F.array_distinct(F.split(title, " ")), lambda w: F.length(w) >= LEAST_WORD)
-    return F.transform(words, lambda w: F.concat(F.lit("t:"), w))
+    """Every word, and every two that follow each other, with the title's ends as words."""
+    ends = F.split(F.concat(F.lit("^ "), title, F.lit(" $")), " ")
+    pairs = F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda a, b: F.concat(F.lit("p:"), a, F.lit(" "), b))
+    keys = F.concat(F.transform(F.split(title, " "), lambda w: F.concat(F.lit("t:"), w)), pairs)
+    return F.when(title != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
 def work_keys(works: DataFrame) -> DataFrame:
-    """(key, year, record_id, source, journal_key): the blocking keys of every work."""
+    """(record_id, source, year, journal_key, keys): the keys of every work that has one."""
     named = works.select("record_id", "source", "year", normalize_journal(F.col("journal")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_authors(metadata_surnames(F.col("authors"))).alias("names"))
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.size("names") > 0, F.array(author_key(F.get("names", F.lit(0))))).otherwise(F.array().cast("array<string>")))
-    return named.select("record_id", "source", "year", "journal_key", F.explode(keys).alias("key"))
+    return named.select("record_id", "source", "year", "journal_key", keys.alias("keys")).filter("size(keys) > 0")
 
 
 def key_weights(keys: DataFrame) -> DataFrame:
-    """(key, idf) of keys that are not too common; author keys always stay."""
+    """(key, idf, common) of all keys."""
     total = F.lit(float(max(1, keys.select("source", "record_id").distinct().count())))
-    counted = keys.groupBy("key").agg(F.count("*").alias("df"))
-    return counted.filter(F.col("key").startswith("a:") | (F.col("df") <= F.greatest(total * COMMON_SHARE, F.lit(LEAST_COMMON)))).select("key", F.log(total / F.col("df") + 1).alias("idf"))
+    counted = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+    return counted.select("key", F.log(total / F.col("df") + 1).alias("idf"), (F.col("df") > F.greatest(total * COMMON_SHARE, F.lit(LEAST_COMMON))).alias("common"))
 
 
-def _ranked(asked: DataFrame, keys: DataFrame, works: DataFrame, k: int, bonus: Column | None = None) -> DataFrame:
-    """Top k works for each ref_id of ``asked`` (ref_id, key, near_year, journal_key)."""
-    near = keys.join(key_weights(keys), "key")
-    met = asked.join(near.withColumnsRenamed({"journal_key": "work_journal", "year": "near_year"}), ["key", "near_year"])
-    score = F.sum("idf") if bonus is None else F.sum("idf") + F.max(bonus)
-    scored = met.groupBy("ref_id", "source", "record_id").agg(F.round(score, 6).alias("rank_score"))
+def _index(works: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The keys of works, and for each from where to where its works stand in the third."""
+    lists = works.column("keys").combine_chunks()
+    coded = pc.list_flatten(lists).dictionary_encode()
+    codes, owners = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return coded.dictionary, np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1)), owners[order]
+
+
+def _first(scores: np.ndarray, k: int) -> np.ndarray:
+    """Where the k highest scores are, of equal ones the first."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        return at[np.argsort(-scores[at], kind="stable")[:k]]
+    return np.argsort(-scores, kind="stable")
+
+
+def _top(k: int, bonus: float):
+    """The best k works of each citation within one block.
+
+    Keys are taken rarest first. As soon as those to come cannot lift a work that has none so far over the k-th
+    best, they are only added to works met before.
+    """
+
+    def rank(asked: pa.Table, works: pa.Table) -> pa.Table:
+        if not (asked.num_rows and works.num_rows):
+            return pa.Table.from_arrays([asked.column("ref_id").slice(0, 0), *works.select(["source", "record_id"]).slice(0, 0).columns, pa.array([], pa.float64())], ["ref_id", "source", "record_id", "rank_score"])
+        works = works.take(pc.sort_indices(works, [("source", "ascending"), ("record_id", "ascending")]))
+        names, starts, owners = _index(works)
+        lists = asked.column("keys").combine_chunks()
+        pairs = pc.list_flatten(lists)
+        place = pc.fill_null(pc.index_in(pairs.field("key"), value_set=names), -1).to_numpy()
+        idf = pairs.field("idf").to_numpy()
+        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        journals = np.array(works.column("journal_key").to_pylist(), object)
+        rows, found, ranks = [], [], []
+        for row, journal in enumerate(asked.column("journal_key").to_pylist()):
+            own, gains = place[bounds[row] : bounds[row + 1]], idf[bounds[row] : bounds[row + 1]]
+            own, gains = own[own >= 0], gains[own >= 0]
+            order = np.argsort(-gains, kind="stable")
+            own, gains = own[order], gains[order]
+            scores, met = np.zeros(works.num_rows), None
+            for n, (code, gain) in enumerate(zip(own.tolist(), gains.tolist(), strict=True)):
+                post = owners[starts[code] : starts[code + 1]]
+                if met is None and len(post) * 16 > len(scores) > k and gains[n:].sum() + bonus + 1e-5 < np.partition(scores, -k)[-k]:
+                    met = np.flatnonzero(scores)
+                if met is not None:
+                    post = met[np.isin(met, post, assume_unique=True)]
+                scores[post] += gain
+            met = np.flatnonzero(scores)
+            total = np.round(scores[met] + (bonus * (journals[met] == journal) if bonus else 0.0), 6)
+            best = _first(total, k)
+            rows.append(np.full(len(best), row))
+            found.append(met[best])
+            ranks.append(total[best])
+        rows, found = np.concatenate([np.zeros(0, int), *rows]).astype(int), np.concatenate([np.zeros(0, int), *found]).astype(int)
+        kept = works.select(["source", "record_id"]).take(found)
+        return pa.Table.from_arrays([asked.column("ref_id").take(rows), *kept.columns, pa.array(np.concatenate([np.zeros(0), *ranks]))], ["ref_id", "source", "record_id", "rank_score"])
+
+    return rank
+
+
+def _ranked(asked: DataFrame, keys: DataFrame, works: DataFrame, k: int, bonus: float = 0.0) -> DataFrame:
+    """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, keys); ``bonus`` is for the same journal."""
+    keys, asked = staged(keys), staged(asked)
+    weights = staged(key_weights(keys))
+    single = asked.select("ref_id", F.explode("keys").alias("key"))
+    weighed = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(weights.filter("NOT common"), "key"))
+    own = weighed.groupBy("ref_id").agg(F.collect_list(F.struct("key", "idf")).alias("keys"))
+    tolerance = year_tolerance(F.col("year"))
+    near = asked.drop("keys").join(own, "ref_id").withColumn("near", F.explode(F.sequence(F.col("year") - tolerance, F.col("year") + tolerance))).drop("year")
+    # Years of many works or citations are cut into blocks, so that no year is one task's.
+    blocks = lambda name: F.ceil(F.count("*") / BLOCK).alias(name)
+    cuts = staged(near.groupBy("near").agg(blocks("parts")).join(keys.groupBy(F.col("year").alias("near")).agg(blocks("shelves")), "near"))
+    near = near.join(F.broadcast(cuts), "near").withColumns({"part": F.pmod(F.xxhash64("ref_id"), "parts"), "shelf": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shelves") - 1))})
+    held = keys.withColumnRenamed("year", "near").join(F.broadcast(cuts), "near").withColumns({"shelf": F.pmod(F.xxhash64("source", "record_id"), "shelves"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))})
+    at = ["near", "part", "shelf"]
+    kind = asked.schema["ref_id"].dataType.simpleString()
+    schema = f"ref_id {kind}, source string, record_id string, rank_score double"
+    near, held = near.select(*at, "ref_id", "journal_key", "keys"), held.select(*at, "source", "record_id", "journal_key", "keys")
+    scored = near.groupBy(*at).cogroup(held.groupBy(*at)).applyInArrow(_top(k, bonus), schema)
     rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("rank_score"), "source", "record_id"))
     top = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
     records = works.select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
@@ -67,9 +151,7 @@ def _asked(citations: DataFrame, author: Column) -> DataFrame:
         "ref_id", "year", F.coalesce(normalize_journal(F.col("journal")), F.lit("")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_author(author).alias("a")
     )
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.col("a") != "", F.array(author_key(F.col("a")))).otherwise(F.array().cast("array<string>")))
-    tolerance = year_tolerance(F.col("year"))
-    spread = named.withColumn("near_year", F.explode(F.sequence(F.col("year") - tolerance, F.col("year") + tolerance)))
-    return spread.select("ref_id", "near_year", "journal_key", F.explode(keys).alias("key"))
+    return named.select("ref_id", "year", "journal_key", keys.alias("keys"))
 
 
 def search_candidates(citations: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
@@ -82,7 +164,7 @@ def search_fielded(citations: DataFrame, works: DataFrame, k: int = 5) -> DataFr
     """As ``search_candidates``, with the first word of the first author, and a bonus of 1 for the same journal."""
     works = works.filter("source = 'Crossref'")
     author = F.substring_index("first_author", " ", 1)
-    return _ranked(_asked(citations, author), work_keys(works), works, k, F.when(F.col("journal_key") == F.col("work_journal"), 1.0).otherwise(0.0))
+    return _ranked(_asked(citations, author), work_keys(works), works, k, 1.0)
 
 
 def scored_candidates(candidates: DataFrame, citations: DataFrame) -> DataFrame:
