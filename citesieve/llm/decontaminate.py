@@ -2,7 +2,8 @@
 
 Words of the benchmark items and of the documents are hashed under fixed masks that ignore some positions, so
 a hit survives words that were exchanged. Hits are joined by hash, each gives an alignment of an item with a
-document, and the alignment is compared word by word.
+document, and the alignment is compared word by word. Positions that agree are united over all alignments of an
+item with a document, so words put in or left out cost only themselves; a long part of an item counts by itself.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHORT_ITEM = 19
 PIECE_WORDS = 128
 #: An item of fewer words is too short to tell where it comes from, and matches nothing.
 LEAST_WORDS = 5
+#: So many words of an item in a row, of which the share agrees, are a leak whatever the rest of the item.
+LEAST_OVERLAP = 20
 #: Bits of the filter that documents' hashes must pass before they are sent to the join; at most 16 MB.
 MOST_FILTER_BITS = 27
 
@@ -48,24 +51,75 @@ def _seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return out
 
 
+def _piece_bounds(n: int) -> np.ndarray:
+    pieces = -(-n // PIECE_WORDS)
+    return n * np.arange(pieces + 1) // pieces
+
+
 def _cut_items(batches):
+    """Pieces of the items, each with up to ``LEAST_OVERLAP`` words before and after it, and the seeds that begin in it."""
     for part in slices(batches):
         words, first = _words(part.column("text"))
-        for item, low, high in zip(part.column("item_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        rows = zip(part.column("item_id").to_pylist(), part.column("item_row").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)
+        for item, item_row, low, high in rows:
             n = high - low
             if n < LEAST_WORDS:
                 continue
-            pieces = -(-n // PIECE_WORDS)
-            for k in range(pieces):
-                own = words[low + n * k // pieces : low + n * (k + 1) // pieces]
+            bounds = _piece_bounds(n).tolist()
+            for k, (begin, end) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                start = max(0, begin - LEAST_OVERLAP)
+                own = words[low + start : low + min(n, end + LEAST_OVERLAP)]
                 masks = MASKS if n < SHORT_ITEM else MASKS[:-1]
-                found = [(h, p) for number, mask in enumerate(masks) for p, h in enumerate(_seeds(own, mask, number).view(np.int64).tolist())]
+                found = [(h, p) for number, mask in enumerate(masks) for p, h in enumerate(_seeds(own, mask, number).view(np.int64).tolist()) if begin <= start + p < end]
                 yield pa.RecordBatch.from_pylist(
-                    [{"item_id": item, "item_words": n, "piece": k, "words": own.view(np.int64).tolist(), "seeds": [{"h": h, "at": p} for h, p in found]}],
-                    pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("piece", pa.int32()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))]),
+                    [{"item_id": item, "item_row": item_row, "item_words": n, "piece": k, "start": start, "words": own.view(np.int64).tolist(), "seeds": [{"h": h, "at": p} for h, p in found]}],
+                    pa.schema([("item_id", pa.int64()), ("item_row", pa.int64()), ("item_words", pa.int32()), ("piece", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))]),
                 )
 
 
+def _within(agree: np.ndarray, size: int, share: float) -> np.ndarray:
+    """The positions in windows of ``size`` words of which ``share`` agree."""
+    sums = np.append(0, np.cumsum(agree))
+    good = np.flatnonzero(sums[size:] - sums[:-size] >= share * size - 1e-9) if len(agree) >= size else np.zeros(0, int)
+    edge = np.zeros(len(agree) + 1, int)
+    np.add.at(edge, good, 1)
+    np.add.at(edge, good + size, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+_OWN = ("doc_row", "doc_id", "item_row", "item_id", "item_words")
+_COMPARED = "doc_row bigint, doc_id bigint, item_row bigint, item_id bigint, item_words int, piece int, matched int, low bigint, high bigint, overlap boolean"
+
+
+def _compared(share: float):
+    """For each alignment and piece: the words that agree in the piece, and as bits those in windows of ``LEAST_WORDS`` that agree."""
+
+    def compare(batches):
+        for batch in batches:
+            rows = {name: [] for name in (*_OWN, "piece", "matched", "low", "high", "overlap")}
+            for r in zip(*(batch.column(c).to_pylist() for c in _OWN), *(batch.column(c).to_pylist() for c in ("piece", "start", "at")), range(batch.num_rows), strict=True):
+                *own, piece, start, at, k = r
+                item, doc = (batch.column(c)[k].values.to_numpy() for c in ("words", "doc_words"))
+                agree = np.zeros(len(item), bool)
+                begin, end = max(0, -at), min(len(item), len(doc) - at)
+                if begin < end:
+                    agree[begin:end] = item[begin:end] == doc[at + begin : at + end]
+                places = start + np.flatnonzero(agree)
+                near = start + np.flatnonzero(agree & _within(agree, LEAST_WORDS, share))
+                overlap = bool(_within(agree, LEAST_OVERLAP, share).any())
+                bounds = _piece_bounds(own[-1])
+                for part in sorted({piece, *(np.searchsorted(bounds, near, "right") - 1).tolist()}):
+                    inside = lambda p: p[(p >= bounds[part]) & (p < bounds[part + 1])] - bounds[part]  # noqa: B023, E731
+                    bits = sum(1 << b for b in inside(near).tolist())
+                    signed = [x - (1 << 64) if x >> 63 else x for x in (bits & (1 << 64) - 1, bits >> 64)]
+                    for name, value in zip(rows, (*own, part, len(inside(places)) if part == piece else 0, *signed, overlap), strict=True):
+                        rows[name].append(value)
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
+
+    return compare
+
+
 def _filter(hashes: np.ndarray, bits: int) -> np.ndarray:
     """A Bloom filter of two bits a hash."""
     out = np.zeros(1 << bits >> 3, np.uint8)
@@ -111,51 +165,57 @@ def _regions(shared, bits: int, reach: int):
             new = np.ones(len(places), bool)
             new[1:] = (np.diff(places) > reach) | (np.diff(owner) > 0)
             cuts = np.append(np.flatnonzero(new), len(places))
-            rows = {"doc_id": [], "base": [], "words": [], "hits": []}
-            ids = part.column("doc_id")
+            rows = {"doc_id": [], "doc_row": [], "base": [], "words": [], "hits": []}
+            ids, numbers = part.column("doc_id"), part.column("doc_row")
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 doc = int(owner[low])
                 begin = max(int(first[doc]), int(places[low]) - reach)
                 end = min(int(first[doc + 1]), int(places[high - 1]) + reach + 1)
                 rows["doc_id"].append(ids[doc].as_py())
+                rows["doc_row"].append(numbers[doc].as_py())
                 rows["base"].append(begin - int(first[doc]))
                 rows["words"].append(words[begin:end].view(np.int64))
                 rows["hits"].append([{"h": h, "at": p} for h, p in zip(hashes[low:high].view(np.int64).tolist(), (places[low:high] - first[doc]).tolist(), strict=True)])
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["base"], pa.int64()), pa.array(rows["words"], pa.list_(pa.int64())), pa.array(rows["hits"], _HITS)],
-                    ["doc_id", "base", "words", "hits"],
+                    [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["doc_row"], pa.int64()), pa.array(rows["base"], pa.int64()), pa.array(rows["words"], pa.list_(pa.int64())), pa.array(rows["hits"], _HITS)],
+                    ["doc_id", "doc_row", "base", "words", "hits"],
                 )
 
     return scan
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_words, n_matched, similarity): documents that hold at least ``share`` of an item's words in place.
-
-    Words are runs of ASCII letters and digits and of bytes above ASCII, with A-Z lowered. An item is aligned
-    with a document without gaps (in pieces of up to ``PIECE_WORDS`` words); words that differ, or that lie
-    outside the document, do not match. The best alignment counts. Null and empty texts match nothing, nor do
-    items under ``LEAST_WORDS`` words. Rows that repeat a doc_id (or an item_id) count as one document (item):
-    the best of them counts; so do all rows without doc_id. Other columns are ignored.
+    """(doc_id, item_id, n_words, n_matched, similarity): documents that hold at least ``share`` of an item's words, or a long part of it.
+
+    Words are runs of ASCII letters and digits and of bytes above ASCII, with A-Z lowered. Wherever a hit aligns an
+    item with a document, words are compared in place; those that differ, or lie outside the document, do not
+    match. ``n_matched`` counts the item's words in windows of ``LEAST_WORDS`` with ``share`` agreeing, united over
+    all alignments, or those of the best alignment of each piece (of up to ``PIECE_WORDS``) if they are more. A
+    window of ``LEAST_OVERLAP`` words with ``share`` agreeing is a leak however long the item. Null and empty texts
+    match nothing, nor do items under ``LEAST_WORDS`` words. Rows that repeat a doc_id (or an item_id) count as one
+    document (item): the best of them counts; so do all rows without doc_id. Other columns are ignored.
     """
+    numbered = benchmark.select("item_id", "text").withColumn("item_row", F.monotonically_increasing_id())
     pieces = checkpointed(
-        benchmark.select("item_id", "text").mapInArrow(_cut_items, "item_id bigint, item_words int, piece int, words array<bigint>, seeds array<struct<h: bigint, at: int>>").withColumn("piece_id", F.monotonically_increasing_id())
+        numbered.mapInArrow(_cut_items, "item_id bigint, item_row bigint, item_words int, piece int, start int, words array<bigint>, seeds array<struct<h: bigint, at: int>>").withColumn("piece_id", F.monotonically_increasing_id())
     )
     seeds = pieces.select("piece_id", F.explode("seeds").alias("seed")).select("piece_id", F.col("seed.h").alias("h"), F.col("seed.at").alias("item_at"))
     sizes = pieces.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)).alias("n"), F.coalesce(F.max(F.size("words")), F.lit(1)).alias("reach")).first()
     bits = min(MOST_FILTER_BITS, max(16, math.ceil(math.log2(64 * max(1, sizes.n)))))
     shared = documents.sparkSession.sparkContext.broadcast(_gathered_filter(seeds, bits))
+    documents = documents.select("doc_id", "text").withColumn("doc_row", F.monotonically_increasing_id())
     regions = checkpointed(
-        documents.select("doc_id", "text").mapInArrow(_regions(shared, bits, sizes.reach), "doc_id bigint, base bigint, words array<bigint>, hits array<struct<h: bigint, at: int>>").withColumn("region_id", F.monotonically_increasing_id())
+        documents.mapInArrow(_regions(shared, bits, sizes.reach), "doc_id bigint, doc_row bigint, base bigint, words array<bigint>, hits array<struct<h: bigint, at: int>>").withColumn("region_id", F.monotonically_increasing_id())
     )
     hits = regions.select("region_id", F.explode("hits").alias("hit")).select("region_id", F.col("hit.h").alias("h"), F.col("hit.at").alias("at"))
     aligned = hits.join(seeds, "h").select("region_id", "piece_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    held = regions.select("region_id", "doc_id", "base", F.col("words").alias("doc_words"))
-    aligned = aligned.join(held, "region_id").join(pieces.drop("seeds"), "piece_id")
-    matched = F.expr("aggregate(sequence(0, size(words) - 1), 0, (n, i) -> n + if(get(doc_words, cast(shift - base + i as int)) = words[i], 1, 0))")
-    best = aligned.select("doc_id", "item_id", "item_words", "piece", matched.alias("matched")).groupBy("doc_id", "item_id", "item_words", "piece").agg(F.max("matched").alias("matched"))
-    found = best.groupBy("doc_id", "item_id", "item_words").agg(F.sum("matched").alias("n_matched")).filter(F.col("n_matched") >= share * F.col("item_words"))
+    held = regions.select("region_id", "doc_row", "doc_id", "base", F.col("words").alias("doc_words"))
+    aligned = aligned.join(held, "region_id").join(pieces.drop("seeds"), "piece_id").withColumn("at", F.col("shift") - F.col("base"))
+    compared = aligned.select(*_OWN, "piece", "start", "at", "words", "doc_words").mapInArrow(_compared(share), _COMPARED)
+    best = compared.groupBy(*_OWN, "piece").agg(F.max("matched").alias("matched"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), F.max("overlap").alias("overlap"))
+    each = F.greatest(F.col("matched"), F.bit_count("low") + F.bit_count("high"))
+    found = best.groupBy(*_OWN).agg(F.sum(each).alias("n_matched"), F.max("overlap").alias("overlap")).filter((F.col("n_matched") >= share * F.col("item_words")) | F.col("overlap"))
     found = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("item_words", "n_matched"), F.col("n_matched") / F.col("item_words")).alias("top"))
     return found.select(
         "doc_id", "item_id", F.col("top.item_words").cast("long").alias("n_words"), F.col("top.n_matched").alias("n_matched"), F.round(F.col("top.n_matched") / F.col("top.item_words"), 4).alias("similarity")
