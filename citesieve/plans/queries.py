@@ -417,9 +417,12 @@ def j10_title_search_unique(spark, sf_dir):
     return candidates.title_search_unique(searchable(spark, sf_dir), fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
-@registered("SELECT ref_id, bibcode AS record_id FROM citations WHERE mode IN (0, 4) AND work_id % 20 = 3")
+@registered(
+    """SELECT ref_id, bibcode AS record_id FROM citations WHERE mode IN (0, 4) AND work_id % 20 = 3
+  UNION ALL SELECT ref_id, bibcode AS record_id FROM citations WHERE mode IN (1, 2, 3, 9) AND work_id % 20 = 3"""
+)
 def j11_ads_discovery(spark, sf_dir):
-    missed = parsed(spark, sf_dir).filter("mode IN (0, 4, 5)").withColumn("record", F.lit(None).cast("string"))
+    missed = parsed(spark, sf_dir).withColumn("record", F.lit(None).cast("string"))
     return candidates.ads_discovery(missed, fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
@@ -573,9 +576,9 @@ LABEL = f"""CASE WHEN mode IN (2, 9) THEN '{classify.MAJOR}' WHEN mode = 1 OR (m
   WHEN mode = 8 THEN '{route.MANUAL_REVIEW}' WHEN mode = 11 THEN '{route.WEB}' ELSE '{classify.SUFFICIENT}' END"""
 
 
-def _verdicts(spark, sf_dir, modes="0, 1, 2, 3, 9, 10"):
+def _verdicts(spark, sf_dir):
     """Citations with a DOI, from text to label."""
-    own = parsed(spark, sf_dir).filter(f"mode IN ({modes})")
+    own = parsed(spark, sf_dir).filter("route = 'doi'")
     found = with_doi_flags(lookup.lookup_doi(own, fx.works(spark, sf_dir)).withColumn("match_reason", F.lit(None).cast("string")), fx.registry(spark, sf_dir))
     return classified(compare.with_evidence(compare.compared(found)))
 
@@ -605,10 +608,15 @@ def g3_classify_flags(spark, sf_dir):
 
 @registered(
     """SELECT ref_id, CASE WHEN mode = 10 THEN 'lookup completed without a usable matching record; supplied DOI was not found; source identity requires review; authors: metadata unavailable; title: metadata unavailable; year: metadata unavailable; journal: metadata unavailable; DOI not found by Crossref or the resolver'
-  WHEN work_id % 50 IN (0, 1) THEN 'DOI resolver confirmation unavailable' ELSE '' END AS notes FROM citations WHERE mode IN (0, 10)"""
+  WHEN work_id % 50 IN (0, 1) THEN 'DOI resolver confirmation unavailable' ELSE '' END AS notes FROM citations WHERE mode IN (0, 10)
+  UNION ALL SELECT ref_id, concat_ws('; ', CASE mode WHEN 1 THEN 'author list conflicts' WHEN 2 THEN 'identifier record conflicts with both the submitted author list and title' WHEN 9 THEN 'major metadata conflict: journal, volume, pages'
+    WHEN 3 THEN CASE WHEN ref_id % 24 <> 3 THEN 'year mismatch' END END,
+    CASE mode WHEN 1 THEN 'Zimmer is named in the submitted reference but not found in the retrieved author list'
+      WHEN 2 THEN concat('Quinn is named in the submitted reference but not found in the retrieved author list; the first named author differs from the retrieved record''s first author, ', s1) END,
+    CASE WHEN work_id % 50 IN (0, 1) THEN 'DOI resolver confirmation unavailable' END) AS notes FROM citations WHERE mode IN (1, 2, 3, 9)"""
 )
 def g4_assemble_notes(spark, sf_dir):
-    return _verdicts(spark, sf_dir, "0, 10").select("ref_id", "notes")
+    return _verdicts(spark, sf_dir).select("ref_id", "notes")
 
 
 def validated(spark, sf_dir):
