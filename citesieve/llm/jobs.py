@@ -5,11 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Side tables up to this many rows (of a few numbers each) may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Side tables up to this many bytes may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+#: What a value takes beside its bytes, and what a number takes.
+_EACH = 16
 
 
 def let_go(spark: SparkSession) -> None:
@@ -18,22 +21,48 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the cluster's shared folder; without one configured (tests), in a new local folder.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoints go to a folder all executors see.
 
-    Shuffle files and copies that only earlier steps needed are let go first.
+    That is the one the cluster names in spark.checkpoint.dir. Only a local master, whose executors share the
+    driver's disk, may do without; then a new local folder is taken.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder. Shuffle files and copies that only earlier steps needed are let go first."""
     let_go(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a (checkpointed) side table for broadcast if it has at most ``limit`` rows; else leave the join to shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(kind: T.DataType, value: Column) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.lit(_EACH) + F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(0).cast("long"), lambda n, x: n + _width(kind.elementType, x))
+    if isinstance(kind, T.StructType):
+        out = F.lit(_EACH).cast("long")
+        for field in kind.fields:
+            out = out + _width(field.dataType, value[field.name])
+        return out
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(_EACH).cast("long") + F.coalesce(F.octet_length(value), F.lit(0))
+    return F.lit(_EACH).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a (checkpointed) side table for broadcast if it takes at most ``limit`` bytes; else leave the join to shuffles."""
+    width = F.lit(_EACH).cast("long")
+    for field in df.schema.fields:
+        width = width + _width(field.dataType, F.col(f"`{field.name}`"))
+    taken = df.limit(limit // _EACH + 1).agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
+    return F.broadcast(df) if taken <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every sum over a node's edges is combined before the shuffle and joins can be split, so one node may
     hold most edges. Each round is checkpointed.
     """
-    both = checkpointed(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = checkpointed(edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

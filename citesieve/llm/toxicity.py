@@ -21,7 +21,9 @@ from .text import LOWER, NO_ALNUM, slices, span_hashes, utf8, word_spans
 #: Fitting takes at most about this many labelled rows, chosen by a hash of doc_id.
 MOST_TRAINING = 12_000
 #: A lexicon word stands in at least so many toxic rows of the sample, and is so much likelier there than elsewhere.
-LEAST_ROWS, LEAST_LIFT, MOST_WORDS = 5, 8.0, 128
+LEAST_ROWS, LEAST_LIFT = 5, 8.0
+#: The model has at most so many lexicon words, those of most toxic rows; it bounds the fit as MOST_TRAINING does.
+MOST_WORDS = 256
 #: Rounds of expectation maximisation, and of the classifier's fitting.
 ROUNDS = 50
 TOXIC, CLEAN, SILENT = 1, 0, -1
@@ -52,7 +54,7 @@ def features(column, lexicon: np.ndarray) -> np.ndarray:
     if len(lexicon) and len(words):
         at = np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)
         hit = lexicon[at] == words
-        np.add.at(out, (owner[hit], at[hit]), 1)
+        out[:, :-4] = np.bincount(owner[hit] * len(lexicon) + at[hit], minlength=texts * len(lexicon)).reshape(texts, -1)
     out[:, -4] = np.diff(first)
     for k, which in ((-3, (data >= 65) & (data <= 90)), (-2, data == 33)):
         sums = np.concatenate([[0], np.cumsum(which)])
@@ -81,27 +83,37 @@ def inputs(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(counts, 3), np.log1p(total), total > 0, (counts > 0).sum(1), np.minimum(1, total / np.maximum(words, 1) * 20)])
 
 
-def label_model(v: np.ndarray, prior: float) -> np.ndarray:
-    """Posterior probability of toxic for each row of votes.
+def label_model(v: np.ndarray, prior: float, n: np.ndarray | None = None) -> np.ndarray:
+    """Posterior probability of toxic for each row of votes; ``n`` tells how often each row comes.
 
     Expectation maximisation gives each voter's rate of each vote in either class. Voters whose votes still
-    move together within a class (correlation of what the model leaves over) share their weight.
+    move together within a class (correlation of what the model leaves over) share their weight. What is left
+    over is never laid out: its sums follow from those of the votes and of the expected votes.
     """
-    said = [(v == k).astype(float) for k in (TOXIC, CLEAN, SILENT)]
-    posterior = np.clip(0.02 + 0.96 * ((v == TOXIC).sum(1) > (v == CLEAN).sum(1)), 0.02, 0.98)
-    share = np.ones(v.shape[1])
+    n = np.ones(len(v)) if n is None else n.astype(float)
+    toxic, clean = ((v == k).astype(np.float32) for k in (TOXIC, CLEAN))
+    signed = toxic - clean
+    total, sums = n.sum(), n @ signed
+    gram = (signed * n[:, None].astype(np.float32)).T @ signed
+    posterior = np.clip(0.02 + 0.96 * (toxic.sum(1) > clean.sum(1)), 0.02, 0.98)
     for _ in range(ROUNDS):
-        rates = []
-        for p in (posterior, 1 - posterior):
-            mass = p.sum() + 3.0
-            rates.append([(p @ s + 1.0) / mass for s in said])
-        expected = [[p[:, None] * r for r in rs] for p, rs in zip((posterior, 1 - posterior), rates, strict=True)]
-        rest = said[0] - said[1] - (expected[0][0] + expected[1][0] - expected[0][1] - expected[1][1])
-        spread = rest / np.maximum(rest.std(0), 1e-9)
-        correlation = np.abs(spread.T @ spread) / len(v)
+        classes = np.column_stack([posterior, 1 - posterior])
+        mass = n @ classes
+        said = [(n[:, None] * classes).T @ s for s in (toxic, clean)]
+        said.append(mass[:, None] - said[0] - said[1])
+        rates = [(s + 1.0) / (mass[:, None] + 3.0) for s in said]
+        expected = rates[0] - rates[1]
+        met = (said[0] - said[1]).T @ expected
+        own = (n[:, None] * classes).T @ classes
+        left = gram - met - met.T + expected.T @ own @ expected
+        mean = (sums - mass @ expected) / total
+        spread = np.sqrt(np.maximum(np.diag(left) / total - mean**2, 0))
+        spread = np.maximum(spread, 1e-9)
+        correlation = np.abs(left) / (total * np.outer(spread, spread))
         np.fill_diagonal(correlation, 0)
         share = 1 / (1 + np.where(correlation > 0.2, correlation, 0).sum(0))
-        log_odds = np.log(prior / (1 - prior)) + sum(s @ (share * np.log(a / b)) for s, a, b in zip(said, *rates, strict=True))
+        gain = [share * np.log(r[0] / r[1]) for r in rates]
+        log_odds = np.log(prior / (1 - prior)) + gain[2].sum() + toxic @ (gain[0] - gain[2]) + clean @ (gain[1] - gain[2])
         new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
         if np.abs(new - posterior).max() < 1e-6:
             break
@@ -109,15 +121,16 @@ def label_model(v: np.ndarray, prior: float) -> np.ndarray:
     return posterior
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on soft labels of rows that come ``n`` times, by Newton steps."""
+    x1 = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x1.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty + 1e-9), x1.T @ (y - p) - penalty * w)
+        weighted = x1 * (n * p * (1 - p))[:, None]
+        step = np.linalg.solve(weighted.T @ x1 + np.diag(penalty + 1e-9), x1.T @ (n * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -167,47 +180,49 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING)
     def read(batches):
         for part in slices(batches):
             x = features(part.column("text"), lexicon)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())], ["doc_id", "toxic", "x"])
-
-    sample = rows.select("doc_id", "toxic", "text").mapInArrow(read, "doc_id bigint, toxic int, x binary").toArrow().sort_by("doc_id")
-    y = sample.column("toxic").to_numpy().astype(float)
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.1
+            laid = zip(votes(x).astype(np.int8), inputs(x), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([v.tobytes() + i.tobytes() for v, i in laid], pa.binary())], ["toxic", "row"])
+
+    # Rows with the same votes and inputs are one row that comes so often; Spark counts them.
+    counted = rows.select("toxic", "text").mapInArrow(read, "toxic int, row binary").groupBy("row").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    sample = counted.toArrow().sort_by("row")
+    n, toxic = (sample.column(c).to_numpy().astype(float) for c in ("n", "toxic"))
+    share = float(np.clip(toxic.sum() / n.sum(), 1e-3, 1 - 1e-3)) if len(n) else 0.1
     if not len(lexicon):
         return Model(lexicon, np.zeros(4), 0.0, (0.0, float(np.log(share / (1 - share)))))
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(len(y), -1).astype(float)
-    posterior = label_model(votes(x), share)
-    weights, bias = logistic(inputs(x), posterior)
-    raw = inputs(x) @ weights + bias
-    (slope,), shift = logistic(raw[:, None], y, ridge=1e-3)
+    voters = votes(np.zeros((1, len(lexicon) + 4))).shape[1]
+    laid = np.frombuffer(b"".join(sample.column("row").to_pylist()), np.uint8).reshape(len(n), -1)
+    v, x = laid[:, :voters].view(np.int8), np.ascontiguousarray(laid[:, voters:]).view(np.float64)
+    weights, bias = logistic(x, label_model(v, share, n), n)
+    raw = x @ weights + bias
+    (slope,), shift = logistic(raw[:, None], toxic / n, n, ridge=1e-3)
     return Model(lexicon, weights, bias, (float(max(slope, 0.0)), shift))
 
 
+def _probabilities(model: Model, column) -> np.ndarray:
+    slope, shift = model.scale
+    raw = inputs(features(column, model.lexicon)) @ model.weights + model.bias
+    return 1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30)))
+
+
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``documents`` (doc_id, text); null and empty texts score as texts without words.
 
-    Repeated rows stay; other columns are ignored.
+    Repeated rows stay; other columns are ignored. The model is a few kilobytes and goes with the tasks.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
-        slope, shift = model.scale
         for part in slices(batches):
-            raw = inputs(features(part.column("text"), model.lexicon)) @ model.weights + model.bias
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_probabilities(model, part.column("text")))], ["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
 
 
 def kept(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``documents`` that score under the threshold, with all their columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
-        slope, shift = model.scale
         for part in slices(batches):
-            raw = inputs(features(part.column("text"), model.lexicon)) @ model.weights + model.bias
-            yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30))) < threshold))
+            yield part.filter(pa.array(_probabilities(model, part.column("text")) < threshold))
 
     return documents.mapInArrow(run, documents.schema)
