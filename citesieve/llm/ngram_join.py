@@ -3,7 +3,8 @@
 Two texts with Jaccard similarity of at least p percent must share a token among the first
 n - ceil(p n / 100) + 1 tokens of both, whatever global order of the tokens is taken. The first order puts
 rare tokens first; the others break its ties, and its near-ties, by other hashes. A pair is a candidate only
-if it shares prefix tokens under every order, and candidates are verified exactly.
+if it shares prefix tokens under every order. The prefixes under the other orders are compared for the pairs
+that the first one leaves, before any whole set is moved, and what is left is verified exactly.
 
 Texts with the same token set are one node. Many copies of one text share the same tokens, so all pairs
 would be quadratic: first each node is paired with one hub for each prefix token it shares, and what
@@ -15,22 +16,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import checkpointed, components, small
 from .text import U64, mix, ragged, shingle_sets, slices
 
-#: Token counts are kept in 2 ** COUNT_BITS cells at every size of corpus (2 MB); several tokens may share a cell.
+#: Token counts are kept in 2 ** COUNT_BITS cells at every size of corpus (4 MB); several tokens may share a cell.
 COUNT_BITS = 19
 CELLS_A_ROW = 1 << 13
 #: Salts of the second, third, ... token order.
 ORDER_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Set sizes within 4 percent are of one class; only classes that can link are joined.
 CLASS_BASE = 1.04
-#: Words of 64 bits in a set's parity sketch: each token flips one bit.
-SKETCH_WORDS = 32
+#: A token with more pairs to try across components is cut by tokens of the next order.
+HOT_PAIRS = 1 << 24
 
 
 def _count_cells(n: int):
@@ -65,14 +65,14 @@ def token_counts(documents: DataFrame, n: int) -> np.ndarray:
     return cells
 
 
-def _ranked(tokens: np.ndarray, begins: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """The places of the tokens, text after text, under global order 0, 1 or 2."""
+def _ranked(tokens: np.ndarray, begins: np.ndarray, count: np.ndarray, order: int) -> np.ndarray:
+    """The places of the tokens (each text's ascending), text after text, under global order 0, 1 or 2."""
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    count = counts[(tokens >> U64(64 - COUNT_BITS)).astype(np.int64)]
     if order == 0:
-        return np.lexsort((tokens, count, owner))
-    near = np.log2(count + 1.0).astype(np.int64)
-    return np.lexsort((mix(tokens ^ U64(ORDER_SALTS[order - 1])), near, owner))
+        return np.lexsort((count, owner))
+    near = np.log2(count + 1.0).astype(np.uint64)
+    other = mix(tokens ^ U64(ORDER_SALTS[order - 1]))
+    return np.argsort(owner.astype(np.uint64) << U64(48) | near << U64(42) | other >> U64(22))
 
 
 def prefix_length(size, percent: int):
@@ -96,31 +96,22 @@ def _named(names: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(body), [None, pa.py_buffer(body.tobytes())]).cast(pa.binary())
 
 
-def _sketches(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Parity bits of each set. Sets differ in at least as many tokens as their sketches do in bits."""
-    out = np.zeros((len(begins) - 1) * SKETCH_WORDS, np.uint64)
-    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    bit = (mix(tokens) >> U64(40)) % U64(64 * SKETCH_WORDS)
-    np.bitwise_xor.at(out, owner * SKETCH_WORDS + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
-    return out
-
-
-def _prefixes(n: int, percent: int, shared):
+def _prefixes(n: int, percent: int, shared, orders: int):
     def prefix(batches):
         counts = shared.value
         for part in slices(batches):
             tokens, begins = shingle_sets(part.column("text"), n)
-            sizes = np.diff(begins)
-            place = _ranked(tokens, begins, counts, 0)
+            sizes, count = np.diff(begins), counts[(tokens >> U64(64 - COUNT_BITS)).astype(np.int64)]
             lengths = np.where(sizes > 0, prefix_length(sizes, percent), 0)
             weight = np.zeros(len(sizes))
             if len(tokens):
-                common = np.log2(1.0 + counts[(tokens >> U64(64 - COUNT_BITS)).astype(np.int64)])
-                weight[sizes > 0] = np.add.reduceat(common, begins[:-1][sizes > 0]) / sizes[sizes > 0]
+                weight[sizes > 0] = np.add.reduceat(np.log2(1.0 + count), begins[:-1][sizes > 0]) / sizes[sizes > 0]
+            first = ragged(tokens[_ranked(tokens, begins, count, 0)], begins[:-1], lengths)
+            # Under the other orders 32 bits of a token will do: a filter may let more through, never less.
+            others = [ragged((tokens[_ranked(tokens, begins, count, k)] >> U64(8)).astype(np.uint32), begins[:-1], lengths) for k in range(1, orders)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), ragged(tokens[place], begins[:-1], lengths),
-                 ragged(_sketches(tokens, begins), np.arange(len(sizes)) * SKETCH_WORDS, np.full(len(sizes), SKETCH_WORDS))],
-                ["doc_id", "n_shingles", "node", "weight", "prefix", "sketch"],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), first, *others],
+                ["doc_id", "n_shingles", "node", "weight", "prefix", *(f"prefix{k}" for k in range(1, orders))],
             )
 
     return prefix
@@ -135,63 +126,81 @@ def _sets(n: int):
     return read
 
 
-def _verified(percent: int, shared, orders: int):
+def _verified(percent: int):
     def lists(column):
-        return column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
+        return column.values.to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy().astype(np.int64))
 
     def verify(batches):
-        counts = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = pa.RecordBatch.from_struct_array(pa.concat_arrays([batch.slice(at, 256).to_struct_array()]))
-                (xs, xb), (ys, yb) = (lists(part.column(c)) for c in ("a_tokens", "b_tokens"))
-                keep = np.ones(part.num_rows, bool)
-
-                def met(x, xo, y, yo):
-                    """How many values two lists of each row share."""
-                    both, owner = np.concatenate([x, y]), np.concatenate([xo, yo])
-                    order = np.lexsort((both, owner))
-                    both, owner = both[order], owner[order]
-                    same = (both[1:] == both[:-1]) & (owner[1:] == owner[:-1])
-                    return np.bincount(owner[1:][same], minlength=part.num_rows)
-
-                sizes = [np.diff(b) for b in (xb, yb)]
-                owners = [np.repeat(np.arange(part.num_rows), s) for s in sizes]
-                for order in range(1, orders):
-                    heads = []
-                    for tokens, begins, size, owner in ((xs, xb, sizes[0], owners[0]), (ys, yb, sizes[1], owners[1])):
-                        place = _ranked(tokens, begins, counts, order)
-                        first = np.arange(len(tokens)) - np.repeat(begins[:-1], size) < np.repeat(prefix_length(size, percent), size)
-                        heads += [tokens[place][first], owner[first]]
-                    keep &= met(*heads) > 0
-                shared_tokens = met(xs, owners[0], ys, owners[1])
-                keep &= 100 * shared_tokens >= percent * (sizes[0] + sizes[1] - shared_tokens)
+                (x, x_sizes), (y, y_sizes) = (lists(part.column(c)) for c in ("a_tokens", "b_tokens"))
+                row = np.arange(part.num_rows)
+                both, owner = np.concatenate([x, y]), np.concatenate([np.repeat(row, x_sizes), np.repeat(row, y_sizes)])
+                order = np.lexsort((both, owner))
+                both, owner = both[order], owner[order]
+                met = np.bincount(owner[1:][(both[1:] == both[:-1]) & (owner[1:] == owner[:-1])], minlength=part.num_rows)
+                keep = 100 * met >= percent * (x_sizes + y_sizes - met)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return verify
 
 
-def _within_reach(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches leave room for enough shared tokens: at most (sizes - differing bits) / 2."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    differ = "aggregate(zip_with(a_sketch, b_sketch, (x, y) -> bit_count(x ^ y)), 0, (n, k) -> n + k)"
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(f"(a_n + b_n - {differ}) * {100 + percent} >= {2 * percent} * (a_n + b_n)").select("a", "b")
+def _met_under_all(nodes: DataFrame, pairs: DataFrame, orders: int) -> DataFrame:
+    """The pairs of nodes that share prefix tokens under the other orders too. Prefixes alone are moved, no whole set."""
+    for k in range(1, orders):
+        side = lambda x: nodes.select(F.col("id").alias(x), F.col(f"prefix{k}").alias(f"{x}_prefix"))  # noqa: B023, E731
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a_prefix", "b_prefix")).select("a", "b")
+    return pairs
 
 
-def _links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, shared, orders: int) -> DataFrame:
-    """The pairs (a, b) of nodes that meet under the other orders too and are similar enough."""
-    pairs = checkpointed(_within_reach(nodes, pairs, percent))
+def _links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The candidates (a, b) that are similar enough, by their whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     asked = checkpointed(nodes.select("id", "node", "doc_id").join(wanted, "id"))
     ids = asked.select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = documents.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
+    texts = documents.join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(n), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = checkpointed(sets.join(asked.select("id", "node"), "node").select("id", "tokens"))
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
-    return checkpointed(met.mapInArrow(_verified(percent, shared, orders), "a bigint, b bigint"))
+    return checkpointed(met.mapInArrow(_verified(percent), "a bigint, b bigint"))
+
+
+def _nodes(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of all rows, and one row per distinct token set with its prefixes."""
+    shared = documents.sparkSession.sparkContext.broadcast(token_counts(documents, n))
+    others = [f"prefix{k}" for k in range(1, orders)]
+    schema = "doc_id bigint, n_shingles bigint, node binary, weight double, prefix array<bigint>" + "".join(f", {c} array<int>" for c in others)
+    rows = checkpointed(documents.mapInArrow(_prefixes(n, percent, shared, orders), schema))
+    shared.destroy()
+    kept = [F.first(c).alias(c) for c in ("weight", "prefix", *others)]
+    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), *kept)
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
+    return rows.select("doc_id", "n_shingles", "node"), nodes
+
+
+def _entries(nodes: DataFrame) -> DataFrame:
+    """(token, id, n, place): prefix tokens under the first order that at least two nodes have."""
+    entries = nodes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
+    often = entries.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    return checkpointed(entries.join(often, "token"))
+
+
+def _to_hubs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Each node with the hub of each of its prefix tokens, if places and sizes leave room for enough shared tokens."""
+    hubs = entries.join(nodes.select("id", "weight"), "id").groupBy("token").agg(F.max(F.struct("weight", "n", "id", "place")).alias("hub"))
+    return entries.join(hubs, "token").filter(
+        f"hub.id <> id AND {100 + percent} * least(n - place, hub.n - hub.place) >= {percent} * (n + hub.n)"
+    ).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+
+
+def candidate_counts(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> list[int]:
+    """How many pairs of a node and a hub are left under the first order, the first two, and so on."""
+    _, nodes = _nodes(documents.select("doc_id", "text"), n, percent, orders)
+    pairs = checkpointed(_to_hubs(_entries(nodes), nodes, percent))
+    return [_met_under_all(nodes, pairs, k).count() for k in range(1, orders + 1)]
 
 
 def similar_components(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
@@ -204,47 +213,64 @@ def similar_components(documents: DataFrame, n: int = 5, percent: int = 80, orde
     rows alone has a null id. Other columns are ignored. Tokens are 64-bit hashes.
     """
     documents = documents.select("doc_id", "text")
-    context: SparkContext = documents.sparkSession.sparkContext
-    shared = context.broadcast(token_counts(documents, n))
-    rows = checkpointed(documents.mapInArrow(_prefixes(n, percent, shared), "doc_id bigint, n_shingles bigint, node binary, weight double, prefix array<bigint>, sketch array<bigint>"))
-    some = rows.filter("n_shingles > 0")
-    nodes = some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("weight").alias("weight"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
-    entries = nodes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
-    entries = checkpointed(entries.join(often, "token"))
-    hubs = entries.join(nodes.select("id", "weight"), "id").groupBy("token").agg(F.max(F.struct("weight", "n", "id", "place")).alias("hub"))
-    to_hub = entries.join(hubs, "token").filter(
-        f"hub.id <> id AND {100 + percent} * least(n - place, hub.n - hub.place) >= {percent} * (n + hub.n)"
-    ).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-    links = _links(documents, nodes, checkpointed(to_hub), n, percent, shared, orders)
-    labels = components(links)
-    rest = _across(entries, labels, percent)
-    if not rest.isEmpty():
-        links = links.union(_links(documents, nodes, rest, n, percent, shared, orders))
-        labels = components(links)
-    labelled = nodes.select("id", "node").join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("label", "id").alias("label"))
-    placed = rows.select("doc_id", "n_shingles", "node").join(labelled, "node", "left")
+    rows, labelled = labelled_nodes(documents, n, percent, orders)
+    placed = rows.join(labelled, "node", "left")
     lowest = placed.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("lowest"))
     return placed.join(lowest, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix token, could still be similar enough, and stand in different components.
+def labelled_nodes(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n_shingles, node) of ``documents`` (doc_id, text), and the label of each node's component."""
+    rows, nodes = _nodes(documents, n, percent, orders)
+    entries = _entries(nodes)
+    pairs = checkpointed(_met_under_all(nodes, checkpointed(_to_hubs(entries, nodes, percent)), orders))
+    labels = components(_links(documents, nodes, pairs, n, percent))
+    rest = _across(entries, nodes, labels, percent, orders)
+    if not rest.isEmpty():
+        links = _links(documents, nodes, rest, n, percent)
+        # Only links between components are new: these are the nodes of a much smaller graph.
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+        merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+        labels = nodes.select(F.col("id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        labels = labels.join(merged, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    labelled = nodes.select("id", "node").join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("label", "id").alias("label"))
+    return rows, labelled
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """(token, main, pairs) of the tokens that stand in several components: the one with most entries, and how many pairs are to be tried."""
+    sums = entries.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token")
+    sums = sums.agg(F.max(F.struct("times", "label")).alias("most"), F.count("*").alias("kinds"), F.sum("times").alias("all")).filter("kinds > 1")
+    return sums.select("token", F.col("most.label").alias("main"), (F.col("all").cast("double") * (F.col("all") - F.col("most.times"))).alias("pairs"))
+
+
+def _across(entries: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Pairs that share prefix tokens under all orders, could still be similar enough, and stand in different components.
 
     For each token the component with most entries is not joined with itself: the other entries meet all
-    entries. They are dealt by the token and a narrow class of set size, to the classes that can link.
+    entries. They are dealt by the token and a narrow class of set size, to the classes that can link. A
+    token with too many pairs gives way to the pairs of it and a prefix token of the next order, which a
+    similar partner must share as well, so it is cut into smaller parts and loses nothing.
     """
     held = checkpointed(entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
-    most = held.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token").agg(F.max(F.struct("times", "label")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
-    held = checkpointed(held.join(most.select("token", "most.label").withColumnRenamed("label", "main"), "token").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_BASE)))))
+    tokens = checkpointed(_mixed(held))
+    for k in range(1, orders):
+        hot = tokens.filter(F.col("pairs") > HOT_PAIRS).select("token")
+        if hot.isEmpty():
+            break
+        finer = held.join(hot, "token").join(nodes.select("id", F.explode(f"prefix{k}").alias("other")), "id").withColumn("token", F.xxhash64("token", "other")).drop("other")
+        held = checkpointed(held.join(hot, "token", "left_anti").unionByName(finer))
+        tokens = checkpointed(_mixed(held))
+    as_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(CLASS_BASE)))
+    held = checkpointed(held.join(tokens.drop("pairs"), "token").withColumn("class", as_class(F.col("n"))))
     # A partner of b tokens needs min(n - place, ...) >= percent (n + b) / (100 + percent), so b has an upper and a lower bound.
     high = F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n"))
     low = F.ceil(F.col("n") * percent / 100)
     side = held.filter("label <> main").withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).withColumn("low", low).filter("high >= low")
-    as_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(CLASS_BASE)))
     left = side.withColumn("class", F.explode(F.sequence(as_class(F.col("low")), as_class(F.col("high"))))).alias("a")
     pairs = left.join(held.alias("b"), ["token", "class"]).filter(
         f"a.label <> b.label and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)"
     )
-    return checkpointed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
+    pairs = checkpointed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
+    return checkpointed(_met_under_all(nodes, pairs, orders))
