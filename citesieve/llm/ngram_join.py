@@ -110,8 +110,8 @@ def _prefixes(n: int, percent: int, shared, orders: int):
             # Under the other orders 32 bits of a token will do: a filter may let more through, never less.
             others = [ragged((tokens[_ranked(tokens, begins, count, k)] >> U64(8)).astype(np.uint32), begins[:-1], lengths) for k in range(1, orders)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), first, *others],
-                ["doc_id", "n_shingles", "node", "weight", "prefix", *(f"prefix{k}" for k in range(1, orders))],
+                [part.column("doc_id"), part.column("row"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), first, *others],
+                ["doc_id", "row", "n_shingles", "node", "weight", "prefix", *(f"prefix{k}" for k in range(1, orders))],
             )
 
     return prefix
@@ -157,9 +157,9 @@ def _met_under_all(nodes: DataFrame, pairs: DataFrame, orders: int) -> DataFrame
 def _links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The candidates (a, b) that are similar enough, by their whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = checkpointed(nodes.select("id", "node", "doc_id").join(wanted, "id"))
+    asked = checkpointed(nodes.select("id", "node", F.col("lowest.doc_id").alias("doc_id")).join(wanted, "id"))
     ids = asked.select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = documents.join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
+    texts = documents.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(n), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = checkpointed(sets.join(asked.select("id", "node"), "node").select("id", "tokens"))
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
@@ -169,16 +169,17 @@ def _links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, per
 
 
 def _nodes(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of all rows, and one row per distinct token set with its prefixes."""
+    """(doc_id, row, n_shingles, node) of ``documents`` (doc_id, text, row), and one row per distinct token set with its prefixes."""
     shared = documents.sparkSession.sparkContext.broadcast(token_counts(documents, n))
     others = [f"prefix{k}" for k in range(1, orders)]
-    schema = "doc_id bigint, n_shingles bigint, node binary, weight double, prefix array<bigint>" + "".join(f", {c} array<int>" for c in others)
+    schema = "doc_id bigint, row bigint, n_shingles bigint, node binary, weight double, prefix array<bigint>" + "".join(f", {c} array<int>" for c in others)
     rows = checkpointed(documents.mapInArrow(_prefixes(n, percent, shared, orders), schema))
     shared.destroy()
     kept = [F.first(c).alias(c) for c in ("weight", "prefix", *others)]
-    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), *kept)
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lowest")
+    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), lowest, *kept)
     nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
-    return rows.select("doc_id", "n_shingles", "node"), nodes
+    return rows.select("doc_id", "row", "n_shingles", "node"), nodes
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def _to_hubs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def candidate_counts(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> list[int]:
     """How many pairs of a node and a hub are left under the first order, the first two, and so on."""
-    _, nodes = _nodes(documents.select("doc_id", "text"), n, percent, orders)
+    _, nodes = _nodes(documents.select("doc_id", "text", F.lit(0).cast("long").alias("row")), n, percent, orders)
     pairs = checkpointed(_to_hubs(_entries(nodes), nodes, percent))
     return [_met_under_all(nodes, pairs, k).count() for k in range(1, orders + 1)]
 
@@ -212,15 +213,24 @@ def similar_components(documents: DataFrame, n: int = 5, percent: int = 80, orde
     Repeated rows stay, each with its component; rows without doc_id take part, and a component of such
     rows alone has a null id. Other columns are ignored. Tokens are 64-bit hashes.
     """
-    documents = documents.select("doc_id", "text")
-    rows, labelled = labelled_nodes(documents, n, percent, orders)
-    placed = rows.join(labelled, "node", "left")
-    lowest = placed.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("lowest"))
-    return placed.join(lowest, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows, lowest = _grouped(documents.select("doc_id", "text", F.lit(0).cast("long").alias("row")), n, percent, orders)
+    return rows.join(lowest, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def labelled_nodes(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n_shingles, node) of ``documents`` (doc_id, text), and the label of each node's component."""
+def without_near_copies(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
+    """The rows of ``documents`` (doc_id, text, ...), of each component one: that with the smallest doc_id, those without one last.
+
+    Rows are told apart even if they share doc_id and text. ``documents`` is read more than once and must then
+    have its rows in the same order, as a table or a checkpoint has. Texts without words all stay.
+    """
+    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
+    rows, lowest = _grouped(numbered.select("doc_id", "text", F.col("_row").alias("row")), n, percent, orders)
+    dropped = rows.filter("n_shingles > 0").join(lowest, "node").filter("row <> lowest.row").select(F.col("row").alias("_dropped"))
+    return numbered.join(small(checkpointed(dropped)), F.expr("_row = _dropped"), "left_anti").drop("_row")
+
+
+def _grouped(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, row, n_shingles, node) of ``documents`` (doc_id, text, row), and for each node the lowest of its component."""
     rows, nodes = _nodes(documents, n, percent, orders)
     entries = _entries(nodes)
     pairs = checkpointed(_met_under_all(nodes, checkpointed(_to_hubs(entries, nodes, percent)), orders))
@@ -234,8 +244,9 @@ def labelled_nodes(documents: DataFrame, n: int, percent: int, orders: int) -> t
         merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("lower"))
         labels = nodes.select(F.col("id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = labels.join(merged, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
-    labelled = nodes.select("id", "node").join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("label", "id").alias("label"))
-    return rows, labelled
+    labelled = nodes.select("id", "node", "lowest").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    lowest = labelled.groupBy("label").agg(F.min("lowest").alias("lowest"))
+    return rows, labelled.select("node", "label").join(lowest, "label").select("node", "lowest")
 
 
 def _mixed(entries: DataFrame) -> DataFrame:

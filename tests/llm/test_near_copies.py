@@ -52,3 +52,14 @@ def test_long_texts(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("label", F.lit("clash"))
     got = {r.doc_id: r.component_id for r in ngram_join.similar_components(df, 5, 80).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(12)
+    text, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [(4, text), (None, text + " end"), (7, text), (4, text), (5, other), (None, other), (None, None), (None, ""), (None, "  "), (8, "alone"), (None, "twice null"), (None, "twice null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS row", "'x' AS lowest")
+    left = ngram_join.without_near_copies(df, 5, 80)
+    assert left.columns == df.columns
+    assert ordered(left.select("doc_id", "text").collect()) == ordered([(4, text), (5, other), (None, None), (None, ""), (None, "  "), (8, "alone"), (None, "twice null")])
+    assert ngram_join.without_near_copies(df.limit(0)).count() == 0
