@@ -7,10 +7,9 @@ columns of ``documents``; the last adds the shard and the slot in it. ``run`` ap
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from citesieve.llm import decontaminate, lpt_shards, ngram_join, poisson_mix, toxicity
-from citesieve.llm.jobs import checkpointed, small, table
+from citesieve.llm.jobs import checkpointed, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the one with the smallest doc_id stays.
-
-    Rows without doc_id, and rows that repeat one, all stay if theirs is the group's smallest id or null.
-    """
-    groups = ngram_join.similar_components(docs, n=5, percent=80)
-    dropped = checkpointed(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct())
-    return docs.join(small(dropped), F.expr("doc_id = copy_id"), "left_anti")
+    """Of rows linked by five-word shingles (Jaccard 0.8 or more) the one with the smallest doc_id stays."""
+    return ngram_join.without_near_copies(docs, n=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold 80 percent or more of a benchmark item."""
+    """Drop rows whose text holds 80 percent or more of a benchmark item, or 20 words in a row of which 80 percent are its."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), share=0.8)
 
 
