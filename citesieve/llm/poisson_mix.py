@@ -2,8 +2,9 @@
 
 Each source gets a mean repetition rate (its target share of all rows over its own rows). A document's count
 is the inverse of the Poisson distribution function at a uniform number hashed from a seed and its doc_id,
-so a run can be repeated and a lost task gives the same rows again. Documents are exploded by their counts
-and ordered by another hash, which shuffles the whole corpus.
+so a run can be repeated and a lost task gives the same rows again. Documents are exploded by their counts,
+dealt to partitions by another hash and sorted by it there, which shuffles the whole corpus in one exchange:
+sorting all of it by ranges would draw every document a second time, to find the ranges.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def source_rates(documents: DataFrame, weights: dict[str, float] | None = None,
 
 
 def mixed(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7) -> DataFrame:
-    """All columns of ``documents`` and rate, copies, copy_no, shuffle_key; one row per copy, in shuffled order.
+    """All columns of ``documents`` and rate, copies, copy_no, shuffle_key; one row per copy, in shuffled order:
+    which partition a copy is in, and where, follows from a hash alone.
 
     A document comes ``copies`` times, 0 or more, with copy_no from 1. Rows that repeat a doc_id get the
     same count; a row without doc_id draws by its text. Columns of the input with the new names are
@@ -65,7 +67,7 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, tempera
     drawn = drawn.withColumn("copies", F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("parts")), F.lit(0), lambda n, part: n + draw(part)))
     out = drawn.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), "identity", F.col("copy_no").cast("string"))))
-    return out.orderBy("shuffle_key").select(*documents.columns, *added)
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*documents.columns, *added)
 
 
 def oracle_sql(temperature: float = 0.5, seed: int = 7) -> str:
