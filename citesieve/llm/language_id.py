@@ -21,8 +21,10 @@ from .text import NO_ALNUM, U64, mix, slices, utf8
 LENGTHS = (3, 5)
 #: An n-gram is a language's if it is at least so frequent there, and so near to its rate where it is most frequent.
 LEAST_RATE, LEAST_RATIO = 1e-5, 0.1
-#: Training takes at most about this many labelled documents, chosen by a hash of doc_id.
+#: Training takes at most about this many labelled documents, dealt evenly among the languages and chosen by a hash of doc_id.
 MOST_TRAINING = 12_000
+#: More labelled languages than this are refused: each needs a bit in every cell.
+MOST_LANGUAGES = 256
 CELL_BITS, PROBES = 21, 2
 UNKNOWN = "und"
 
@@ -97,12 +99,27 @@ class Filters:
         return np.maximum(0, (hits - total[:, None] * self.false) / (1 - self.false))
 
 
+def shares(totals: list[int], most: int) -> list[int]:
+    """How many rows each language may give so that all give ``most`` at most: small ones all they have, the others as much as each other."""
+    left, out = most, [0] * len(totals)
+    for done, k in enumerate(sorted(range(len(totals)), key=totals.__getitem__)):
+        out[k] = min(totals[k], left // (len(totals) - done))
+        left -= out[k]
+    return out
+
+
 def trained(documents: DataFrame, most: int = MOST_TRAINING) -> Filters | None:
-    """Filters of the languages in the rows with lang and text (at most about ``most`` of them), or None without such rows."""
+    """Filters of the languages in the rows with lang and text (at most about ``most`` of them), or None without such rows.
+
+    More than ``MOST_LANGUAGES`` languages raise a ValueError.
+    """
     rows = documents.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    total = rows.select("lang").count()
-    if total > most:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / total))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if sum(r.n for r in sizes) > most:
+        cuts = F.create_map(*[F.lit(x) for r, n in zip(sizes, shares([r.n for r in sizes], most), strict=True) for x in (r.lang, int(1_000_000 * n / r.n))])
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(cuts, F.col("lang")))
     counts = rows.select("text", "lang").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("length", F.shiftrightunsigned("gram", 56))
     sums = {(r.lang, r.length): r.total for r in counts.groupBy("lang", "length").agg(F.sum("n").alias("total")).collect()}
