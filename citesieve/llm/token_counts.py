@@ -1,6 +1,7 @@
 """Token counts of whole texts by rank-synchronous merging of ragged arrays.
 
-A text is normalised and cut into pre-tokens as the vocabulary file says. The pre-tokens not seen before are
+A text is normalised and cut into pre-tokens as the vocabulary file says; a file that asks for steps other than
+those built here is refused, not miscounted. The pre-tokens not seen before are
 laid out as one ragged array of symbol numbers; in each round every sequence applies its own lowest-rank pair,
 at all its places at once, and the symbols that survive are counted. Counts are kept by pre-token, up to a
 bound, for the following texts of the task.
@@ -31,12 +32,34 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
+def checked(spec: dict) -> str:
+    """The pattern of pre-tokens in a vocabulary file; ValueError if the file is not of the kind counted here.
+
+    That is BPE over bytes with nothing but word ends added, after NFC, single blanks and lower case, whose
+    pre-tokens are the matches of one pattern, and whose added tokens are special and matched as they stand.
+    """
+    model, normalizer, cut = spec.get("model") or {}, spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps, parts = normalizer.get("normalizers", []), cut.get("pretokenizers", [])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    fits = [
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+        normalizer.get("type") == "Sequence" and steps == [{"type": "NFC"}, blanks, {"type": "Lowercase"}],
+        cut.get("type") == "Sequence" and [p["type"] for p in parts] == ["Split", "ByteLevel"],
+        all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec.get("added_tokens", [])),
+        not spec.get("truncation") and not spec.get("padding"),
+    ]
+    if not all(fits) or parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
+        raise ValueError("this kind of vocabulary file is not supported")
+    return parts[0]["pattern"]["Regex"]
+
+
 class Merges:
     """The pair ranks of a vocabulary in an open hash table, looked up for whole arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.pattern = checked(spec)
         vocab, end = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         symbols = byte_symbols()
         self.inner = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
@@ -111,7 +134,8 @@ class Counter:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+        # In the file's patterns \s is Unicode white space; Python's also takes four control characters.
+        self.cut = regex.compile(self.merges.pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.apart = regex.compile("|".join(map(regex.escape, self.merges.special))) if self.merges.special else None
         self.known: dict[str, int] = {}
 
@@ -148,10 +172,13 @@ def token_counts(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
     """One row per row of ``documents`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the library that reads the vocabulary file at ``path`` (BPE with word ends), without
-    begin or end tokens; special strings inside a text are one token each, as is that library's default. A
-    null text counts as empty: no bytes, no tokens. Other columns are ignored; repeated rows stay.
+    begin or end tokens; special strings inside a text are one token each, as is that library's default. A file
+    of another kind raises a ValueError before any job runs. A null text counts as empty: no bytes, no tokens. Other columns are ignored; repeated rows stay.
     """
 
+    with open(path, encoding="utf-8") as f:
+        checked(json.load(f))
+
     def run(batches):
         counter = Counter(path)
         for part in slices(batches, limit=SLICE_BYTES // 2):
