@@ -163,27 +163,41 @@ def test_lpt_shards(spark, docs, rows, empty):
 
 
 def test_schedule_in_rounds_is_the_heap():
-    rng = random.Random(2)
-    runs = sorted(((rng.randint(1, 60), 0, rng.randint(1, 500)) for _ in range(40)), reverse=True)
-    loads = [0] * 8
-    for size, _, n in runs:
-        for _ in range(n):
-            loads[loads.index(min(loads))] += size
-    mine = [0] * 8
-    for size, _, totals in lpt_shards.schedule(runs, 8):
-        for k, n in enumerate([totals[0], *(b - a for a, b in zip(totals, totals[1:], strict=False))]):
-            mine[k] += size * n
-    assert sorted(mine) == sorted(loads)
+    for seed in range(20):
+        rng = random.Random(seed)
+        runs = sorted({rng.randint(1, 60): rng.randint(1, 300) for _ in range(30)}.items(), reverse=True)
+        # One group of copies that holds a third of all bytes.
+        runs = [(sum(s * n for s, n in runs) // 2, 1), *runs] if seed % 2 else runs
+        loads, mine = [0] * 8, [0] * 8
+        for size, n in runs:
+            for _ in range(n):
+                loads[loads.index(min(loads))] += size
+        for size, totals in lpt_shards.schedule(runs, 8):
+            for k, n in enumerate([totals[0], *(b - a for a, b in zip(totals, totals[1:], strict=False))]):
+                mine[k] += size * n
+        assert sorted(mine) == sorted(loads)
 
 
 def test_slots_in_many_cells(spark, monkeypatch):
     monkeypatch.setattr(lpt_shards, "CELL_ROWS", 7)
-    df = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("same size").substr(F.lit(1), F.lit(9)).alias("t")).select("doc_id", F.concat("t", F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("text"))
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("same size"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"))
     got = lpt_shards.sharded(df, 8).collect()
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(25))
 
 
+def test_slots_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(lpt_shards, "CELL_ROWS", 50)
+    rows = [(7, "equal", "a")] * 600 + [(None, None, "b")] * 300 + [(k, "x" * (k % 40) * 3, "c") for k in range(400)] + [(9, "long " * 500_000, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cell string").repartition(4)
+    out = lpt_shards.sharded(df, 3)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == ["doc_id", "text", "cell", "size", "text_crc32", "shard", "slot"]
+    assert len({r.shard for r in got if r.text == "equal"}) == 1 and len({r.shard for r in got if not r.text}) == 1
+    for k in range(3):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_poisson_mix(spark, docs, rows, empty):
     got = poisson_mix.mixed(docs, {"s0": 3.0, "s1": 1.0}, seed=1)
     assert set(docs.columns) <= set(got.columns)
@@ -306,3 +320,30 @@ def test_pipeline(spark, tmp_path):
     assert left["benchmark_decontamination"] == left["ngram_jaccard_join"] - {300, 301, 302}
     assert left["sharding"] == left["mixing_sources"] <= left["benchmark_decontamination"]
     assert ordered(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "shard", "slot").collect()) == ordered(docs.select("doc_id", "shard", "slot").collect())
+
+
+def test_other_vocabulary_files_are_refused():
+    import json
+
+    paths = pytest.importorskip("public_tokenizers")
+    with open(paths.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert token_counts.checked(spec).startswith("'s|'t")
+    other = spec | {"normalizer": {"type": "NFKC"}}
+    stripped = spec | {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}
+    for wrong in (other, stripped, spec | {"pre_tokenizer": None}, spec | {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            token_counts.checked(wrong)
+    with open(paths.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        token_counts.checked(json.load(f))
+
+
+def test_rare_languages_are_learned_whole(spark, monkeypatch):
+    assert language_id.shares([5, 1000, 2000], 605) == [5, 300, 300] and language_id.shares([], 9) == [] and language_id.shares([3, 2], 9) == [3, 2]
+    rows = [(k, "abba baba abab " * 5, "s", "aa") for k in range(600)] + [(1000 + k, "xyz zyx yxz " * 5, "s", "zz") for k in range(4)]
+    model = language_id.trained(spark.createDataFrame(rows, SCHEMA), most=40)
+    got = language_id.predicted(spark.createDataFrame([(1, "zyx xyz " * 200_000, None, None), (2, "baba", None, None)], SCHEMA), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "zz", 2: "aa"}
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.trained(spark.createDataFrame(rows, SCHEMA))
