@@ -18,6 +18,13 @@ def op1_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("conv_id", "speaker", "turn", "role", "name", F.md5("segment").alias("segment_md5"), "start", "trained_from", "trained_to")
 
 
+def chat_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered dialogue of every conversation and speaker, and where it is trained on."""
+    whole = chat_views.dialogues(chat_views.rotated(table(spark, sf_dir, "conversations")))
+    spans = F.array_join(F.transform("trained", lambda t: F.concat_ws("-", t["from"].cast("string"), t["to"].cast("string"))), ",")
+    return whole.select("conv_id", "speaker", F.md5("text").alias("text_md5"), spans.alias("trained"))
+
+
 def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.without_repeats(table(spark, sf_dir, "documents"), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -73,10 +80,10 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_chat_views, op2_repeated_bytes, op3_token_counts, op4_lpt_shards, op5_decontaminate, op6_toxicity, op7_poisson_mix,
-            op8_language_id, op9_block_naming, op10_ngram_join, pipeline,
+            op8_language_id, op9_block_naming, op10_ngram_join, pipeline, chat_dialogues,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_views": chat_views.ORACLE_SQL, "op7_poisson_mix": poisson_mix.oracle_sql(0.5, 7), "op9_block_naming": block_naming.ORACLE_SQL}
+    return {"op1_chat_views": chat_views.ORACLE_SQL, "chat_dialogues": chat_views.DIALOGUES_SQL, "op7_poisson_mix": poisson_mix.oracle_sql(0.5, 7), "op9_block_naming": block_naming.ORACLE_SQL}
