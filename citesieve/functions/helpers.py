@@ -5,6 +5,7 @@ Each is a small function over plain values behind an Arrow-batched pandas UDF.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -36,7 +37,7 @@ EDGE = " ,.;:()[]"
 
 
 def without_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def folded(text: str | None) -> str:
@@ -44,6 +45,7 @@ def folded(text: str | None) -> str:
     return without_accents(html.unescape(text or "")).casefold()
 
 
+@functools.lru_cache(1 << 16)
 def folded_name(text: str | None) -> str:
     return regex.sub(r"[^\p{L}\p{N}]+", "", folded(text))
 

@@ -116,8 +116,8 @@ def extract_title(col: Column) -> Column:
     return F.coalesce(*[nonblank(stripped(F.regexp_extract(col, f, 1))) for f in forms])
 
 
-def publication_tail(col: Column) -> Column:
-    """What follows a quoted title, up to an address or identifier; null without a quoted title."""
+def publication_tail(col: Column, title: Column | None = None) -> Column:
+    """What follows a quoted title, up to an address or identifier; null without a quoted title. ``title`` is the extracted one, if at hand."""
     quotes = ("'", "‘", '"', "“"), ("'", "’", '"', "”")
 
     def after(title: Column) -> Column:
@@ -134,10 +134,10 @@ def publication_tail(col: Column) -> Column:
             ),
         )
 
-    return let(extract_title(col), after)
+    return let(extract_title(col) if title is None else title, after)
 
 
-def extract_journal(col: Column) -> Column:
+def extract_journal(col: Column, tail: Column | None = None) -> Column:
     """The normalised journal: from the tail of a quoted title, else by its place before the first digits, else by its words."""
     from .normalize import normalize_journal
 
@@ -160,11 +160,11 @@ def extract_journal(col: Column) -> Column:
         s = F.regexp_replace(s, f"(?i){word}.*", "")
     after = stripped(found(s, rf"(?sU)^.*?\b(?:{YEAR})[a-z]?\b(.*)$"))
     of_tail = lambda t: trimmed_of(before(t, r",\s*(?=\d|vol\b|pp?\.|pg\b)|\s+vol\.?\s+\d"), " ,.;")
-    name = let(publication_tail(col), lambda t: F.when(t.isNotNull(), of_tail(t)).otherwise(let(after, other)))
+    name = let(publication_tail(col) if tail is None else tail, lambda t: F.when(t.isNotNull(), of_tail(t)).otherwise(let(after, other)))
     return nonblank(normalize_journal(name))
 
 
-def vol_issue_pages(col: Column) -> Column:
+def vol_issue_pages(col: Column, tail: Column | None = None) -> Column:
     """struct(volume, issue, pages, page_start, page_end) of strings."""
     pair = r"(?U)(?<![\w\-])(\d{1,4})\s*\(\s*([A-Za-z0-9\-]+)\s*\)"
     span = r"([0-9]+(?:\s*[-–]\s*[0-9]+)?)"
@@ -186,7 +186,7 @@ def vol_issue_pages(col: Column) -> Column:
         ends = F.split(f["pages"], r"(?U)[-–]\s*")
         return F.struct(f["volume"].alias("volume"), f["issue"].alias("issue"), f["pages"].alias("pages"), F.get(ends, F.lit(0)).alias("page_start"), F.get(ends, F.lit(1)).alias("page_end"))
 
-    return let(let(F.coalesce(publication_tail(col), before(col, r"https?://|\bdoi:")), fields), with_ends)
+    return let(let(F.coalesce(publication_tail(col) if tail is None else tail, before(col, r"https?://|\bdoi:")), fields), with_ends)
 
 
 def _balanced(col: Column, tail: str) -> Column:
@@ -279,9 +279,10 @@ def bibliographic_shape(col: Column) -> Column:
     return F.coalesce(dated & shaped, F.lit(False))
 
 
-def scholarly_like(col: Column) -> Column:
-    """A year, and a journal, publication details, or a long title."""
+def scholarly_like(col: Column, year: Column | None = None, title: Column | None = None, journal: Column | None = None, shape: Column | None = None) -> Column:
+    """A year, and a journal, publication details, or a long title; these are extracted unless they are given."""
+    year, title, journal, shape = (f(col) if given is None else given for f, given in ((year_token, year), (extract_title, title), (extract_journal, journal), (bibliographic_shape, shape)))
     numbered = col.rlike(r"(?U)\b\d{1,4}\s*\(\s*[A-Za-z0-9\-]+\s*\)")
     paged = col.rlike(r"(?iU)\bpp?\.\s*\d+") | col.rlike(r"(?U)\b\d+\s*[-–]\s*\d+\b")
-    long_title = F.coalesce(F.length(extract_title(col)) >= 25, F.lit(False))
-    return F.coalesce(year_token(col).isNotNull() & (extract_journal(col).isNotNull() | bibliographic_shape(col) | numbered | paged | long_title), F.lit(False))
+    long_title = F.coalesce(F.length(title) >= 25, F.lit(False))
+    return F.coalesce(year.isNotNull() & (journal.isNotNull() | shape | numbered | paged | long_title), F.lit(False))

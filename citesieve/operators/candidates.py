@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers
 from ..functions.normalize import journal_key, metadata_surnames, normalize_journal
+from ..functions.text import squeezed
 from .compare import same_journal
 from .lookup import as_record
-from .staging import staged
+from .staging import spread, staged
 
 #: Weights of keys of more than this share of the works (and this many) are broadcast, so that no join is dealt by them.
 COMMON_SHARE, LEAST_COMMON = 0.005, 20.0
@@ -121,10 +122,16 @@ def _top(k: int, bonus: float):
     return rank
 
 
-def _ranked(asked: DataFrame, keys: DataFrame, works: DataFrame, k: int, bonus: float = 0.0) -> DataFrame:
+def search_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keys of all Crossref works and the keys' weights, staged; every search over these works can share them."""
+    keys = staged(work_keys(spread(works.filter("source = 'Crossref'"), "record_id")))
+    return keys, staged(key_weights(keys))
+
+
+def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, keys); ``bonus`` is for the same journal."""
-    keys, asked = staged(keys), staged(asked)
-    weights = staged(key_weights(keys))
+    keys, weights = index or search_index(works)
+    asked = staged(asked)
     single = asked.select("ref_id", F.explode("keys").alias("key"))
     weighed = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(weights.filter("NOT common"), "key"))
     own = weighed.groupBy("ref_id").agg(F.collect_list(F.struct("key", "idf")).alias("keys"))
@@ -154,17 +161,14 @@ def _asked(citations: DataFrame, author: Column) -> DataFrame:
     return named.select("ref_id", "year", "journal_key", keys.alias("keys"))
 
 
-def search_candidates(citations: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
+def search_candidates(citations: DataFrame, works: DataFrame, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(ref_id, rank from 1, rank_score, record) of parsed citations. Without a year nothing can be accepted, so nothing is searched."""
-    works = works.filter("source = 'Crossref'")
-    return _ranked(_asked(citations, F.col("first_author")), work_keys(works), works, k)
+    return _ranked(_asked(citations, F.col("first_author")), works, k, 0.0, index)
 
 
-def search_fielded(citations: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
+def search_fielded(citations: DataFrame, works: DataFrame, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """As ``search_candidates``, with the first word of the first author, and a bonus of 1 for the same journal."""
-    works = works.filter("source = 'Crossref'")
-    author = F.substring_index("first_author", " ", 1)
-    return _ranked(_asked(citations, author), work_keys(works), works, k, 1.0)
+    return _ranked(_asked(citations, F.substring_index("first_author", " ", 1)), works, k, 1.0, index)
 
 
 def scored_candidates(candidates: DataFrame, citations: DataFrame) -> DataFrame:
@@ -199,10 +203,11 @@ def candidate_reason() -> Column:
 
 def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
     """Citations with ``record`` (or null), had_candidate and match_reason: the free search, then the fielded one for the rest."""
-    first = staged(scored_candidates(search_candidates(citations, works), citations))
+    index = search_index(works)
+    first = staged(scored_candidates(search_candidates(citations, works, index=index), citations))
     best = choose_best_candidate(first).select("ref_id", "record", F.concat(F.lit("accepted: "), "reason").alias("match_reason"))
     rest = citations.join(best.select("ref_id"), "ref_id", "left_anti")
-    second = staged(scored_candidates(search_fielded(rest, works), rest))
+    second = staged(scored_candidates(search_fielded(rest, works, index=index), rest))
     again = choose_best_candidate(second).select("ref_id", "record", F.concat(F.lit("accepted (fielded): "), "reason").alias("match_reason"))
     seen = lambda df, name: df.select("ref_id").distinct().withColumn(name, F.lit(True))
     out = citations.drop("record", "match_reason").join(best.unionByName(again), "ref_id", "left")
@@ -219,14 +224,23 @@ def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
 def title_search_unique(citations: DataFrame, works: DataFrame, source: str = "arXiv") -> DataFrame:
     """(ref_id, record): the one work of a source with a title ratio of 0.9 or more and an agreeing author list.
 
-    Lists that agree agree in their first surnames, so the author key loses none. Citations with more than
-    one such work get none.
+    Lists that agree agree in their first surnames, so the author key loses none. Titles of such a ratio differ
+    in length by a fifth at most, so both are dealt by classes of length too, which parts the works of a common
+    surname; and no more than a tenth of both lengths need be put in or left out to turn one into the other,
+    which ``levenshtein`` tells before the ratio is worked out. Citations with more than one such work get none.
     """
     works = works.filter(F.col("source") == source)
-    asked = citations.filter("title IS NOT NULL").select("ref_id", "title", "authors", "uses_et_al", helpers.normalize_authors("authors").alias("names"))
-    asked = asked.filter("size(names) > 0").select("ref_id", "title", "authors", "uses_et_al", author_key(F.get("names", F.lit(0))).alias("key"))
-    held = works.select("record_id", as_record().alias("record")).withColumn("names", helpers.normalize_authors("record.surnames")).filter("size(names) > 0")
-    met = asked.join(held.select("record_id", "record", author_key(F.get("names", F.lit(0))).alias("key")), "key")
+    plain = lambda c: F.lower(squeezed(c))
+    of_length = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.1)))
+    keyed = lambda df, names, *cols: df.filter("size(names) > 0").select(*cols, author_key(F.get(names, F.lit(0))).alias("key"), F.col("plain"))
+    asked = citations.filter("title IS NOT NULL").select("ref_id", "title", "authors", "uses_et_al", helpers.normalize_authors("authors").alias("names"), plain(F.col("title")).alias("plain"))
+    held = works.select("record_id", as_record().alias("record")).withColumns({"names": helpers.normalize_authors("record.surnames"), "plain": plain(F.coalesce("record.title", F.lit("")))})
+    asked, held = keyed(asked, "names", "ref_id", "title", "authors", "uses_et_al"), keyed(held, "names", "record_id", "record").withColumnRenamed("plain", "other")
+    size = F.length("plain")
+    # A class more on either side, as lowering can change the length of a few letters.
+    asked = asked.withColumn("class", F.explode(F.sequence(of_length(size / 1.23) - 1, of_length(size * 1.23) + 1)))
+    met = asked.join(held.withColumn("class", of_length(F.length("other"))), ["key", "class"])
+    met = met.filter(F.levenshtein("plain", "other") <= 0.1 * (F.length("plain") + F.length("other")) + 2)
     met = met.withColumns({"sim": helpers.title_similarity(F.col("title"), F.col("record.title")), "list": helpers.compare_authors(F.col("authors"), F.col("record.surnames"), F.col("uses_et_al"))})
     return met.filter("sim >= 0.9 AND list.ok").groupBy("ref_id").agg(F.count("*").alias("n"), F.min_by("record", F.col("record_id")).alias("record")).filter("n = 1").select("ref_id", "record")
 

@@ -94,7 +94,7 @@ def review_lookup(df: DataFrame, works: DataFrame, pub_types: DataFrame) -> Data
     ``pub_types`` is (pmid, pub_types). Titles decide first for DOIs and searches, the types for PMIDs, and
     for PMC identifiers the types where the record carries a PMID, else the title.
     """
-    types = pub_types.groupBy(F.col("pmid").alias("asked")).agg(F.first("pub_types").alias("pub_types"))
+    types = pub_types.groupBy(F.col("pmid").alias("asked")).agg(F.min("pub_types").alias("pub_types"))
     by_doi = works.filter("doi IS NOT NULL AND pmid IS NOT NULL").groupBy(doi_key(F.col("doi")).alias("key")).agg(F.min("pmid").alias("doi_pmid"))
     if "bridge_pmid" not in df.columns:
         df = df.withColumn("bridge_pmid", F.lit(None).cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +64,18 @@ def module_choice(module: str | None, s390_choice: str | None = None, other_modu
     return {"module": module, "s390_choice": s390_choice if module == "S390" else None, "other_module": other if module == "Other" else None}
 
 
-def run_records(results: DataFrame, submissions: DataFrame, app_name: str, module: str, s390_choice: str | None = None, other_module: str | None = None, version: str = "1", check_reviews: bool = False) -> DataFrame:
-    """One row per submission: its text, references, findings and counts by label, under a new run_id."""
+def run_records(results: DataFrame, submissions: DataFrame, app_name: str, module: str, s390_choice: str | None = None, other_module: str | None = None, version: str = "1", check_reviews: bool = False, run: str | None = None) -> DataFrame:
+    """One row per submission: its text, references, findings and counts by label, under a run_id of the submission and ``run`` (by default a new one).
+
+    A task that is run again writes the same ids.
+    """
     choice = module_choice(module, s390_choice, other_module)
     finding = F.struct(F.col("`Ref #`").alias("ref_no"), F.col("Reference").alias("reference"), F.col("`Validation Result`").alias("label"), F.col("Score").alias("score"), F.col("Notes").alias("notes"))
     found = results.groupBy("submission_id").agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     counts = results.groupBy("submission_id", "Validation Result").count().groupBy("submission_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("`Validation Result`").alias("key"), F.col("count").alias("value"))))).alias("result_counts"))
     texts = submissions.select("submission_id", F.col("text").alias("input_text"))
     df = texts.join(found, "submission_id").join(counts, "submission_id").withColumn("split_refs", F.transform("findings", lambda f: f["reference"]))
-    fixed = {"run_id": F.expr("uuid()"), "app_name": F.lit(app_name), **{k: F.lit(v).cast("string") for k, v in choice.items()}, "validator_version": F.lit(version), "check_reviews": F.lit(check_reviews), "error_text": F.lit(None).cast("string")}
+    fixed = {"run_id": F.md5(F.concat_ws("|", F.lit(run or uuid.uuid4().hex), F.col("submission_id").cast("string"))), "app_name": F.lit(app_name), **{k: F.lit(v).cast("string") for k, v in choice.items()}, "validator_version": F.lit(version), "check_reviews": F.lit(check_reviews), "error_text": F.lit(None).cast("string")}
     return df.withColumns(fixed)
 
 

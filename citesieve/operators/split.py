@@ -24,31 +24,37 @@ BARE_NUMBER = re.compile(rf"\s*\d{{1,3}}\s+(?={VANCOUVER})")
 INLINE_NUMBER = re.compile(rf"(?<=[.!?])\s+(?:\[\d{{1,3}}\]|\d{{1,3}}[.)]?)\s+(?={VANCOUVER})")
 BROKEN_URL = re.compile(r"(https?://\S*?)-[ \t]+(\S+)")
 IDENTIFIED = re.compile(
-    r"10\.\d{4,9}/[^\s<>\]]|https?://[^\s<>\]]|\bPMC(?:ID:\s*PMC\d+\b)|\bPMID:\s*\d+\b|\b(?:Accessed|Assessed)(?: date)?\b"
+    r"10\.\d{4,9}/[^\s<>\]]|https?://[^\s<>\]]|\bPMCID:\s*PMC\d+\b|\bPMID:\s*\d+\b|\b(?:Accessed|Assessed)(?: date)?\b"
     r"|\barxiv\s*[:.]\s*(?:\d{4}\.\d{4,5}|[a-z][a-z.\-]+/\d{7})(?:v[1-9]\d*)?(?![\w/])",
     re.I,
 )
 PLACED = re.compile(r"\b[Pp][Pp]?\.\s*\d+|\b\d+\s*[-–—]\s*\d+\b|\b\d+\s*\(\s*[A-Za-z0-9\-]+\s*\)")
 
 
+#: What of the lines before is searched again with a new one: no pattern has so much on both sides of a line's end.
+SEAM = 200
+
+
 class _Reference:
-    """The lines of one reference, and what is known of them so far, so no text is searched again."""
+    """The lines of one reference, and what is known of them so far: each line is searched once, with the end of those before it."""
 
     def __init__(self, line: str):
-        self.lines = [line]
-        self.text = line
+        self.lines: list[str] = []
+        self.end = ""
+        self.dated = self.identified = self.placed = False
+        self.add(line)
 
     def add(self, line: str) -> None:
         self.lines.append(line)
-        self.text += " " + line
-
-    @property
-    def dated(self) -> bool:
-        return bool(YEAR.search(self.text))
+        near = f"{self.end} {line}" if self.end else line
+        self.dated = self.dated or bool(YEAR.search(near))
+        self.identified = self.identified or bool(IDENTIFIED.search(near))
+        self.placed = self.placed or bool(PLACED.search(near))
+        self.end = near if len(near) <= SEAM else near[-SEAM:].partition(" ")[2]
 
     @property
     def complete(self) -> bool:
-        return bool(IDENTIFIED.search(self.text)) or (self.dated and bool(PLACED.search(self.text)))
+        return self.identified or (self.dated and self.placed)
 
 
 def _starts(line: str, marked: bool, after_blank: bool, open_: _Reference) -> bool:
@@ -85,7 +91,7 @@ def references(text: str | None) -> list[str]:
         else:
             done.append(_Reference(line))
         after_blank = False
-    return [" ".join(r.text.split()) for r in done]
+    return [" ".join(" ".join(r.lines).split()) for r in done]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates, classify, compare, lookup, route
 from ..operators.parse import AI_NOTE, parse_citations
-from ..operators.staging import staged
+from ..operators.staging import spread, staged
 
 VERSION = "1"
 #: Columns of a result, with the expression that gives each from a classified row.
@@ -110,7 +110,7 @@ def validate_citations(
     for name, kind in (("ref_no", "int"), ("submission_id", "bigint")):
         if name not in citations.columns:
             citations = citations.withColumn(name, F.lit(None).cast(kind))
-    parsed = staged(parse_citations(citations.select("ref_id", "ref_no", "submission_id", "ref")))
+    parsed = staged(parse_citations(spread(citations.select("ref_id", "ref_no", "submission_id", "ref"), "ref_id")))
     found = staged(with_doi_flags(looked_up(parsed, works, ads), registry))
     done = classified(compare.with_evidence(compare.compared(found)), lookup_status)
     if pub_types is not None:

@@ -1,12 +1,14 @@
 """Candidate search against brute force, on titles whose words are all common."""
 
 import collections
+import difflib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from citesieve.functions import helpers
 from citesieve.operators import candidates
 from citesieve.sources.catalogue import as_works
 
@@ -53,6 +55,58 @@ def test_first_five_are_those_of_brute_force(spark, works, titles, monkeypatch,
         assert sum(got[x][0] != want[x][0] for x in want) == 0
 
 
+def test_searched_against_brute_force(spark, works, titles):
+    """Every choice of ``searched``, accepted or rejected, by difflib over the first five of the free and then of the fielded search."""
+    rng = random.Random(4)
+    asked = []
+    for k, (t, y, a, j) in enumerate(rng.sample(sorted(titles.values()), 40)):
+        words = t.split()
+        asked.append((k, " ".join(words if k % 4 else words[:1] + ["other", "words", "entirely"]), y + (3 if k % 5 == 0 else 0), a if k % 3 else "Wrong", j))
+    df = cited(spark, asked).withColumns({"authors": F.array("first_author"), "uses_et_al": F.lit(False)})
+    records = {k: v for k, v in titles.items()}
+    tops = [{}, {}]
+    for found, search in zip(tops, (candidates.search_candidates, candidates.search_fielded), strict=True):
+        for r in search(df, works).select("ref_id", "rank", "record.record_id").collect():
+            found.setdefault(r.ref_id, []).append((r["rank"], r.record_id))
+    want = {}
+    for ref, title, year, author, journal in asked:
+        for found in tops:
+            best = None
+            for rank, work in sorted(found.get(ref, [])):
+                t, y, a, j = records[work]
+                sim = 1.0 if title == t else difflib.SequenceMatcher(None, title, t).ratio()
+                if abs(y - year) <= 2 and (sim >= 0.75 or a == author):
+                    jnl = j.lower() == journal.lower() or difflib.SequenceMatcher(None, j.lower(), journal.lower()).ratio() > 0.6
+                    best = max([x for x in (best, (sim * 0.7 + 0.2 * (a == author) + 0.1 * jnl, -rank, work)) if x])
+            if best:
+                want[ref] = best[2]
+                break
+    got = {r.ref_id: r.record_id for r in candidates.searched(df, works).select("ref_id", "record.record_id").collect()}
+    assert len(got) == len(asked) and {k: v for k, v in got.items() if v} == want and 0 < len(want) < len(asked)
+
+
+def test_like_titles_of_one_surname_are_found(spark):
+    """A tenth of the works share one surname: what is found is what comparing all with all finds."""
+    rng = random.Random(6)
+    title = lambda: " ".join(rng.choice(WORDS) + str(rng.randint(1, 9)) for _ in range(9))
+    held = [(f"x{k:04}", title(), "Wang" if k % 10 == 0 else f"Author{'abcdefgh'[k % 8]}") for k in range(600)]
+    no = F.lit(None).cast("string")
+    person = F.struct(F.lit("A.").alias("given"), F.col("name").alias("family"), no.alias("last"), no.alias("name"))
+    works = as_works(spark.createDataFrame(held, "record_id string, title string, name string").withColumns({"source": F.lit("arXiv"), "authors": F.array(person)}).drop("name"))
+    asked = []
+    for k, (_, t, name) in enumerate(held[:200]):
+        cut = "".join(c for c in t if rng.random() > (0.02, 0.1, 0.25)[k % 3])
+        asked.append((k, f"  {cut.upper()} ", name))
+    df = spark.createDataFrame(asked, "ref_id long, title string, name string").select("ref_id", "title", F.array("name").alias("authors"), F.lit(False).alias("uses_et_al"))
+    want = {}
+    for ref, t, name in asked:
+        like = [w for w, other, n in held if n == name and helpers.title_ratio(t, other) >= 0.9]
+        if len(like) == 1:
+            want[ref] = like[0]
+    got = {r.ref_id: r.record_id for r in candidates.title_search_unique(df, works).select("ref_id", "record.record_id").collect()}
+    assert got == want and 50 < len(want) < 200
+
+
 def test_common_words_and_a_wrong_author_still_find_the_work(spark, works, titles):
     asked = cited(spark, [(k, t, y, "Wrong", j) for k, (t, y, _, j) in enumerate(titles.values())]).withColumns({"authors": F.array(F.lit("Wrong")), "uses_et_al": F.lit(False)})
     best = candidates.choose_best_candidate(candidates.scored_candidates(candidates.search_candidates(asked, works), asked))

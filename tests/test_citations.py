@@ -46,6 +46,51 @@ def test_lists_are_split():
     assert split.references(None) == [] and split.references(" \n ") == []
 
 
+def test_long_references_are_split_in_linear_time():
+    import time
+
+    began = time.time()
+    lines = ["Stern, C. (2001) A title"] + ["that goes on and on without any end"] * 60_000 + ["10.1000/x", "Fraser, S. (2002) Next."]
+    got = split.references("\n".join(lines))
+    assert len(got) == 2 and got[1] == "Fraser, S. (2002) Next." and time.time() - began < 20
+    parted = "Stern, C. (2001) Title here, pp.\n12-13\nFraser, S. (2002) Next"
+    assert len(split.references(parted)) == 2
+    parted = "Stern, C. Title here PMID:\n12345\nFraser, S. (2002) Next"
+    assert len(split.references(parted)) == 2
+
+
+@pytest.mark.parametrize(("a", "b", "ratio"), [("abcd", "bcde", 0.75), ("", "", 1.0), ("ABC", "abc", 1.0), ("abc", "", 0.0), (None, None, 1.0), ("private thread", "private threads", 28 / 29), ("aab", "aba", 2 / 3)])
+def test_ratios(spark, a, b, ratio):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert abs(df.select(helpers.text_ratio("a", "b")).first()[0] - ratio) < 1e-9
+
+
+def test_failed_lookups_are_no_mismatch(spark):
+    from citesieve.plans import fixtures, queries
+    from citesieve.plans.validate import validate_citations
+
+    own = fixtures.citations(spark, SF).filter("mode IN (0, 10) AND ref_id < 300")
+    status = own.select("ref_id", F.when(F.col("ref_id") % 24 < 12, 503).otherwise(404).alias("http_status"))
+    out = validate_citations(own, fixtures.works(spark, SF), fixtures.registry(spark, SF), lookup_status=status, ads=False)
+    got = {r.ref_id: (r["Validation Result"], r["Lookup issue"]) for r in out.collect()}
+    assert len(got) == own.count() and queries.QUERIES
+    for ref, (label, issue) in got.items():
+        if ref % 12 == 0:
+            assert label == classify.SUFFICIENT and issue == ""
+        else:
+            assert label == classify.UNVERIFIED and issue == ("lookup unavailable: HTTP 503" if ref % 24 < 12 else classify.NO_RECORD)
+
+
+def test_tracking_tags_change_no_verdict(spark):
+    from citesieve.plans import fixtures
+    from citesieve.plans.validate import validate_citations
+
+    own = fixtures.citations(spark, SF).filter("mode IN (0, 1, 9) AND ref_id < 200")
+    tagged = own.withColumn("ref", F.concat("ref", F.lit("?utm_source=chatgpt.com")))
+    label = lambda df: {r.ref_id: (r["Validation Result"], r["Extracted DOI"]) for r in validate_citations(df, fixtures.works(spark, SF), fixtures.registry(spark, SF), ads=False).collect()}
+    assert label(own) == label(tagged)
+
+
 def test_author_lists():
     same = helpers.compared_authors(["Müller", "O’Brien"], ["Muller", "O'Brien"], False)
     assert same["ok"] and same["method"] == "minor surname variant"
