@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.staging import staged
+
 #: Side tables up to this many bytes may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 #: What a value takes beside its bytes, and what a number takes.
@@ -21,26 +22,10 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoints go to a folder all executors see.
-
-    That is the one the cluster names in spark.checkpoint.dir. Only a local master, whose executors share the
-    driver's disk, may do without; then a new local folder is taken.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-    if not shared and not (context.master == "local" or context.master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the shared folder. Shuffle files and copies that only earlier steps needed are let go first."""
     let_go(df.sparkSession)
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return staged(df)
 
 
 def _width(kind: T.DataType, value: Column) -> Column:
