@@ -5,11 +5,13 @@ first half. Triggers depend on nothing outside the window, so equal windows have
 cut a text into phrases: runs of windows with one trigger, with the bytes these cover. The parse of a corpus
 is its sequence of phrases; the dictionary is the distinct phrases.
 
-The corpus order of all suffixes, as far as the length of a window, follows from both: windows of phrases
-that are equal are equal one by one, so a phrase that comes twice is settled whole. Only phrases that come
-once but share the bytes after the trigger with another phrase are looked into: for one of each distinct
-phrase, the windows are named by their bytes and joined with one another. Ranks need no more than equality here,
-so names are 64-bit hashes and no suffix is compared byte by byte.
+Phrases overlap by a window, so where a window begins in a phrase it also ends there, and its place in the
+corpus order, to a window's depth, follows from two things. The parse tells how often the phrase comes: windows of
+equal phrases are equal one by one, so a phrase that comes twice is settled whole. The suffix array of the dictionary
+tells which windows of different phrases are equal: the suffixes of distinct phrases are ranked by their bytes, by
+prefix doubling, and two that are neighbours with a common prefix of a window's length have one rank. Equal windows
+share the bytes after the trigger, the core, so only phrases of one core are ranked together, and a core with one
+phrase needs no ranks. A core with very many phrases is not ranked in one task: its windows are counted by 128-bit names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ from .text import _BASE, _BASE_INVERSE, _BYTE, U64, _power, mix, slices, utf8
 
 #: Places of a window among which its trigger is; the hash there is of TRIGGER_BYTES bytes.
 FIRST_HALF, TRIGGER_BYTES = 81, 32
+#: A core with more distinct phrases than this is not ranked within one task.
+MOST_KINDS = 512
+#: Phrases of about so many bytes are ranked at once.
+RANKED_BYTES = 2 << 20
+#: Hashes modulo 2^64 of longer strings can be made to collide, so longer ones are refused.
+LENGTHS = range(16, 801)
 #: A text longer than this is parsed in overlapping parts.
 PART_BYTES = 1 << 20
 _PLACE_BITS = 22
@@ -97,15 +105,18 @@ def _parse(length: int):
                 full = mix(rolling(first, last + length) + mix((trigger - first).astype(np.uint64)))
                 begins = first - cuts[owner] + base
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), part.column("doc_id").take(pa.array(owner)), part.column("tag").take(pa.array(owner)), pa.array(begins), pa.array(begins + (last - first))],
+                    [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), part.column("doc_id").take(pa.array(owner)), part.column("tag").take(pa.array(owner)), pa.array(begins, pa.int32()), pa.array(begins + (last - first), pa.int32())],
                     ["core", "phrase", "doc_id", "tag", "first", "last"],
                 )
 
     return run
 
 
-def _windows(length: int):
-    """The named windows of the phrases listed with each text."""
+_OPENED = "core bigint, heavy boolean, doc_id bigint, tag bigint, first int, body binary"
+
+
+def _opened(length: int):
+    """The bytes of the phrases listed with each text."""
 
     def run(batches):
         for part in slices(batches, limit=PART_BYTES):
@@ -113,20 +124,91 @@ def _windows(length: int):
             lists = part.column("phrases")
             at = lists.offsets.to_numpy()
             # Arrow keeps the lists of a sliced batch in one array; the offsets say which part is ours.
-            first, last = (lists.values.field(k).to_numpy()[at[0] : at[-1]].astype(np.int64) for k in ("first", "last"))
-            owner = np.repeat(np.arange(part.num_rows), np.diff(at))
-            for data, cuts, base in _parts(whole, offsets, length):
-                inside = (first >= base) & (last - base + length <= len(data)) if base or len(data) < len(whole) else np.ones(len(first), bool)
-                if not inside.any():
-                    continue
-                own, begin, n = owner[inside], (first[inside] - base) + cuts[owner[inside]], (last - first)[inside] + 1
-                windows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-                own = np.repeat(own, n)
-                names = Rolling(data)(windows, windows + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.view(np.int64)), part.column("doc_id").take(pa.array(own)), part.column("tag").take(pa.array(own)), pa.array(windows - cuts[own] + base)],
-                    ["name", "doc_id", "tag", "first"],
-                )
+            own = lists.values.slice(at[0], at[-1] - at[0])
+            core, heavy, first, last = (own.field(k) for k in ("core", "heavy", "first", "last"))
+            row = np.repeat(np.arange(part.num_rows), np.diff(at))
+            begins = offsets[row] + first.to_numpy()
+            ends = offsets[row] + last.to_numpy() + length
+            body = [whole[b:e].tobytes() for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([core, heavy, part.column("doc_id").take(take), part.column("tag").take(take), first, pa.array(body, pa.binary())], ["core", "heavy", "doc_id", "tag", "first", "body"])
+
+    return run
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of every suffix by its first ``length`` bytes (zeros follow the end); equal ranks mean equal bytes."""
+    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    value = np.ndarray(len(data), ">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    have = 8
+    while True:
+        rank = np.unique(value, return_inverse=True)[1].astype(np.uint64)
+        if have == length:
+            return rank
+        step = min(have, length - have)
+        after = np.zeros_like(rank)
+        after[: max(0, len(rank) - step)] = rank[step:] + U64(1)
+        value = rank * U64(len(rank) + 1) + after
+        have += step
+
+
+def _runs(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """The runs of windows of these phrases that another of them has too."""
+    data, offsets = utf8(rows.column("body"))
+    n = np.diff(offsets) - length + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ranks = suffix_ranks(data, length)[offsets[:-1][owner] + at]
+    hit = np.flatnonzero((np.bincount(ranks.astype(np.int64)) > 1)[ranks.astype(np.int64)])
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0)
+    begin = hit[new]
+    end = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1] if len(hit) else hit
+    take, first = pa.array(owner[begin]), rows.column("first").to_numpy()[owner[begin]]
+    return pa.RecordBatch.from_arrays(
+        [*(rows.column(c).combine_chunks().take(take) for c in ("doc_id", "tag")), pa.array(first + at[begin], pa.int32()), pa.array(first + at[end], pa.int32())],
+        ["doc_id", "tag", "first", "last"],
+    )
+
+
+def _ranked(length: int):
+    """Runs of windows that are repeated within a core; rows come core by core."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < RANKED_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            whole = int(np.count_nonzero(np.cumprod((rows.column("core").to_numpy() == rows.column("core")[-1].as_py())[::-1])))
+            cut = rows.num_rows - whole
+            if cut:
+                yield _runs(rows.slice(0, cut), length)
+            held = rows.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+        if held:
+            yield _runs(pa.Table.from_batches(held), length)
+
+    return run
+
+
+def _named(length: int):
+    """Every window of the phrases by a name of 128 bits."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = {"name": [], "row": [], "first": []}
+                for k, (body, first) in enumerate(zip(part.column("body").to_pylist(), part.column("first").to_pylist(), strict=True)):
+                    for i in range(len(body) - length + 1):
+                        rows["name"].append(hashlib.blake2b(body[i : i + length], digest_size=16).digest())
+                        rows["row"].append(k)
+                        rows["first"].append(first + i)
+                take = pa.array(rows["row"], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows["name"], pa.binary()), part.column("doc_id").take(take), part.column("tag").take(take), pa.array(rows["first"], pa.int32())], ["name", "doc_id", "tag", "first"])
 
     return run
 
@@ -174,31 +256,38 @@ def repeated_windows(documents: DataFrame, length: int = 200) -> DataFrame:
     Rows are known as in ``_keyed``; rows that share doc_id and text are found at the same places. A list is
     as long as its own text at most.
     """
+    if length not in LENGTHS:
+        raise ValueError(f"strings have {LENGTHS.start} to {LENGTHS.stop - 1} bytes")
     texts = _keyed(documents).select("doc_id", "tag", "text").filter(F.octet_length("text") >= length)
-    parse = texts.mapInArrow(_parse(length), "core bigint, phrase bigint, doc_id bigint, tag bigint, first bigint, last bigint")
+    parse = texts.mapInArrow(_parse(length), "core bigint, phrase bigint, doc_id bigint, tag bigint, first int, last int")
     cores = parse.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core")
     parse = checkpointed(parse.join(cores, "core"))
     dictionary = checkpointed(parse.groupBy("core", "phrase").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc_id", "tag", "first", "last")]))
-    place = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
     settled = parse.join(dictionary.filter("times > 1").select("core", "phrase"), ["core", "phrase"])
-    settled = checkpointed(settled.groupBy("doc_id", "tag").agg(F.collect_list(place).alias("spans")))
-    several = dictionary.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
-    listed = checkpointed(dictionary.join(several, "core").groupBy("doc_id", "tag").agg(F.collect_list(place).alias("phrases")))
+    settled = checkpointed(settled.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    several = dictionary.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core", (F.col("kinds") > MOST_KINDS).alias("heavy"))
+    listed = dictionary.join(several, "core").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("core", "heavy", "first", "last")).alias("phrases"))
+    listed = checkpointed(listed)
     del parse, cores, dictionary, several  # their copies can go before the next step
     asked = texts.join(small(listed.select("doc_id", "tag")), ["doc_id", "tag"], "left_semi")
-    looked = asked.join(listed, ["doc_id", "tag"]).mapInArrow(_windows(length), "name bigint, doc_id bigint, tag bigint, first bigint")
-    names = looked.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1").select("name")
-    found = looked.join(names, "name").groupBy("doc_id", "tag").agg(F.collect_list(F.col("first").cast("int")).alias("firsts"))
-    found = checkpointed(found)
-    one = found.select("doc_id", "tag", F.transform("firsts", lambda i: F.struct(i.alias("first"), i.alias("last"))).alias("spans"))
-    del looked, names, asked, listed
+    # A row that comes twice is opened twice; all it has is repeated, so ranking it with itself says nothing wrong.
+    opened = checkpointed(asked.join(listed, ["doc_id", "tag"]).mapInArrow(_opened(length), _OPENED))
+    place = "doc_id bigint, tag bigint, first int"
+    found = opened.filter("NOT heavy").repartition("core").sortWithinPartitions("core").mapInArrow(_ranked(length), place + ", last int")
+    windows = opened.filter("heavy").mapInArrow(_named(length), f"name binary, {place}")
+    again = windows.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1").select("name")
+    found = found.unionByName(windows.join(again, "name").select("doc_id", "tag", "first", F.col("first").alias("last")))
+    found = checkpointed(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    del opened, windows, again, asked, listed
     let_go(documents.sparkSession)
-    return settled.union(one).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return settled.union(found).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, kept.
 
+    ``length`` is 16 to 800, else a ValueError is raised.
+
     A byte is removed if any string of ``length`` bytes that covers it starts anywhere else in the corpus
     too, in the same text or another; strings never cross texts and are judged on the input. ``removed``
     lists the maximal removed runs (from, to), ``kept`` is the remaining bytes, which need not be UTF-8. Null

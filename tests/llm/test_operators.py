@@ -111,11 +111,42 @@ def brute_removed(rows, length):
         yield d, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
-def test_without_repeats(docs, rows, empty, monkeypatch):
+@pytest.mark.parametrize("kinds", [512, 1])
+def test_without_repeats(docs, rows, empty, monkeypatch, kinds):
+    monkeypatch.setattr(repeated_bytes, "MOST_KINDS", kinds)
+    monkeypatch.setattr(repeated_bytes, "RANKED_BYTES", 2000)
     for length in (200, 40):
         got = repeated_bytes.without_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
         assert ordered(got) == ordered(brute_removed(rows, length))
     assert repeated_bytes.without_repeats(empty).count() == 0
+    with pytest.raises(ValueError):
+        repeated_bytes.without_repeats(docs, 5000)
+
+
+def test_shared_passages_in_different_company(spark):
+    """Passages cut anywhere between other texts, and low texts such as runs of one or two letters."""
+    rng = random.Random(14)
+    passage = sentence(rng, 90)
+    rows = []
+    for k in range(60):
+        low, high = sorted((rng.randrange(len(passage)), rng.randrange(len(passage))))
+        rows.append((k, sentence(rng, rng.randint(0, 20)) + passage[low:high] + sentence(rng, rng.randint(0, 20)), None, None))
+    rows += [(100, "a" * 450, None, None), (101, "ab" * 170 + "c", None, None), (102, "x" + "ab" * 120, None, None), (103, "é" * 150 + passage, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for length in (200, 64, 17):
+        got = repeated_bytes.without_repeats(df, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert ordered(got) == ordered(brute_removed(rows, length))
+
+
+def test_suffix_ranks():
+    import numpy as np
+
+    data = np.frombuffer(b"abracadabra" * 9 + b"zz", np.uint8)
+    for length in (16, 24, 40):
+        ranks = repeated_bytes.suffix_ranks(data, length)
+        keys = [(data.tobytes() + b"\0" * length)[i : i + length] for i in range(len(data) - length)]
+        for i, j in itertools.combinations(range(len(keys)), 2):
+            assert (keys[i] < keys[j]) == (ranks[i] < ranks[j]) and (keys[i] == keys[j]) == (ranks[i] == ranks[j])
 
 
 def test_long_text_is_parsed_in_parts(spark):
