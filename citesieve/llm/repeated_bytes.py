@@ -11,7 +11,9 @@ equal phrases are equal one by one, so a phrase that comes twice is settled whol
 tells which windows of different phrases are equal: the suffixes of distinct phrases are ranked by their bytes, by
 prefix doubling, and two that are neighbours with a common prefix of a window's length have one rank. Equal windows
 share the bytes after the trigger, the core, so only phrases of one core are ranked together, and a core with one
-phrase needs no ranks. A core with very many phrases is not ranked in one task: its windows are counted by 128-bit names.
+phrase needs no ranks. A core with very many phrases is not ranked in one task: its windows are dealt in blocks of
+neighbours by the bytes that all windows of a block share, so each block meets only those it can equal. Should still
+very many have these bytes in common, the windows themselves are counted by 128-bit names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,10 @@ from .text import _BASE, _BASE_INVERSE, _BYTE, U64, _power, mix, slices, utf8
 
 #: Places of a window among which its trigger is; the hash there is of TRIGGER_BYTES bytes.
 FIRST_HALF, TRIGGER_BYTES = 81, 32
-#: A core with more distinct phrases than this is not ranked within one task.
+#: A core, or a block, of more distinct phrases than this is not ranked within one task.
 MOST_KINDS = 512
+#: So many neighbouring windows are a block.
+BLOCK = 9
 #: Phrases of about so many bytes are ranked at once.
 RANKED_BYTES = 2 << 20
 #: Hashes modulo 2^64 of longer strings can be made to collide, so longer ones are refused.
@@ -172,7 +177,7 @@ def _runs(rows: pa.Table, length: int) -> pa.RecordBatch:
 
 
 def _ranked(length: int):
-    """Runs of windows that are repeated within a core; rows come core by core."""
+    """Runs of windows that are repeated within a core (or the core of a block); rows come core by core."""
 
     def run(batches):
         held, size = [], 0
@@ -182,8 +187,8 @@ def _ranked(length: int):
             if size < RANKED_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
-            whole = int(np.count_nonzero(np.cumprod((rows.column("core").to_numpy() == rows.column("core")[-1].as_py())[::-1])))
-            cut = rows.num_rows - whole
+            same = pc.equal(rows.column("core"), rows.column("core")[-1]).to_numpy()
+            cut = rows.num_rows - int(np.count_nonzero(np.cumprod(same[::-1])))
             if cut:
                 yield _runs(rows.slice(0, cut), length)
             held = rows.slice(cut).to_batches()
@@ -194,6 +199,31 @@ def _ranked(length: int):
     return run
 
 
+def _blocks(length: int):
+    """The windows of phrases in blocks by their distance to the trigger; the core of a block is a name of the bytes that all windows share."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data, offsets = utf8(part.column("body"))
+                first, last, trigger, owner, _ = phrases(data, offsets, length)
+                rows = {"core": [], "row": [], "first": [], "body": []}
+                for low, high, t, k in zip(first.tolist(), last.tolist(), trigger.tolist(), owner.tolist(), strict=True):
+                    for j in range((t - high) // BLOCK, (t - low) // BLOCK + 1):
+                        near, far = max(j * BLOCK, t - high), min(j * BLOCK + BLOCK - 1, t - low)
+                        shared = data[t - j * BLOCK : t - j * BLOCK - BLOCK + 1 + length].tobytes()
+                        rows["core"].append(hashlib.blake2b(shared, digest_size=16, salt=j.to_bytes(8, "big")).digest())
+                        rows["row"].append(k)
+                        rows["first"].append(t - far - int(offsets[k]))
+                        rows["body"].append(data[t - far : t - near + length].tobytes())
+                take = pa.array(rows["row"], pa.int64())
+                begins = pc.add(part.column("first").take(take), pa.array(rows["first"], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(rows["core"], pa.binary()), part.column("doc_id").take(take), part.column("tag").take(take), begins, pa.array(rows["body"], pa.binary())], ["core", "doc_id", "tag", "first", "body"])
+
+    return run
+
+
 def _named(length: int):
     """Every window of the phrases by a name of 128 bits."""
 
@@ -273,12 +303,16 @@ def repeated_windows(documents: DataFrame, length: int = 200) -> DataFrame:
     # A row that comes twice is opened twice; all it has is repeated, so ranking it with itself says nothing wrong.
     opened = checkpointed(asked.join(listed, ["doc_id", "tag"]).mapInArrow(_opened(length), _OPENED))
     place = "doc_id bigint, tag bigint, first int"
-    found = opened.filter("NOT heavy").repartition("core").sortWithinPartitions("core").mapInArrow(_ranked(length), place + ", last int")
-    windows = opened.filter("heavy").mapInArrow(_named(length), f"name binary, {place}")
+    ranked = lambda df: df.repartition("core").sortWithinPartitions("core").mapInArrow(_ranked(length), place + ", last int")
+    blocks = opened.filter("heavy").mapInArrow(_blocks(length), f"core binary, {place}, body binary")
+    met = checkpointed(blocks.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core", (F.col("kinds") > MOST_KINDS).alias("heavy")))
+    blocks = checkpointed(blocks.join(met, "core"))
+    found = ranked(opened.filter("NOT heavy")).unionByName(ranked(blocks.filter("NOT heavy")))
+    windows = blocks.filter("heavy").mapInArrow(_named(length), f"name binary, {place}")
     again = windows.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1").select("name")
     found = found.unionByName(windows.join(again, "name").select("doc_id", "tag", "first", F.col("first").alias("last")))
     found = checkpointed(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    del opened, windows, again, asked, listed
+    del opened, blocks, met, windows, again, asked, listed
     let_go(documents.sparkSession)
     return settled.union(found).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

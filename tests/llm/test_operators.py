@@ -123,8 +123,10 @@ def test_without_repeats(docs, rows, empty, monkeypatch, kinds):
         repeated_bytes.without_repeats(docs, 5000)
 
 
-def test_shared_passages_in_different_company(spark):
-    """Passages cut anywhere between other texts, and low texts such as runs of one or two letters."""
+@pytest.mark.parametrize("kinds", [512, 3])
+def test_shared_passages_in_different_company(spark, monkeypatch, kinds):
+    """Passages cut anywhere between other texts, and low texts such as runs of one or two letters; hot cores and blocks too."""
+    monkeypatch.setattr(repeated_bytes, "MOST_KINDS", kinds)
     rng = random.Random(14)
     passage = sentence(rng, 90)
     rows = []
