@@ -267,17 +267,33 @@ flat = lambda works, *cols: works.select(*cols, F.array_join(normalize.metadata_
 
 @registered("SELECT doi, title, year, journal, volume, issue, concat(page_start, '-', page_end) AS pages, concat(s1, ', ', s2) AS surnames FROM articles")
 def s2_crossref_works(spark, sf_dir):
+    return flat(catalogue.crossref_works(_items(spark, sf_dir)), *CROSSREF_FIELDS)
+
+
+CROSSREF_FIELDS = ("doi", "title", "year", "journal", "volume", "issue", "pages")
+
+
+@registered("SELECT form, doi, title, year, journal, volume, issue, concat(page_start, '-', page_end) AS pages, concat(s1, ', ', s2) AS surnames FROM articles, (VALUES ('lines'), ('lists')) f(form)")
+def s2_crossref_files(spark, sf_dir):
+    """The same items written as dump files of both forms and read from there."""
+    items, path = _items(spark, sf_dir), _shared(spark, "crossref")
+    items.select("json").write.text(f"{path}/lines")
+    lists = items.groupBy(F.floor(F.col("work_id") / 500).alias("file")).agg(F.concat(F.lit('{"items":[\n'), F.array_join(F.collect_list("json"), ",\n"), F.lit("]}")).alias("value"))
+    lists.repartition("file").write.partitionBy("file").text(f"{path}/lists")
+    read = lambda form: flat(catalogue.read_crossref(spark, f"{path}/{form}", form == "lists"), F.lit(form).alias("form"), *CROSSREF_FIELDS)
+    return read("lines").unionByName(read("lists"))
+
+
+def _items(spark, sf_dir):
     df = articles(spark, sf_dir)
     people = F.array(*[F.struct(F.lit("A.").alias("given"), F.col(s).alias("family")) for s in ("s1", "s2")])
     odd = F.col("work_id") % 2 == 1
-    items = json_of(
+    return json_of(
         df, **{
             "DOI": F.col("doi"), "title": F.array("title", F.lit("other")), "container-title": F.array("journal"), "issued": F.when(odd, dates(F.col("year"))), "created": dates(F.when(odd, F.col("year") + 5).otherwise(F.col("year"))),
             "author": people, "volume": F.col("volume"), "issue": F.when(odd, F.col("issue")), "journal-issue": F.struct(F.col("issue").alias("issue")), "page": F.concat_ws("-", "page_start", "page_end"),
         }
     )
-    return flat(catalogue.crossref_works(items), "doi", "title", "year", "journal", "volume", "issue", "pages")
-
 
 def _summaries(spark, sf_dir, key):
     body = F.struct(
@@ -300,14 +316,33 @@ def s3_pmc_works(spark, sf_dir):
 
 @registered("SELECT concat(arxiv_id, 'v1') AS arxiv_id, concat('10.48550/arXiv.', arxiv_id) AS doi, title, concat(CAST(year AS STRING), ',', CAST(year + 1 AS STRING)) AS years, concat('van ', s1, ', ', s2) AS surnames FROM articles")
 def s4_arxiv_works(spark, sf_dir):
+    return flat(catalogue.arxiv_works(_entries(spark, sf_dir)), *ARXIV_FIELDS, F.array_join("years", ",").alias("years"))
+
+
+ARXIV_FIELDS = ("arxiv_id", "doi", "title")
+
+
+@registered()
+def s4_arxiv_feeds(spark, sf_dir):
+    """The same entries written as feed files and read from there."""
+    path = _shared(spark, "arxiv")
+    files = _entries(spark, sf_dir).groupBy(F.floor(F.col("work_id") / 500).alias("file")).agg(F.array_join(F.collect_list("xml"), "\n").alias("entries"))
+    feed = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>All</title>\n'), "entries", F.lit("\n</feed>"))
+    files.select("file", feed.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return flat(catalogue.read_arxiv_feeds(spark, path), *ARXIV_FIELDS, F.array_join("years", ",").alias("years"))
+
+
+ORACLES["s4_arxiv_feeds"] = ORACLES["s4_arxiv_works"]
+
+
+def _entries(spark, sf_dir):
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     author = lambda value: tag("author", tag("name", value))
     entry = F.concat(
         F.lit("<entry>"), tag("id", F.concat(F.lit("http://arxiv.org/abs/"), "arxiv_id", F.lit("v1"))), tag("title", F.concat(F.lit("  "), "title", F.lit("\n"))), tag("published", F.concat(F.col("year").cast("string"), F.lit("-01-02T00:00:00Z"))),
         tag("updated", F.concat((F.col("year") + 1).cast("string"), F.lit("-01-02T00:00:00Z"))), author(F.concat(F.lit("Anna van "), "s1")), author(F.concat(F.lit("B. C. "), "s2")), F.lit("</entry>"),
     )
-    works = catalogue.arxiv_works(articles(spark, sf_dir).select(entry.alias("xml")))
-    return flat(works, "arxiv_id", "doi", "title", F.array_join("years", ",").alias("years"))
+    return articles(spark, sf_dir).select("work_id", entry.alias("xml"))
 
 
 @registered("SELECT arxiv_id, title, year, concat(s1, ', ', s2) AS surnames FROM articles WHERE work_id % 3 <> 0")
@@ -666,6 +701,18 @@ def g5_validate_citations(spark, sf_dir):
     return validated(spark, sf_dir).select("ref_id", F.col("Validation Result").alias("label"), F.col("Review required").alias("review_required"), "route")
 
 
+@registered(
+    """SELECT ref_id, CASE WHEN mode IN (5, 6) THEN 'PubMed/PMC' WHEN mode = 7 THEN 'arXiv' WHEN mode IN (8, 10, 11) THEN '' ELSE 'Crossref' END AS source, CASE mode WHEN 5 THEN pmid WHEN 6 THEN pmcid ELSE '' END AS pubmed_id,
+  coalesce(t_arxiv, '') AS arxiv_id, CASE WHEN mode IN (8, 10, 11) THEN '' WHEN mode = 7 THEN 'arXiv' ELSE journal END AS journal, mode <> 10 AND NOT (mode = 3 AND ref_id % 24 <> 3) AS year_ok, mode NOT IN (1, 2, 10) AS author_ok,
+  CAST(CASE WHEN mode IN (8, 11) THEN 0 WHEN mode = 10 THEN 1 WHEN mode = 7 THEN 7 ELSE 11 + CASE WHEN t_doi IS NOT NULL AND work_id % 50 > 1 THEN 4 ELSE 0 END
+    - CASE mode WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN CASE WHEN ref_id % 24 = 3 THEN 0 ELSE 2 END WHEN 9 THEN 3 ELSE 0 END END AS INT) AS score FROM citations"""
+)
+def g5_records_of_routes(spark, sf_dir):
+    """What was retrieved for every citation by its route, and its score."""
+    names = {"Metadata Source": "source", "PubMed ID": "pubmed_id", "arXiv ID": "arxiv_id", "Metadata Journal": "journal", "year_ok": "year_ok", "author_ok": "author_ok", "Score": "score"}
+    return validated(spark, sf_dir).select("ref_id", *[F.col(f"`{n}`").alias(m) for n, m in names.items()])
+
+
 @registered("SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN 2 WHEN 2 THEN -1 ELSE 0 END AS doi_score, CASE WHEN ref_id % 4 = 0 THEN '' ELSE 'Manual check required' END AS status FROM citations")
 def g6_g7_doi_score(spark, sf_dir):
     k = F.col("ref_id") % 4
@@ -763,6 +810,24 @@ def a9_result_view(spark, sf_dir):
     return report.result_view(results(spark, sf_dir), "condensed", export=True)
 
 
+@registered(
+    f"""SELECT "Ref #", "Validation Result", Score, '' AS "Manual review", "AI URL flag", '' AS "AL notes", Reference, Domain, "Source URL", "Extracted DOI", "Metadata Source", "Metadata Record URL", "Metadata DOI",
+  "Crossref DOI", "PubMed ID", Notes, doi_explicit_ok, doi_derived_ok FROM ({R})"""
+)
+def a9_view_for_export(spark, sf_dir):
+    return report.result_view(results(spark, sf_dir), "full", review=True, debug=True, export=True)
+
+
+@registered(
+    f"""SELECT "Ref #", "Validation Result", Score, '' AS "Is Review", CASE WHEN doi_explicit_ok THEN 2 ELSE 0 END AS "DOI score", "AI URL flag", '' AS "AL notes", Notes,
+  CASE WHEN Score = 7 THEN "Metadata Record URL" WHEN Score < 4 OR Score = 9 THEN concat('https://doi.org/', "Crossref DOI") WHEN Score = 5 THEN concat('https://pubmed.ncbi.nlm.nih.gov/', "PubMed ID", '/')
+    WHEN Score = 6 THEN concat('https://pmc.ncbi.nlm.nih.gov/articles/', "PubMed ID", '/') ELSE '' END AS "Record link",
+  "Source URL" AS "Source link", CASE WHEN "Extracted DOI" <> '' THEN concat('https://doi.org/', "Extracted DOI") ELSE '' END AS "DOI link" FROM ({R})"""
+)
+def a9_view_for_display(spark, sf_dir):
+    return report.result_view(results(spark, sf_dir), "condensed", review=True)
+
+
 @registered()
 def a10_results_signature(spark, sf_dir):
     return report.results_signature(results(spark, sf_dir))

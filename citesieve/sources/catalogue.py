@@ -32,9 +32,8 @@ ADS = (
     "struct<bibcode:string,identifier:array<string>,doi:array<string>,title:array<string>,author:array<string>,year:string,pub:string,"
     "volume:string,issue:string,page:array<string>,doctype:string>"
 )
-ATOM = (
-    "struct<id:string,title:string,published:string,updated:string,author:array<struct<name:string>>>"
-)
+ATOM_COLUMNS = "id string, title string, published string, updated string, author array<struct<name:string>>"
+ATOM = f"struct<{ATOM_COLUMNS}>"
 
 
 def read_submissions(spark: SparkSession, path: str, id_column: str = "submission_id", text_column: str = "text") -> DataFrame:
@@ -68,7 +67,18 @@ def date_year(item: Column, *names: str) -> Column:
 
 def crossref_works(df_json: DataFrame) -> DataFrame:
     """Works from rows (json) that each hold one Crossref item."""
-    items = df_json.select(F.from_json("json", CROSSREF).alias("it")).filter("it IS NOT NULL")
+    return _of_items(df_json.select(F.from_json("json", CROSSREF).alias("it")).filter("it IS NOT NULL"))
+
+
+def read_crossref(spark: SparkSession, path: str, listed: bool = False) -> DataFrame:
+    """Works of Crossref dump files: one item a line, or (``listed``) a JSON object a file with its items in a list."""
+    if listed:
+        held = spark.read.schema(f"items array<{CROSSREF}>").option("multiLine", "true").json(path)
+        return _of_items(held.select(F.explode("items").alias("it")).filter("it IS NOT NULL"))
+    return crossref_works(spark.read.text(path).select(F.col("value").alias("json")))
+
+
+def _of_items(items: DataFrame) -> DataFrame:
     it = F.col("it")
     return as_works(
         items.select(
@@ -104,8 +114,18 @@ def pubmed_works(df_json: DataFrame, pmc: bool = False) -> DataFrame:
 
 def arxiv_works(df_xml: DataFrame) -> DataFrame:
     """Works from rows (xml) that each hold one Atom entry; entries without an arXiv identifier are left out."""
+    return _of_entries(df_xml.select(F.from_xml(F.col("xml"), ATOM).alias("e")))
+
+
+def read_arxiv_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Works of Atom feed files, with any number of entries each; large files are split among tasks at their entries."""
+    feeds = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_COLUMNS).load(path)
+    return _of_entries(feeds.select(F.struct("id", "title", "published", "updated", "author").alias("e")))
+
+
+def _of_entries(read: DataFrame) -> DataFrame:
     e = F.col("e")
-    entries = df_xml.select(F.from_xml(F.col("xml"), ATOM).alias("e")).withColumn("arxiv_id", extract_arxiv_id(e["id"])).filter("arxiv_id IS NOT NULL")
+    entries = read.withColumn("arxiv_id", extract_arxiv_id(e["id"])).filter("arxiv_id IS NOT NULL")
     years = F.array_distinct(F.filter(F.array(F.left(e["published"], F.lit(4)), F.left(e["updated"], F.lit(4))), lambda y: y != ""))
     doi = F.concat(F.lit("10.48550/arXiv."), arxiv_stem(F.col("arxiv_id")))
     names = F.transform(e["author"], lambda a: F.struct(F.lit(None).cast("string").alias("given"), preprint_surname(a["name"]).alias("family"), F.lit(None).cast("string").alias("last"), a["name"].alias("name")))
