@@ -42,16 +42,13 @@ def source_rates(documents: DataFrame, weights: dict[str, float] | None = None,
     return counts.select("source", (F.col("wanted") / F.lit(float(total.wanted)) * F.lit(total.rows) / F.col("n")).alias("rate"))
 
 
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7) -> DataFrame:
-    """All columns of ``documents`` and rate, copies, copy_no, shuffle_key; one row per copy, in shuffled order:
-    which partition a copy is in, and where, follows from a hash alone.
+ADDED = ("rate", "copies", "copy_no", "shuffle_key")
 
-    A document comes ``copies`` times, 0 or more, with copy_no from 1. Rows that repeat a doc_id get the
-    same count; a row without doc_id draws by its text. Columns of the input with the new names are
-    replaced. An empty table gives an empty one.
-    """
-    added = ["rate", "copies", "copy_no", "shuffle_key"]
-    documents = documents.drop(*added)
+
+def _drawn(documents: DataFrame, weights: dict[str, float] | None, temperature: float, seed: int) -> DataFrame:
+    """(doc_id, text, source, rest, the columns added): the copies, shuffled; ``rest`` holds the other columns, whatever their names."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text", "source")]
+    documents = documents.select("doc_id", "text", "source", (F.struct(*others) if others else F.lit(None)).alias("rest"))
     rates = source_rates(documents, weights, temperature).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)))
     rates = rates.withColumn("mean", F.col("rate") / F.col("parts")).withColumn(
         "steps",
@@ -67,7 +64,28 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, tempera
     drawn = drawn.withColumn("copies", F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("parts")), F.lit(0), lambda n, part: n + draw(part)))
     out = drawn.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), "identity", F.col("copy_no").cast("string"))))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*documents.columns, *added)
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("doc_id", "text", "source", "rest", *ADDED)
+
+
+def _own(documents: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``documents`` in their order, taken from what ``_drawn`` returns."""
+    return [F.col(c) if c in ("doc_id", "text", "source") else F.col("rest").getField(c).alias(c) for c in documents.columns if c not in without]
+
+
+def mixed(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7) -> DataFrame:
+    """All columns of ``documents`` and rate, copies, copy_no, shuffle_key; one row per copy, in shuffled order:
+    which partition a copy is in, and where, follows from a hash alone.
+
+    A document comes ``copies`` times, 0 or more, with copy_no from 1. Rows that repeat a doc_id get the
+    same count; a row without doc_id draws by its text. Columns of the input with the new names are
+    replaced. An empty table gives an empty one.
+    """
+    return _drawn(documents, weights, temperature, seed).select(*_own(documents, ADDED), *ADDED)
+
+
+def replicated(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7) -> DataFrame:
+    """The rows of ``mixed`` with the columns of ``documents`` alone, each as it was."""
+    return _drawn(documents, weights, temperature, seed).select(*_own(documents))
 
 
 def oracle_sql(temperature: float = 0.5, seed: int = 7) -> str:
