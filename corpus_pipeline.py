@@ -30,7 +30,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet weights of the square root of their sizes."""
-    return poisson_mix.mixed(docs, temperature=0.5, seed=7).select(*docs.columns)
+    return poisson_mix.replicated(docs, temperature=0.5, seed=7)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
