@@ -55,6 +55,8 @@ def looked_up(parsed: DataFrame, works: DataFrame, ads: bool = True) -> DataFram
     for part in rest:
         out = out.unionByName(part, allowMissingColumns=True)
     if ads:
+        # Read three times below: staged, no lookup is planned and made again for each.
+        out = staged(out)
         found = candidates.ads_discovery(out, works).withColumnRenamed("record", "discovered")
         out = out.join(found, "ref_id", "left").withColumn("record", F.coalesce("record", "discovered")).drop("discovered")
     return out
