@@ -91,6 +91,22 @@ def test_tracking_tags_change_no_verdict(spark):
     assert label(own) == label(tagged)
 
 
+def test_altered_citations_of_every_identifier(spark):
+    """A PMID, PMCID or arXiv ID whose year is changed needs a look at its details; with another title and author it is a major mismatch."""
+    from citesieve.plans import fixtures
+    from citesieve.plans.validate import validate_citations
+
+    own = fixtures._run(spark, SF, "SELECT ref_id, mode, ref, title, s1 FROM citations WHERE mode IN (5, 6, 7) AND ref_id < 200 AND ref_id % 24 <> 7")
+    other = "replace(replace(ref, title, 'Another topic entirely about slow rivers'), s1, 'Quinn')"
+    kinds = {0: "ref", 1: r"regexp_replace(ref, '\\(\\d{4}\\)', '(1971)')", 2: other}
+    asked = own.selectExpr("mode", f"explode(array({', '.join(f'struct({k} AS kind, {e} AS ref)' for k, e in kinds.items())})) AS v", "ref_id AS old")
+    asked = asked.selectExpr("old * 10 + v.kind AS ref_id", "v.ref", "mode", "v.kind").persist()
+    out = validate_citations(asked.select("ref_id", "ref"), fixtures.works(spark, SF), fixtures.registry(spark, SF), ads=False).join(asked.select("ref_id", "mode", "kind"), "ref_id")
+    got = {(r.mode, r.kind, r["Validation Result"]) for r in out.collect()}
+    labels = {0: classify.SUFFICIENT, 1: classify.DETAILS, 2: classify.MAJOR}
+    assert got == {(mode, kind, labels[kind]) for mode in (5, 6, 7) for kind in kinds}
+
+
 def test_author_lists():
     same = helpers.compared_authors(["Müller", "O’Brien"], ["Muller", "O'Brien"], False)
     assert same["ok"] and same["method"] == "minor surname variant"
@@ -146,7 +162,7 @@ def test_signature_follows_content(spark):
     assert sign(rows) == sign(rows[::-1]) and sign(rows)[1] != sign([(1, 1, "a"), (1, 2, "b")])[1]
 
 
-FAST = ("s2_crossref_works", "s4_arxiv_works", "l4_clean_reference", "x4_extract_title", "x6_extract_journal", "x8_clean_doi", "c8_c9_c10_details", "c10_pages_match", "c13_conflict_list", "g2_classify_evidence", "a3_domain_label_matrix", "k3_run_records")
+FAST = ("s2_crossref_works", "s4_arxiv_works", "l4_clean_reference", "x4_extract_title", "x6_extract_journal", "x8_clean_doi", "c8_c9_c10_details", "c10_pages_match", "c13_conflict_list", "g2_classify_evidence", "a3_domain_label_matrix", "k3_run_records", "g5_validate_citations")
 
 
 @pytest.mark.parametrize("name", FAST)
