@@ -2,14 +2,10 @@
 
 Two texts with Jaccard similarity of at least p percent must share a token among the first
 n - ceil(p n / 100) + 1 tokens of both, whatever global order of the tokens is taken. The first order puts
-rare tokens first; the others break its ties, and its near-ties, by other hashes. A pair is a candidate only
-if it shares prefix tokens under every order. The prefixes under the other orders are compared for the pairs
-that the first one leaves, before any whole set is moved, and what is left is verified exactly.
-
-Texts with the same token set are one node. Many copies of one text share the same tokens, so all pairs
-would be quadratic: first each node is paired with one hub for each prefix token it shares, and what
-verifies is joined into components; then only pairs across components are left to try. A pair inside a
-component cannot change the components, so none that matters is left out.
+rare tokens first; the others go by hashes and do not depend on it or on each other, so a pair that met by one
+rare passage has to meet by chance again. A pair is a candidate only if it shares prefix tokens under every
+order. The prefixes under the other orders are compared for the pairs that the first one leaves, before any
+whole set is moved. What is left is verified exactly and joined to components, hub by hub (``set_links``).
 """
 
 from __future__ import annotations
@@ -19,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import checkpointed, components, small
+from .jobs import checkpointed, small
+from .set_links import as_binary, grouped, set_names, to_hubs
 from .text import U64, mix, ragged, shingle_sets, slices
 
 #: Token counts are kept in 2 ** COUNT_BITS cells at every size of corpus (4 MB); several tokens may share a cell.
@@ -27,10 +24,6 @@ COUNT_BITS = 19
 CELLS_A_ROW = 1 << 13
 #: Salts of the second, third, ... token order.
 ORDER_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Set sizes within 4 percent are of one class; only classes that can link are joined.
-CLASS_BASE = 1.04
-#: A token with more pairs to try across components is cut by tokens of the next order.
-HOT_PAIRS = 1 << 24
 
 
 def _count_cells(n: int):
@@ -68,11 +61,7 @@ def token_counts(documents: DataFrame, n: int) -> np.ndarray:
 def _ranked(tokens: np.ndarray, begins: np.ndarray, count: np.ndarray, order: int) -> np.ndarray:
     """The places of the tokens (each text's ascending), text after text, under global order 0, 1 or 2."""
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    if order == 0:
-        return np.lexsort((count, owner))
-    near = np.log2(count + 1.0).astype(np.uint64)
-    other = mix(tokens ^ U64(ORDER_SALTS[order - 1]))
-    return np.argsort(owner.astype(np.uint64) << U64(48) | near << U64(42) | other >> U64(22))
+    return np.lexsort((count if order == 0 else mix(tokens ^ U64(ORDER_SALTS[order - 1])), owner))
 
 
 def prefix_length(size, percent: int):
@@ -80,22 +69,6 @@ def prefix_length(size, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
-def _names(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """128 bits for each token set."""
-    out = np.zeros((len(begins) - 1, 2), np.uint64)
-    full = np.diff(begins) > 0
-    if full.any():
-        at = begins[:-1][full]
-        out[full, 0] = np.add.reduceat(mix(tokens), at)
-        out[full, 1] = np.add.reduceat(mix(tokens ^ U64(0xD6E8FEB86659FD93)), at)
-    return out
-
-
-def _named(names: np.ndarray) -> pa.Array:
-    body = np.ascontiguousarray(names.astype(">u8")).view("S16").reshape(-1)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(body), [None, pa.py_buffer(body.tobytes())]).cast(pa.binary())
-
-
 def _prefixes(n: int, percent: int, shared, orders: int):
     def prefix(batches):
         counts = shared.value
@@ -110,42 +83,13 @@ def _prefixes(n: int, percent: int, shared, orders: int):
             # Under the other orders 32 bits of a token will do: a filter may let more through, never less.
             others = [ragged((tokens[_ranked(tokens, begins, count, k)] >> U64(8)).astype(np.uint32), begins[:-1], lengths) for k in range(1, orders)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row"), pa.array(sizes, pa.int64()), _named(_names(tokens, begins)), pa.array(weight), first, *others],
+                [part.column("doc_id"), part.column("row"), pa.array(sizes, pa.int64()), as_binary(set_names(tokens, begins)), pa.array(weight), first, *others],
                 ["doc_id", "row", "n_shingles", "node", "weight", "prefix", *(f"prefix{k}" for k in range(1, orders))],
             )
 
     return prefix
 
 
-def _sets(n: int):
-    def read(batches):
-        for part in slices(batches):
-            tokens, begins = shingle_sets(part.column("text"), n)
-            yield pa.RecordBatch.from_arrays([_named(_names(tokens, begins)), ragged(tokens, begins[:-1], np.diff(begins))], ["node", "tokens"])
-
-    return read
-
-
-def _verified(percent: int):
-    def lists(column):
-        return column.values.to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy().astype(np.int64))
-
-    def verify(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = pa.RecordBatch.from_struct_array(pa.concat_arrays([batch.slice(at, 256).to_struct_array()]))
-                (x, x_sizes), (y, y_sizes) = (lists(part.column(c)) for c in ("a_tokens", "b_tokens"))
-                row = np.arange(part.num_rows)
-                both, owner = np.concatenate([x, y]), np.concatenate([np.repeat(row, x_sizes), np.repeat(row, y_sizes)])
-                order = np.lexsort((both, owner))
-                both, owner = both[order], owner[order]
-                met = np.bincount(owner[1:][(both[1:] == both[:-1]) & (owner[1:] == owner[:-1])], minlength=part.num_rows)
-                keep = 100 * met >= percent * (x_sizes + y_sizes - met)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    return verify
-
-
 def _met_under_all(nodes: DataFrame, pairs: DataFrame, orders: int) -> DataFrame:
     """The pairs of nodes that share prefix tokens under the other orders too. Prefixes alone are moved, no whole set."""
     for k in range(1, orders):
@@ -154,20 +98,6 @@ def _met_under_all(nodes: DataFrame, pairs: DataFrame, orders: int) -> DataFrame
     return pairs
 
 
-def _links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The candidates (a, b) that are similar enough, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = checkpointed(nodes.select("id", "node", F.col("lowest.doc_id").alias("doc_id")).join(wanted, "id"))
-    ids = asked.select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = documents.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(n), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = checkpointed(sets.join(asked.select("id", "node"), "node").select("id", "tokens"))
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
-    return checkpointed(met.mapInArrow(_verified(percent), "a bigint, b bigint"))
-
-
 def _nodes(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, n_shingles, node) of ``documents`` (doc_id, text, row), and one row per distinct token set with its prefixes."""
     shared = documents.sparkSession.sparkContext.broadcast(token_counts(documents, n))
@@ -189,18 +119,28 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return checkpointed(entries.join(often, "token"))
 
 
-def _to_hubs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Each node with the hub of each of its prefix tokens, if places and sizes leave room for enough shared tokens."""
-    hubs = entries.join(nodes.select("id", "weight"), "id").groupBy("token").agg(F.max(F.struct("weight", "n", "id", "place")).alias("hub"))
-    return entries.join(hubs, "token").filter(
-        f"hub.id <> id AND {100 + percent} * least(n - place, hub.n - hub.place) >= {percent} * (n + hub.n)"
-    ).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+def _finer(nodes: DataFrame, orders: int):
+    """Cuts hot tokens by the prefix tokens of the next order."""
+
+    def cut(k: int, held: DataFrame) -> DataFrame | None:
+        if k >= orders:
+            return None
+        other = nodes.select("id", F.explode(f"prefix{k}").alias("other"))
+        return held.join(other, "id").withColumn("token", F.xxhash64("token", "other")).drop("other")
+
+    return cut
+
+
+def _grouped(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, row, n_shingles, node) of ``documents`` (doc_id, text, row), and for each node the lowest of its component."""
+    rows, nodes = _nodes(documents, n, percent, orders)
+    return grouped(documents, rows, nodes, _entries(nodes), n, percent, lambda pairs: _met_under_all(nodes, pairs, orders), _finer(nodes, orders))
 
 
 def candidate_counts(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> list[int]:
     """How many pairs of a node and a hub are left under the first order, the first two, and so on."""
     _, nodes = _nodes(documents.select("doc_id", "text", F.lit(0).cast("long").alias("row")), n, percent, orders)
-    pairs = checkpointed(_to_hubs(_entries(nodes), nodes, percent))
+    pairs = checkpointed(to_hubs(_entries(nodes), nodes, percent))
     return [_met_under_all(nodes, pairs, k).count() for k in range(1, orders + 1)]
 
 
@@ -229,59 +169,3 @@ def without_near_copies(documents: DataFrame, n: int = 5, percent: int = 80, ord
     return numbered.join(small(checkpointed(dropped)), F.expr("_row = _dropped"), "left_anti").drop("_row")
 
 
-def _grouped(documents: DataFrame, n: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, row, n_shingles, node) of ``documents`` (doc_id, text, row), and for each node the lowest of its component."""
-    rows, nodes = _nodes(documents, n, percent, orders)
-    entries = _entries(nodes)
-    pairs = checkpointed(_met_under_all(nodes, checkpointed(_to_hubs(entries, nodes, percent)), orders))
-    labels = components(_links(documents, nodes, pairs, n, percent))
-    rest = _across(entries, nodes, labels, percent, orders)
-    if not rest.isEmpty():
-        links = _links(documents, nodes, rest, n, percent)
-        # Only links between components are new: these are the nodes of a much smaller graph.
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-        merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("lower"))
-        labels = nodes.select(F.col("id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = labels.join(merged, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
-    labelled = nodes.select("id", "node", "lowest").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    lowest = labelled.groupBy("label").agg(F.min("lowest").alias("lowest"))
-    return rows, labelled.select("node", "label").join(lowest, "label").select("node", "lowest")
-
-
-def _mixed(entries: DataFrame) -> DataFrame:
-    """(token, main, pairs) of the tokens that stand in several components: the one with most entries, and how many pairs are to be tried."""
-    sums = entries.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token")
-    sums = sums.agg(F.max(F.struct("times", "label")).alias("most"), F.count("*").alias("kinds"), F.sum("times").alias("all")).filter("kinds > 1")
-    return sums.select("token", F.col("most.label").alias("main"), (F.col("all").cast("double") * (F.col("all") - F.col("most.times"))).alias("pairs"))
-
-
-def _across(entries: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs that share prefix tokens under all orders, could still be similar enough, and stand in different components.
-
-    For each token the component with most entries is not joined with itself: the other entries meet all
-    entries. They are dealt by the token and a narrow class of set size, to the classes that can link. A
-    token with too many pairs gives way to the pairs of it and a prefix token of the next order, which a
-    similar partner must share as well, so it is cut into smaller parts and loses nothing.
-    """
-    held = checkpointed(entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
-    tokens = checkpointed(_mixed(held))
-    for k in range(1, orders):
-        hot = tokens.filter(F.col("pairs") > HOT_PAIRS).select("token")
-        if hot.isEmpty():
-            break
-        finer = held.join(hot, "token").join(nodes.select("id", F.explode(f"prefix{k}").alias("other")), "id").withColumn("token", F.xxhash64("token", "other")).drop("other")
-        held = checkpointed(held.join(hot, "token", "left_anti").unionByName(finer))
-        tokens = checkpointed(_mixed(held))
-    as_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(CLASS_BASE)))
-    held = checkpointed(held.join(tokens.drop("pairs"), "token").withColumn("class", as_class(F.col("n"))))
-    # A partner of b tokens needs min(n - place, ...) >= percent (n + b) / (100 + percent), so b has an upper and a lower bound.
-    high = F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n"))
-    low = F.ceil(F.col("n") * percent / 100)
-    side = held.filter("label <> main").withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).withColumn("low", low).filter("high >= low")
-    left = side.withColumn("class", F.explode(F.sequence(as_class(F.col("low")), as_class(F.col("high"))))).alias("a")
-    pairs = left.join(held.alias("b"), ["token", "class"]).filter(
-        f"a.label <> b.label and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)"
-    )
-    pairs = checkpointed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
-    return checkpointed(_met_under_all(nodes, pairs, orders))

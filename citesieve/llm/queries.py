@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat_views, decontaminate, language_id, lpt_shards, ngram_join, poisson_mix, repeated_bytes, token_counts, toxicity
-from .jobs import table
+from . import block_naming, chat_views, decontaminate, hamming_join, language_id, lpt_shards, ngram_join, periodic_runs, poisson_mix, repeated_bytes, spelling_variants, token_counts, toxicity
+from .jobs import checkpointed, table
 
 
 def _crc(modulus: int) -> Column:
@@ -69,6 +69,45 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def altered_words(documents: DataFrame) -> DataFrame:
+    """The words of whole texts, of which one in 97, by the CRC32 of doc_id and word, loses a letter. Rows without doc_id are not altered."""
+    word = F.col("word")
+    found = spelling_variants.words(documents).filter(F.length("word") >= 5)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), word).cast("binary"))
+    return found.select(F.when(h % 97 == 0, spelling_variants.without_letter(word, h % F.length(word))).otherwise(word).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = spelling_variants.word_counts(altered_words(table(spark, sf_dir, "documents")), least_letters=5, least_times=3)
+    return spelling_variants.variants(checkpointed(vocabulary))
+
+
+def op12_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
+def repeating(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) in which one in ten, by the CRC32 of its doc_id, repeats its words from some place on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = documents.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    placed = chosen.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("times", (g % 8 + 3).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((n - F.col("a")) / F.col("times"))).cast("int"))
+    cycle = F.slice("words", F.col("a") + 1, F.col("p"))
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(cycle, F.col("times"))), F.lit(1), n - F.col("a")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapsed(repeating(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +119,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_chat_views, op2_repeated_bytes, op3_token_counts, op4_lpt_shards, op5_decontaminate, op6_toxicity, op7_poisson_mix,
-            op8_language_id, op9_block_naming, op10_ngram_join, pipeline, chat_dialogues,
+            op8_language_id, op9_block_naming, op10_ngram_join, op11_spelling_variants, op12_hamming_join, op13_periodic_runs, pipeline, chat_dialogues,
         )
     }
 
