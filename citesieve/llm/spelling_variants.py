@@ -22,6 +22,8 @@ from .jobs import checkpointed
 LETTERS = "[A-Za-zÀ-ÿ]+"
 #: A chunk that more pairs of words share is cut further.
 HOT_PAIRS = 1 << 12
+#: Up to so many letters the edit distance is computed in full.
+MOST_LETTERS = 64
 _UPPER = "".join(map(chr, range(65, 91)))
 
 
@@ -79,6 +81,16 @@ def _crowded(entries: DataFrame) -> DataFrame:
     return kept.filter((pairs > HOT_PAIRS) & (F.col("open") > 1)).select("key")
 
 
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether the second word, as long or a letter longer, is one edit away. Long words are compared in linear time, by the letters they begin with."""
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    fits = lambda n, step: (n + step <= F.length(a)) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step))
+    same = F.aggregate(powers, F.lit(0), lambda n, step: F.when(fits(n, step), n + step).otherwise(n))
+    rest = lambda word, at: F.substring(word, at + 1, F.length(word))
+    long = (a != b) & (rest(a, same + F.length(a) + 1 - F.length(b)) == rest(b, same + 1))
+    return F.when(F.length(a) > MOST_LETTERS, long).otherwise(F.levenshtein(a, b, 1) == 1)
+
+
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(a, b, a_n, b_n): every two words of ``vocabulary`` (word, n) that exactly one inserted, deleted or replaced letter tells apart, once."""
     open_, settled = checkpointed(_entries(vocabulary)), None
@@ -94,7 +106,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     same = entries.filter("more = 0").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
     longer = entries.filter("gram").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
     met = chunk.join(same, "key").filter("a < b").unionByName(chunk.join(longer, "key"))
-    return met.filter(F.levenshtein("a", "b", 1) == 1).distinct()
+    return met.filter(_one_edit(F.col("a"), F.col("b"))).drop("key").distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from citesieve.llm import ngram_join
+from citesieve.llm import ngram_join, set_links
 from tests.llm.test_operators import SCHEMA, brute_components, ordered, sentence, word
 
 
@@ -33,13 +33,25 @@ def near_rows(count, seed, most=8):
 
 
 def test_more_orders_leave_fewer_candidates(spark):
-    df = spark.createDataFrame(near_rows(150, 31, 40), SCHEMA).repartition(4)
-    counts = ngram_join.candidate_counts(df, 3, 70)
-    assert counts[0] >= counts[1] >= counts[2] and counts[0] > counts[2]
+    """Words that many others have too: pairs meet by a rare one, but seldom under orders that do not know it is rare."""
+    rng = random.Random(31)
+    pool = [word(rng) + str(k) for k in range(150)]
+    rows = [(k, " ".join(rng.sample(pool, 40)), None, None) for k in range(250)]
+    counts = ngram_join.candidate_counts(spark.createDataFrame(rows, SCHEMA).repartition(4), 1, 85)
+    assert counts[0] > counts[1] > counts[2]
+
+
+def test_no_order_leaves_out_a_similar_pair(spark):
+    """Here only similar texts meet at all, so the orders have nothing to cut."""
+    rows = near_rows(150, 31, 40)
+    counts = ngram_join.candidate_counts(spark.createDataFrame(rows, SCHEMA).repartition(4), 3, 70)
+    assert counts[0] >= counts[1] >= counts[2]
+    linked = {c for d, _, c in brute_components(rows, 3, 70) if d != c}
+    assert counts[2] >= len(linked)
 
 
 def test_hot_tokens_are_cut_by_the_next_order(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT_PAIRS", 2)
+    monkeypatch.setattr(set_links, "HOT_PAIRS", 2)
     rows = near_rows(90, 7)
     got = ngram_join.similar_components(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, 70)
     assert ordered(got.collect()) == ordered(brute_components(rows, 3, 70))
