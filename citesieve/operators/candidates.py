@@ -1,17 +1,21 @@
 """Candidate search for citations without a usable identifier, by an inverted index, and the choice of the best.
 
-Any accepted candidate needs a year within the tolerance, so citations meet works in blocks of one year, with
-the citation's year spread over the tolerance. The author key loses no list that agrees: their
-first surnames are equal, or of one length with equal first three and last two letters. Of titles every word and every
-pair of neighbours counts, however short or common. The rank is the sum of the idf of all shared keys, ties by source
-and record_id, and is exact; a title without one whole word in common is only met by its author.
+The author key loses no list that agrees: their first surnames are equal, or of one length with equal first three and
+last two letters. Of titles every word and every pair of neighbours counts, however short or common. The rank is the
+sum of the idf of all shared keys, ties by source and record_id, and is exact; a title without one whole word in
+common is only met by its author. Any accepted candidate needs a year within the tolerance, so no others are met.
+
+Works stand in the posting list of each of their keys, and citations visit the lists rarest key first, in two rounds
+of joins. The first visits keys with few works, and the k-th best score there is a threshold: a work that shares
+none of the keys visited so far can only gain what the keys to come weigh, so the second round goes on just until
+these weigh less than the threshold. Common keys are rarely visited at all. A pair is scored in full where it meets,
+at the rarest key it shares and nowhere else, and only scores that reach the threshold leave the join. So what is
+shuffled are the keys of works and the visited keys of citations, each a fixed number of times, and a hot key is
+a join on one value, which Spark can split.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,12 @@ from .staging import spread, staged
 
 #: Weights of keys of more than this share of the works (and this many) are broadcast, so that no join is dealt by them.
 COMMON_SHARE, LEAST_COMMON = 0.005, 20.0
-#: Blocks of a year hold about this many works and this many citations.
-BLOCK = 20_000
+#: Citations that may be looked for in ADS.
+UNFOUND = "record IS NULL AND title IS NOT NULL AND pmid IS NULL AND pmcid IS NULL AND route NOT IN ('arxiv', 'ads')"
+#: In the first round keys are visited while the works of all keys so far are at most so many.
+FIRST_POSTINGS = 1000
+#: Posting lists are cut into spans of so many years; a citation reaches two at most.
+SPAN = 5
 
 
 def author_key(name: Column) -> Column:
@@ -46,109 +54,80 @@ def _title_words(title: Column) -> Column:
     return F.when(title != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
+def _coded(keys: Column) -> Column:
+    """Keys as 64-bit hashes."""
+    return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
+
+
 def work_keys(works: DataFrame) -> DataFrame:
     """(record_id, source, year, journal_key, keys): the keys of every work that has one."""
-    named = works.select("record_id", "source", "year", normalize_journal(F.col("journal")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_authors(metadata_surnames(F.col("authors"))).alias("names"))
+    year = F.coalesce("search_year", "year") if "search_year" in works.columns else F.col("year")
+    named = works.select("record_id", "source", year.alias("year"), normalize_journal(F.col("journal")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_authors(metadata_surnames(F.col("authors"))).alias("names"))
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.size("names") > 0, F.array(author_key(F.get("names", F.lit(0))))).otherwise(F.array().cast("array<string>")))
-    return named.select("record_id", "source", "year", "journal_key", keys.alias("keys")).filter("size(keys) > 0")
+    return named.select("record_id", "source", "year", "journal_key", _coded(keys).alias("keys")).filter("size(keys) > 0")
 
 
 def key_weights(keys: DataFrame) -> DataFrame:
-    """(key, idf, common) of all keys."""
+    """(key, df, idf, common) of all keys."""
     total = F.lit(float(max(1, keys.select("source", "record_id").distinct().count())))
     counted = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
-    return counted.select("key", F.log(total / F.col("df") + 1).alias("idf"), (F.col("df") > F.greatest(total * COMMON_SHARE, F.lit(LEAST_COMMON))).alias("common"))
-
+    return counted.select("key", "df", F.log(total / F.col("df") + 1).alias("idf"), (F.col("df") > F.greatest(total * COMMON_SHARE, F.lit(LEAST_COMMON))).alias("common"))
 
-def _index(works: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The keys of works, and for each from where to where its works stand in the third."""
-    lists = works.column("keys").combine_chunks()
-    coded = pc.list_flatten(lists).dictionary_encode()
-    codes, owners = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
-    order = np.argsort(codes, kind="stable")
-    return coded.dictionary, np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1)), owners[order]
 
-
-def _first(scores: np.ndarray, k: int) -> np.ndarray:
-    """Where the k highest scores are, of equal ones the first."""
-    if len(scores) > k:
-        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-        return at[np.argsort(-scores[at], kind="stable")[:k]]
-    return np.argsort(-scores, kind="stable")
+def search_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keys of all Crossref works and the keys' weights, staged; every search over these works can share them."""
+    keys = staged(work_keys(spread(works.filter("source = 'Crossref'"), "record_id")))
+    return keys, staged(key_weights(keys))
 
 
-def _top(k: int, bonus: float):
-    """The best k works of each citation within one block.
+def _weighed(asked: DataFrame, weights: DataFrame) -> DataFrame:
+    """(ref_id, year, journal_key, codes, gains, steps) of ``asked`` (ref_id, year, journal_key, keys) with any key that works have.
 
-    Keys are taken rarest first. As soon as those to come cannot lift a work that has none so far over the k-th
-    best, they are only added to works met before.
+    ``codes`` are these keys, rarest first, and ``gains`` their idf. A step is a key with the number of works that
+    the keys before it have (``behind``) and what it and all after it weigh together (``ahead``).
     """
-
-    def rank(asked: pa.Table, works: pa.Table) -> pa.Table:
-        if not (asked.num_rows and works.num_rows):
-            return pa.Table.from_arrays([asked.column("ref_id").slice(0, 0), *works.select(["source", "record_id"]).slice(0, 0).columns, pa.array([], pa.float64())], ["ref_id", "source", "record_id", "rank_score"])
-        works = works.take(pc.sort_indices(works, [("source", "ascending"), ("record_id", "ascending")]))
-        names, starts, owners = _index(works)
-        lists = asked.column("keys").combine_chunks()
-        pairs = pc.list_flatten(lists)
-        place = pc.fill_null(pc.index_in(pairs.field("key"), value_set=names), -1).to_numpy()
-        idf = pairs.field("idf").to_numpy()
-        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
-        journals = np.array(works.column("journal_key").to_pylist(), object)
-        rows, found, ranks = [], [], []
-        for row, journal in enumerate(asked.column("journal_key").to_pylist()):
-            own, gains = place[bounds[row] : bounds[row + 1]], idf[bounds[row] : bounds[row + 1]]
-            own, gains = own[own >= 0], gains[own >= 0]
-            order = np.argsort(-gains, kind="stable")
-            own, gains = own[order], gains[order]
-            scores, met = np.zeros(works.num_rows), None
-            for n, (code, gain) in enumerate(zip(own.tolist(), gains.tolist(), strict=True)):
-                post = owners[starts[code] : starts[code + 1]]
-                if met is None and len(post) * 16 > len(scores) > k and gains[n:].sum() + bonus + 1e-5 < np.partition(scores, -k)[-k]:
-                    met = np.flatnonzero(scores)
-                if met is not None:
-                    post = met[np.isin(met, post, assume_unique=True)]
-                scores[post] += gain
-            met = np.flatnonzero(scores)
-            total = np.round(scores[met] + (bonus * (journals[met] == journal) if bonus else 0.0), 6)
-            best = _first(total, k)
-            rows.append(np.full(len(best), row))
-            found.append(met[best])
-            ranks.append(total[best])
-        rows, found = np.concatenate([np.zeros(0, int), *rows]).astype(int), np.concatenate([np.zeros(0, int), *found]).astype(int)
-        kept = works.select(["source", "record_id"]).take(found)
-        return pa.Table.from_arrays([asked.column("ref_id").take(rows), *kept.columns, pa.array(np.concatenate([np.zeros(0), *ranks]))], ["ref_id", "source", "record_id", "rank_score"])
-
-    return rank
+    single = asked.select("ref_id", F.explode("keys").alias("key"))
+    known = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(weights.filter("NOT common"), "key"))
+    own = known.groupBy("ref_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("rank"), "key", "df"))).alias("own"))
+    so_far = lambda part, value: F.aggregate(part, F.lit(0.0), lambda n, x: n + value(x))
+    step = lambda x, i: F.struct(
+        x["key"].alias("key"), i.alias("at"), so_far(F.slice("own", 1, i + 1), lambda y: y["df"]).alias("behind"), so_far(F.slice("own", i + 1, F.size("own")), lambda y: -y["rank"]).alias("ahead")
+    )
+    named = asked.drop("keys").join(own, "ref_id")
+    codes = F.transform("own", lambda x: x["key"])
+    return named.select("ref_id", "year", "journal_key", codes.alias("codes"), F.map_from_arrays(codes, F.transform("own", lambda x: -x["rank"])).alias("gains"), F.transform("own", step).alias("steps"))
 
 
-def search_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keys of all Crossref works and the keys' weights, staged; every search over these works can share them."""
-    keys = staged(work_keys(spread(works.filter("source = 'Crossref'"), "record_id")))
-    return keys, staged(key_weights(keys))
+def _met(visits: DataFrame, keys: DataFrame, bonus: float) -> DataFrame:
+    """(ref_id, source, record_id, rank_score) of the works met at the visited keys: at the rarest key that both have, and so once."""
+    span = lambda year: F.floor(year / SPAN)
+    tolerance = year_tolerance(F.col("year"))
+    asked = visits.withColumns({"low": F.col("year") - tolerance, "high": F.col("year") + tolerance})
+    asked = asked.withColumn("span", F.explode(F.sequence(span(F.col("low")), span(F.col("high"))))).drop("year")
+    held = keys.select("source", "record_id", F.col("year").alias("work_year"), F.col("journal_key").alias("work_journal"), F.col("keys").alias("work_keys"), F.explode("keys").alias("key"))
+    held = held.withColumn("span", span(F.col("work_year"))).join(visits.select("key").distinct(), "key", "left_semi")
+    met = asked.join(held, ["key", "span"]).filter("work_year BETWEEN low AND high")
+    met = met.withColumn("shared", F.array_intersect("codes", "work_keys")).filter(F.get("shared", F.lit(0)) == F.col("key"))
+    score = F.aggregate("shared", F.lit(0.0), lambda n, k: n + F.col("gains")[k])
+    score = score + F.when(F.col("journal_key") == F.col("work_journal"), bonus).otherwise(0.0) if bonus else score
+    return met.select("ref_id", "source", "record_id", F.round(score, 6).alias("rank_score"), *(["least"] if "least" in visits.columns else []))
 
 
 def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, keys); ``bonus`` is for the same journal."""
     keys, weights = index or search_index(works)
-    asked = staged(asked)
-    single = asked.select("ref_id", F.explode("keys").alias("key"))
-    weighed = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(weights.filter("NOT common"), "key"))
-    own = weighed.groupBy("ref_id").agg(F.collect_list(F.struct("key", "idf")).alias("keys"))
-    tolerance = year_tolerance(F.col("year"))
-    near = asked.drop("keys").join(own, "ref_id").withColumn("near", F.explode(F.sequence(F.col("year") - tolerance, F.col("year") + tolerance))).drop("year")
-    # Years of many works or citations are cut into blocks, so that no year is one task's.
-    blocks = lambda name: F.ceil(F.count("*") / BLOCK).alias(name)
-    cuts = staged(near.groupBy("near").agg(blocks("parts")).join(keys.groupBy(F.col("year").alias("near")).agg(blocks("shelves")), "near"))
-    near = near.join(F.broadcast(cuts), "near").withColumns({"part": F.pmod(F.xxhash64("ref_id"), "parts"), "shelf": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shelves") - 1))})
-    held = keys.withColumnRenamed("year", "near").join(F.broadcast(cuts), "near").withColumns({"shelf": F.pmod(F.xxhash64("source", "record_id"), "shelves"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))})
-    at = ["near", "part", "shelf"]
-    kind = asked.schema["ref_id"].dataType.simpleString()
-    schema = f"ref_id {kind}, source string, record_id string, rank_score double"
-    near, held = near.select(*at, "ref_id", "journal_key", "keys"), held.select(*at, "source", "record_id", "journal_key", "keys")
-    scored = near.groupBy(*at).cogroup(held.groupBy(*at)).applyInArrow(_top(k, bonus), schema)
+    weighed = staged(_weighed(staged(asked), weights))
     rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("rank_score"), "source", "record_id"))
-    top = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", rank).filter(F.col("rank") <= k)
+    steps = weighed.withColumn("step", F.explode("steps")).select("ref_id", "year", "journal_key", "codes", "gains", "step.*")
+    early = (F.col("at") == 0) | (F.col("behind") <= FIRST_POSTINGS)
+    first = staged(best(_met(steps.filter(early).drop("at", "behind", "ahead"), keys, bonus)))
+    least = first.filter(F.col("rank") == k).select("ref_id", F.col("rank_score").alias("least"))
+    # A sum in another order may differ in its last digits, so keys are visited a little beyond the threshold.
+    open_ = F.coalesce(F.col("ahead") + bonus + 1e-5 >= F.col("least"), F.lit(True))
+    later = steps.filter(~early).join(least, "ref_id", "left").filter(open_).drop("at", "behind", "ahead")
+    more = _met(later, keys, bonus).filter(F.coalesce(F.col("rank_score") >= F.col("least"), F.lit(True))).drop("least")
+    top = best(first.drop("rank").unionByName(more))
     records = works.select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
     return top.join(records, F.expr("source = s AND record_id = r")).select("ref_id", "rank", "rank_score", "record")
 
@@ -158,7 +137,7 @@ def _asked(citations: DataFrame, author: Column) -> DataFrame:
         "ref_id", "year", F.coalesce(normalize_journal(F.col("journal")), F.lit("")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_author(author).alias("a")
     )
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.col("a") != "", F.array(author_key(F.col("a")))).otherwise(F.array().cast("array<string>")))
-    return named.select("ref_id", "year", "journal_key", keys.alias("keys"))
+    return named.select("ref_id", "year", "journal_key", _coded(keys).alias("keys"))
 
 
 def search_candidates(citations: DataFrame, works: DataFrame, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -249,6 +228,6 @@ def ads_discovery(unmatched: DataFrame, works: DataFrame) -> DataFrame:
     """(ref_id, record) from ADS for citations without record, PMID, PMCID and physics route: by DOI if they have one, else by title."""
     from .lookup import lookup_ads
 
-    asked = unmatched.filter("record IS NULL AND title IS NOT NULL AND pmid IS NULL AND pmcid IS NULL AND route NOT IN ('arxiv', 'ads')").drop("record")
+    asked = unmatched.filter(UNFOUND).drop("record")
     by_doi = lookup_ads(asked.filter("doi IS NOT NULL"), works, F.col("doi")).filter("record IS NOT NULL").select("ref_id", "record")
     return by_doi.unionByName(title_search_unique(asked.filter("doi IS NULL"), works, "NASA ADS"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, classify, compare, lookup, route
+from ..operators import candidates, classify, compare, identifiers, lookup, route
 from ..operators.parse import AI_NOTE, parse_citations
 from ..operators.staging import spread, staged
 
@@ -42,24 +42,27 @@ RESULT = {
 }
 
 
-def looked_up(parsed: DataFrame, works: DataFrame, ads: bool = True) -> DataFrame:
-    """Parsed citations that need a lookup, with ``record``, match_reason and had_candidate, each by its route."""
-    at = lambda name: parsed.filter(F.col("route") == name)
-    arxiv = lookup.lookup_arxiv(at("arxiv"), works)
-    datacite = lookup.lookup_datacite(arxiv, works).select("ref_id", F.col("record").alias("other"))
-    titled = candidates.title_search_unique(at("arxiv").filter("arxiv_id IS NULL"), works).select("ref_id", F.col("record").alias("unique"))
-    arxiv = at("arxiv").join(arxiv.select("ref_id", "record"), "ref_id", "left").join(datacite, "ref_id", "left").join(titled, "ref_id", "left")
-    arxiv = arxiv.withColumn("record", F.coalesce("record", "other", "unique")).drop("other", "unique")
-    rest = [lookup.lookup_doi(at("doi"), works), lookup.lookup_pmid(at("pmid"), works), lookup.lookup_pmcid(at("pmcid"), works), lookup.lookup_ads(at("ads"), works), candidates.searched(at("search"), works)]
-    out = arxiv
-    for part in rest:
-        out = out.unionByName(part, allowMissingColumns=True)
+def looked_up(parsed: DataFrame, works: DataFrame, ads: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """Parsed citations that need a lookup, with ``record``, bridge_pmid, match_reason and had_candidate, each by its route.
+
+    All identifiers are looked up in one join with ``index`` (of ``identifiers``; made here if not given). Titles are
+    searched for citations without a usable identifier, and (``ads``) in ADS for those that found nothing.
+    """
+    needed = parsed.filter(F.col("route").isin("arxiv", "doi", "pmid", "pmcid", "ads", "search"))
+    found = identifiers.lookup_all(needed, index if index is not None else identifiers.staged_index(works), ads)
+    search = candidates.searched(parsed.filter(F.col("route") == "search"), works).select("ref_id", F.col("record").alias("searched"), "match_reason", "had_candidate")
+    titled = candidates.title_search_unique(parsed.filter("route = 'arxiv' AND arxiv_id IS NULL"), works).select("ref_id", F.col("record").alias("unique"))
+    out = needed.drop("record", "bridge_pmid", "match_reason", "had_candidate")
+    for part in (found, search, titled):
+        out = out.join(part, "ref_id", "left")
+    out = out.withColumn("record", F.coalesce("record", "searched", "unique")).drop("searched", "unique")
     if ads:
-        # Read three times below: staged, no lookup is planned and made again for each.
-        out = staged(out)
-        found = candidates.ads_discovery(out, works).withColumnRenamed("record", "discovered")
+        # Read twice below: staged, no lookup is planned and made again.
+        out = staged(out.withColumn("record", F.coalesce("record", "by_doi")))
+        missed = out.filter(candidates.UNFOUND).filter("doi IS NULL").drop("record")
+        found = candidates.title_search_unique(missed, works, "NASA ADS").withColumnRenamed("record", "discovered")
         out = out.join(found, "ref_id", "left").withColumn("record", F.coalesce("record", "discovered")).drop("discovered")
-    return out
+    return out.drop("by_doi")
 
 
 def with_doi_flags(df: DataFrame, registry: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ def cited(spark, rows):
     return spark.createDataFrame(rows, "ref_id long, title string, year int, first_author string, journal string")
 
 
-@pytest.mark.parametrize("block", [20_000, 30])
-def test_first_five_are_those_of_brute_force(spark, works, titles, monkeypatch, block):
-    monkeypatch.setattr(candidates, "BLOCK", block)
+@pytest.mark.parametrize("postings", [0, 120, 1000])
+def test_first_five_are_those_of_brute_force(spark, works, titles, monkeypatch, postings):
+    monkeypatch.setattr(candidates, "FIRST_POSTINGS", postings)
     rng = random.Random(9)
     asked = [(k, t, y, "Authorb" if k % 2 else "Wrong", j) for k, (t, y, _, j) in enumerate(rng.sample(sorted(titles.values()), 40))]
     asked += [(90, "nothing shared", 2001, "Wrong", None), (91, None, 2001, "Authora", None), (92, "the steel", None, "Authora", None)]
