@@ -61,8 +61,7 @@ def _coded(keys: Column) -> Column:
 
 def work_keys(works: DataFrame) -> DataFrame:
     """(record_id, source, year, journal_key, keys): the keys of every work that has one."""
-    year = F.coalesce("search_year", "year") if "search_year" in works.columns else F.col("year")
-    named = works.select("record_id", "source", year.alias("year"), normalize_journal(F.col("journal")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_authors(metadata_surnames(F.col("authors"))).alias("names"))
+    named = works.select("record_id", "source", F.coalesce("search_year", "year").alias("year"), normalize_journal(F.col("journal")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_authors(metadata_surnames(F.col("authors"))).alias("names"))
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.size("names") > 0, F.array(author_key(F.get("names", F.lit(0))))).otherwise(F.array().cast("array<string>")))
     return named.select("record_id", "source", "year", "journal_key", _coded(keys).alias("keys")).filter("size(keys) > 0")
 
@@ -160,7 +159,7 @@ def scored_candidates(candidates: DataFrame, citations: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "title_sim": F.when(both, F.col("sim")).otherwise(0.0), "auth_ok": F.col("list.ok"), "jnl_ok": same_journal(F.col("own_journal"), F.col("record_journal"), F.col("jnl")),
-            "tol": year_tolerance(F.col("year")), "year_ok": F.coalesce(F.abs(F.col("record.year") - F.col("year")) <= year_tolerance(F.col("year")), F.lit(False)),
+            "tol": year_tolerance(F.col("year")), "year_ok": F.coalesce(F.abs(F.coalesce("record.search_year", "record.year") - F.col("year")) <= year_tolerance(F.col("year")), F.lit(False)),
         }
     )
     enough = F.col("title_sim") >= F.when(F.col("year") <= 1990, 0.80).otherwise(0.75)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.normalize import metadata_author_issue, metadata_surnames, review_from_pub_types, review_from_title
 from ..functions.text import arxiv_stem, trimmed_of
 
-#: A record as lookups return it, in one nullable struct.
-RECORD = ("source", "record_id", "doi", "dois", "title", "year", "years", "pubdate", "journal", "volume", "issue", "pages", "type", "url")
+#: A record as lookups return it, in one nullable struct. ``search_year`` is what a candidate search compares, if it differs from ``year``.
+RECORD = ("source", "record_id", "doi", "dois", "title", "year", "years", "pubdate", "journal", "volume", "issue", "pages", "type", "url", "search_year")
 
 
 def doi_key(col: Column) -> Column:
@@ -67,7 +67,7 @@ def lookup_ads(citations: DataFrame, works: DataFrame, key: Column | None = None
     """Citations with an ads_id (or another key) that is among a record's identifiers; the record must be the only one."""
     asked = (F.lower("ads_id") if key is None else F.lower(key))
     named = works.filter("source = 'NASA ADS'").withColumn("key", F.explode(F.array_distinct("identifiers"))).filter("key <> ''")
-    only = named.groupBy("key").agg(F.count("*").alias("n"), F.first(as_record()).alias("record")).filter("n = 1").drop("n")
+    only = named.groupBy("key").agg(F.count("*").alias("n"), F.min_by(as_record(), F.col("record_id")).alias("record")).filter("n = 1").drop("n")
     return _joined(citations.withColumn("asked", asked).filter("asked IS NOT NULL"), F.col("asked"), only).drop("asked")
 
 

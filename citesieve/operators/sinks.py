@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classify import manual_check_status
@@ -69,15 +69,29 @@ def run_records(results: DataFrame, submissions: DataFrame, app_name: str, modul
 
     A task that is run again writes the same ids.
     """
-    choice = module_choice(module, s390_choice, other_module)
+    choice, run = module_choice(module, s390_choice, other_module), run or uuid.uuid4().hex
     finding = F.struct(F.col("`Ref #`").alias("ref_no"), F.col("Reference").alias("reference"), F.col("`Validation Result`").alias("label"), F.col("Score").alias("score"), F.col("Notes").alias("notes"))
     found = results.groupBy("submission_id").agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     counts = results.groupBy("submission_id", "Validation Result").count().groupBy("submission_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("`Validation Result`").alias("key"), F.col("count").alias("value"))))).alias("result_counts"))
     texts = submissions.select("submission_id", F.col("text").alias("input_text"))
     df = texts.join(found, "submission_id").join(counts, "submission_id").withColumn("split_refs", F.transform("findings", lambda f: f["reference"]))
-    fixed = {"run_id": F.md5(F.concat_ws("|", F.lit(run or uuid.uuid4().hex), F.col("submission_id").cast("string"))), "app_name": F.lit(app_name), **{k: F.lit(v).cast("string") for k, v in choice.items()}, "validator_version": F.lit(version), "check_reviews": F.lit(check_reviews), "error_text": F.lit(None).cast("string")}
+    fixed = {"run": F.lit(run), "run_id": F.md5(F.concat_ws("|", F.lit(run), F.col("submission_id").cast("string"))), "app_name": F.lit(app_name), **{k: F.lit(v).cast("string") for k, v in choice.items()}, "validator_version": F.lit(version), "check_reviews": F.lit(check_reviews), "error_text": F.lit(None).cast("string")}
     return df.withColumns(fixed)
 
 
-def append_run_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").parquet(path)
+def write_run_records(records: DataFrame, path: str) -> None:
+    """Add the records of runs to those under ``path``; runs that are there already are replaced, so writing twice is writing once.
+
+    Each run is a partition, put in place when all its files are written. Then the run is entered in the list of
+    complete runs, by which alone ``read_run_records`` goes: what a failed job has left is not read, and is replaced
+    by the next try.
+    """
+    put = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/{name}")
+    put(records, "records")
+    put(records.groupBy("run").agg(F.count("*").alias("n_records")), "complete")
+
+
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all complete runs."""
+    text = lambda name: spark.read.parquet(f"{path}/{name}").withColumn("run", F.col("run").cast("string"))
+    return text("records").join(text("complete").select("run"), "run", "left_semi")

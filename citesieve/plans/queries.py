@@ -273,6 +273,12 @@ def s2_crossref_works(spark, sf_dir):
 CROSSREF_FIELDS = ("doi", "title", "year", "journal", "volume", "issue", "pages")
 
 
+@registered("SELECT doi, year, CASE WHEN work_id % 4 = 0 THEN year - 1 ELSE year END AS search_year FROM articles")
+def s2_search_year(spark, sf_dir):
+    """The year that lookups compare and the one that searches do, of works some of which have only a print and a deposit date."""
+    return catalogue.crossref_works(_items(spark, sf_dir)).select("doi", "year", "search_year")
+
+
 @registered("SELECT form, doi, title, year, journal, volume, issue, concat(page_start, '-', page_end) AS pages, concat(s1, ', ', s2) AS surnames FROM articles, (VALUES ('lines'), ('lists')) f(form)")
 def s2_crossref_files(spark, sf_dir):
     """The same items written as dump files of both forms and read from there."""
@@ -290,7 +296,7 @@ def _items(spark, sf_dir):
     odd = F.col("work_id") % 2 == 1
     return json_of(
         df, **{
-            "DOI": F.col("doi"), "title": F.array("title", F.lit("other")), "container-title": F.array("journal"), "issued": F.when(odd, dates(F.col("year"))), "created": dates(F.when(odd, F.col("year") + 5).otherwise(F.col("year"))),
+            "DOI": F.col("doi"), "title": F.array("title", F.lit("other")), "container-title": F.array("journal"), "issued": F.when(odd, dates(F.col("year"))), "published-print": F.when(F.col("work_id") % 4 == 0, dates(F.col("year") - 1)), "created": dates(F.when(odd, F.col("year") + 5).otherwise(F.col("year"))),
             "author": people, "volume": F.col("volume"), "issue": F.when(odd, F.col("issue")), "journal-issue": F.struct(F.col("issue").alias("issue")), "page": F.concat_ws("-", "page_start", "page_end"),
         }
     )
@@ -828,7 +834,18 @@ def a9_view_for_display(spark, sf_dir):
     return report.result_view(results(spark, sf_dir), "condensed", review=True)
 
 
-@registered()
+def _row_sql(columns):
+    """A row as text, as the signature takes it."""
+    return " || ".join(f"""coalesce(length(CAST("{c}" AS VARCHAR)) || ':' || CAST("{c}" AS VARCHAR), '-')""" for c in sorted(columns))
+
+
+RESULT_COLUMNS = ("ref_id", "Ref #", "Validation Result", "Score", "Reference", "Notes", "Domain", "AI URL flag", "Extracted DOI", "Crossref DOI", "Metadata Source", "Metadata Record URL", "Metadata DOI", "PubMed ID", "Source URL", "doi_explicit_ok", "doi_derived_ok")
+
+
+@registered(
+    f""", r AS ({R}), h AS (SELECT submission_id, md5({_row_sql(RESULT_COLUMNS)}) AS hash FROM r)
+  SELECT submission_id, sha256(concat_ws(':', count(*), {", ".join(f"CAST(sum(CAST('0x' || substr(hash, {at}, 8) AS BIGINT)) AS VARCHAR)" for at in (1, 9, 17, 25))})) AS signature FROM h GROUP BY 1"""
+)
 def a10_results_signature(spark, sf_dir):
     return report.results_signature(results(spark, sf_dir))
 
@@ -871,9 +888,11 @@ def k2_guarded_export(spark, sf_dir):
 @registered(f"SELECT submission_id, 'S390' AS module, 'SXB' AS s390_choice, count(*) AS n_refs, count(*) FILTER (\"Validation Result\" = '{classify.MAJOR}') AS n_major FROM ({R}) GROUP BY 1")
 def k3_run_records(spark, sf_dir):
     path = _shared(spark, "runs")
-    sinks.append_run_records(sinks.run_records(results(spark, sf_dir), fx.submissions(spark, sf_dir), "app", "S390", "SXB"), path)
+    records = sinks.run_records(results(spark, sf_dir), fx.submissions(spark, sf_dir), "app", "S390", "SXB", run="r1")
+    for _ in range(2):
+        sinks.write_run_records(records, path)
     major = F.coalesce(F.try_element_at("result_counts", F.lit(classify.MAJOR)), F.lit(0))
-    return spark.read.parquet(path).select("submission_id", "module", "s390_choice", F.size("findings").cast("long").alias("n_refs"), major.alias("n_major"))
+    return sinks.read_run_records(spark, path).select("submission_id", "module", "s390_choice", F.size("findings").cast("long").alias("n_refs"), major.alias("n_major"))
 
 
 @registered(f"SELECT label, count(*) AS n FROM (SELECT {LABEL} AS label FROM citations WHERE t_doi IS NOT NULL) GROUP BY 1")

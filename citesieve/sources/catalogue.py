@@ -13,7 +13,7 @@ AUTHORS = "array<struct<given:string,family:string,last:string,name:string>>"
 WORKS = {
     "source": "string", "record_id": "string", "doi": "string", "dois": "array<string>", "pmid": "string", "pmcid": "string", "arxiv_id": "string", "bibcode": "string",
     "identifiers": "array<string>", "title": "string", "authors": AUTHORS, "year": "int", "years": "array<string>", "pubdate": "string", "journal": "string", "volume": "string",
-    "issue": "string", "pages": "string", "type": "string", "pub_types": "array<string>", "url": "string",
+    "issue": "string", "pages": "string", "type": "string", "pub_types": "array<string>", "url": "string", "search_year": "int",
 }
 _DATE = "struct<`date-parts`:array<array<int>>>"
 CROSSREF = (
@@ -84,7 +84,7 @@ def _of_items(items: DataFrame) -> DataFrame:
         items.select(
             F.lit("Crossref").alias("source"), it["DOI"].alias("record_id"), it["DOI"].alias("doi"), F.array(it["DOI"]).alias("dois"),
             F.get(it["title"], F.lit(0)).alias("title"), _people(it["author"], given="given", family="family", name="name").alias("authors"),
-            date_year(it, "issued", "created").alias("year"), F.get(it["container-title"], F.lit(0)).alias("journal"),
+            date_year(it, "issued", "created").alias("year"), date_year(it, "issued", "published-print", "created").alias("search_year"), F.get(it["container-title"], F.lit(0)).alias("journal"),
             _filled(it["volume"]).alias("volume"), _filled(it["issue"], it["journal-issue"]["issue"]).alias("issue"), _filled(it["page"]).alias("pages"), it["type"].alias("type"),
         )
     )
