@@ -50,6 +50,11 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if taken <= limit else df
 
 
+def hashed_share(*columns: str) -> Column:
+    """A number from 0 to 1 by the hash of some columns, for samples of any share, however small."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

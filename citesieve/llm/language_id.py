@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import hashed_share
 from .text import NO_ALNUM, U64, mix, slices, utf8
 
 #: Lengths of n-grams in bytes of lowered UTF-8, with all that is no letter as a space.
@@ -118,8 +119,8 @@ def trained(documents: DataFrame, most: int = MOST_TRAINING) -> Filters | None:
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if sum(r.n for r in sizes) > most:
-        cuts = F.create_map(*[F.lit(x) for r, n in zip(sizes, shares([r.n for r in sizes], most), strict=True) for x in (r.lang, int(1_000_000 * n / r.n))])
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(cuts, F.col("lang")))
+        cuts = F.create_map(*[F.lit(x) for r, n in zip(sizes, shares([r.n for r in sizes], most), strict=True) for x in (r.lang, n / r.n)])
+        rows = rows.filter(hashed_share("doc_id") < F.element_at(cuts, F.col("lang")))
     counts = rows.select("text", "lang").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("length", F.shiftrightunsigned("gram", 56))
     sums = {(r.lang, r.length): r.total for r in counts.groupBy("lang", "length").agg(F.sum("n").alias("total")).collect()}

@@ -275,9 +275,9 @@ def _removed(length: int):
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """Rows known by doc_id (0 for null) and tag, the CRC of the text (below 0 for a null doc_id)."""
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return documents.select(F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.when(F.col("doc_id").isNull(), -1 - crc).otherwise(crc).alias("tag"), "text")
+    """Rows known by doc_id and tag, a 64-bit hash of the text; a second such hash stands for a null doc_id."""
+    text, none = F.coalesce("text", F.lit("")), F.col("doc_id").isNull()
+    return documents.select(F.col("doc_id").alias("own_id"), F.when(none, F.xxhash64(F.lit("none"), text)).otherwise(F.col("doc_id")).alias("doc_id"), F.xxhash64(none, text).alias("tag"), "text")
 
 
 def repeated_windows(documents: DataFrame, length: int = 200) -> DataFrame:

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import hashed_share
 from .text import LOWER, NO_ALNUM, slices, span_hashes, utf8, word_spans
 
 #: Fitting takes at most about this many labelled rows, chosen by a hash of doc_id.
 MOST_TRAINING = 12_000
 #: A lexicon word stands in at least so many toxic rows of the sample, and is so much likelier there than elsewhere.
 LEAST_ROWS, LEAST_LIFT = 5, 8.0
-#: The model has at most so many lexicon words, those of most toxic rows; it bounds the fit as MOST_TRAINING does.
-MOST_WORDS = 256
+#: A lexicon of more words is refused; none is cut.
+MOST_WORDS = 1024
 #: Rounds of expectation maximisation, and of the classifier's fitting.
 ROUNDS = 50
 TOXIC, CLEAN, SILENT = 1, 0, -1
@@ -160,8 +161,10 @@ def _lexicon(rows: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
     words = rows.select("text", "toxic").mapInArrow(count, "word bigint, toxic bigint, n bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     lift = (F.col("toxic") / toxic) / ((F.col("n") - F.col("toxic") + 0.5) / clean)
-    top = words.filter(F.col("toxic") >= LEAST_ROWS).filter(lift >= LEAST_LIFT).orderBy(F.desc("toxic"), "word").limit(MOST_WORDS)
-    return np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
+    top = words.filter(F.col("toxic") >= LEAST_ROWS).filter(lift >= LEAST_LIFT).select("word").limit(MOST_WORDS + 1).collect()
+    if len(top) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words are typical of toxic rows")
+    return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
 
 
 def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Model:
@@ -173,7 +176,7 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING)
     marked = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     total = marked.count()
     if total > most:
-        marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / total))
+        marked = marked.filter(hashed_share("doc_id") < most / total)
     rows = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(marked), "doc_id")
     lexicon = _lexicon(rows)
 
