@@ -199,26 +199,34 @@ def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
     return out.withColumns({"match_reason": reason, "had_candidate": F.coalesce("seen_first", "seen_second", F.lit(False))}).drop("seen_first", "seen_second")
 
 
-def title_search_unique(citations: DataFrame, works: DataFrame, source: str = "arXiv") -> DataFrame:
-    """(ref_id, record): the one work of a source with a title ratio of 0.9 or more and an agreeing author list.
-
-    Lists that agree agree in their first surnames, so the author key loses none. Titles of such a ratio differ
-    in length by a fifth at most, so both are dealt by classes of length too, which parts the works of a common
-    surname; and no more than a tenth of both lengths need be put in or left out to turn one into the other,
-    which ``levenshtein`` tells before the ratio is worked out. Citations with more than one such work get none.
+def title_pairs(citations: DataFrame, works: DataFrame, source: str = "arXiv") -> DataFrame:
+    """(ref_id, title, authors, uses_et_al, record_id, record): the works of a source that a citation has to be compared with.
+
+    Lists that agree agree in their first surnames, and the second name of a citation that has one is among the names of
+    the record, so works stand under their first surname with each of the others, and with none for citations of one
+    name: a common surname is no block of its own. Titles of a ratio of 0.9 differ in length by a fifth at most, so
+    both are dealt by classes of length too, and no more than a tenth of both lengths need be put in or left out to
+    turn one into the other, which ``levenshtein`` tells before the ratio is worked out.
     """
     works = works.filter(F.col("source") == source)
     plain = lambda c: F.lower(squeezed(c))
     of_length = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.1)))
-    keyed = lambda df, names, *cols: df.filter("size(names) > 0").select(*cols, author_key(F.get(names, F.lit(0))).alias("key"), F.col("plain"))
+    first, alone = author_key(F.get("names", F.lit(0))).alias("key"), F.array(F.lit(""))
     asked = citations.filter("title IS NOT NULL").select("ref_id", "title", "authors", "uses_et_al", helpers.normalize_authors("authors").alias("names"), plain(F.col("title")).alias("plain"))
-    held = works.select("record_id", as_record().alias("record")).withColumns({"names": helpers.normalize_authors("record.surnames"), "plain": plain(F.coalesce("record.title", F.lit("")))})
-    asked, held = keyed(asked, "names", "ref_id", "title", "authors", "uses_et_al"), keyed(held, "names", "record_id", "record").withColumnRenamed("plain", "other")
+    held = works.select("record_id", as_record().alias("record")).withColumns({"names": helpers.normalize_authors("record.surnames"), "other": plain(F.coalesce("record.title", F.lit("")))})
+    asked = asked.filter("size(names) > 0").select("ref_id", "title", "authors", "uses_et_al", "plain", first, F.coalesce(author_key(F.get("names", F.lit(1))), F.lit("")).alias("second"))
+    others = F.array_distinct(F.concat(alone, F.transform(F.slice("names", F.lit(2), F.size("names")), author_key)))
+    held = held.filter("size(names) > 0").select("record_id", "record", "other", first, others.alias("others")).withColumn("second", F.explode("others")).drop("others")
     size = F.length("plain")
     # A class more on either side, as lowering can change the length of a few letters.
     asked = asked.withColumn("class", F.explode(F.sequence(of_length(size / 1.23) - 1, of_length(size * 1.23) + 1)))
-    met = asked.join(held.withColumn("class", of_length(F.length("other"))), ["key", "class"])
-    met = met.filter(F.levenshtein("plain", "other") <= 0.1 * (F.length("plain") + F.length("other")) + 2)
+    met = asked.join(held.withColumn("class", of_length(F.length("other"))), ["key", "second", "class"])
+    return met.filter(F.levenshtein("plain", "other") <= 0.1 * (F.length("plain") + F.length("other")) + 2).select("ref_id", "title", "authors", "uses_et_al", "record_id", "record")
+
+
+def title_search_unique(citations: DataFrame, works: DataFrame, source: str = "arXiv") -> DataFrame:
+    """(ref_id, record): the one work of a source with a title ratio of 0.9 or more and an agreeing author list. Citations with more than one such work get none."""
+    met = title_pairs(citations, works, source)
     met = met.withColumns({"sim": helpers.title_similarity(F.col("title"), F.col("record.title")), "list": helpers.compare_authors(F.col("authors"), F.col("record.surnames"), F.col("uses_et_al"))})
     return met.filter("sim >= 0.9 AND list.ok").groupBy("ref_id").agg(F.count("*").alias("n"), F.min_by("record", F.col("record_id")).alias("record")).filter("n = 1").select("ref_id", "record")
 

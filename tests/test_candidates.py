@@ -107,6 +107,32 @@ def test_like_titles_of_one_surname_are_found(spark):
     assert got == want and 50 < len(want) < 200
 
 
+def test_co_authors_part_the_works_of_one_surname(spark):
+    """600 titles of one surname: what is found is what comparing all with all finds, and few pairs are compared."""
+    rng = random.Random(16)
+    title = lambda: " ".join(rng.choice(WORDS) + str(rng.randint(1, 9)) for _ in range(9))
+    others = [a + b for a in ("Mora", "Beck", "Ibsen", "Castellanos") for b in ("", "son", "berg", "mann", "ova")]
+    held = [(f"x{k:04}", title(), ["Wang", *rng.sample(others, rng.randint(0, 4))]) for k in range(600)]
+    no = F.lit(None).cast("string")
+    people = F.transform("names", lambda n: F.struct(F.lit("A.").alias("given"), n.alias("family"), no.alias("last"), no.alias("name")))
+    works = as_works(spark.createDataFrame(held, "record_id string, title string, names array<string>").withColumns({"source": F.lit("arXiv"), "authors": people}).drop("names"))
+    asked = []
+    for k, (_, t, names) in enumerate(held):
+        cut = "".join(c for c in t if rng.random() > (0.02, 0.1, 0.25)[k % 3])
+        own = {0: names, 1: names[:1], 2: [names[0], *names[2:]], 3: [*names[:1], "Nobody"], 4: names[::-1]}[k % 5]
+        asked.append((k, cut, own, k % 7 == 0))
+    df = spark.createDataFrame(asked, "ref_id long, title string, authors array<string>, uses_et_al boolean")
+    want = {}
+    for ref, t, names, et_al in asked:
+        near = [(w, n) for w, other, n in held if difflib.SequenceMatcher(None, t, other).quick_ratio() >= 0.9 and helpers.title_ratio(t, other) >= 0.9]
+        like = [w for w, n in near if helpers.compared_authors(names, n, et_al)["ok"]]
+        if len(like) == 1:
+            want[ref] = like[0]
+    got = {r.ref_id: r.record_id for r in candidates.title_search_unique(df, works).select("ref_id", "record.record_id").collect()}
+    assert got == want and 150 < len(want) < 500
+    assert candidates.title_pairs(df, works).count() < 600 * 600 / 50
+
+
 def test_common_words_and_a_wrong_author_still_find_the_work(spark, works, titles):
     asked = cited(spark, [(k, t, y, "Wrong", j) for k, (t, y, _, j) in enumerate(titles.values())]).withColumns({"authors": F.array(F.lit("Wrong")), "uses_et_al": F.lit(False)})
     best = candidates.choose_best_candidate(candidates.scored_candidates(candidates.search_candidates(asked, works), asked))
