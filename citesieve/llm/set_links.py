@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import checkpointed, components, small
@@ -71,14 +71,18 @@ def _verified(percent: int):
     return verify
 
 
-def exact_links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The candidates (a, b) that are similar enough, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def of_nodes(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, read: Callable, column: str, kind: str) -> DataFrame:
+    """(id, column) of the nodes ``wanted`` (id): what ``read`` makes of the texts of ``documents``, as (node, column)."""
     asked = checkpointed(nodes.select("id", "node", F.col("lowest.doc_id").alias("doc_id")).join(wanted, "id"))
     ids = asked.select(F.col("doc_id").alias("wanted_id")).distinct()
     texts = documents.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> wanted_id"), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(n), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = checkpointed(sets.join(asked.select("id", "node"), "node").select("id", "tokens"))
+    made = texts.select("text").mapInArrow(read, f"node binary, {column} {kind}").groupBy("node").agg(F.first(column).alias(column))
+    return checkpointed(made.join(asked.select("id", "node"), "node").select("id", column))
+
+
+def exact_links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The candidates (a, b) that are similar enough, by their whole sets."""
+    sets = of_nodes(documents, nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), _sets(n), "tokens", "array<bigint>")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
@@ -93,15 +97,16 @@ def to_hubs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     ).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
 
 
-def grouped(documents: DataFrame, rows: DataFrame, nodes: DataFrame, entries: DataFrame, n: int, percent: int, met: Callable, finer: Callable) -> tuple[DataFrame, DataFrame]:
+def grouped(documents: DataFrame, rows: DataFrame, nodes: DataFrame, entries: DataFrame, n: int, percent: int, met: Callable, finer: Callable, marked: Callable | None = None, close: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, row, n_shingles, node) of ``documents`` (doc_id, text, row), and for each node the lowest of its component.
 
     ``nodes`` has id, node, weight (the largest makes a hub) and lowest; ``met(pairs)`` keeps the pairs (a, b) that a
-    cheap test lets pass, and ``finer(k, entries)`` gives entries under the k-th further key, or None.
+    cheap test lets pass, and ``finer(k, entries)`` gives entries under the k-th further key, or None. Pairs across
+    components are met under ``close`` alone, a condition on entries a and b with the columns that ``marked(ids)`` adds by id.
     """
     pairs = checkpointed(met(checkpointed(to_hubs(entries, nodes, percent))))
     labels = components(exact_links(documents, nodes, pairs, n, percent))
-    rest = checkpointed(met(_across(entries, labels, percent, finer)))
+    rest = checkpointed(met(_across(entries, labels, percent, finer, marked, close)))
     if not rest.isEmpty():
         links = exact_links(documents, nodes, rest, n, percent)
         # Only links between components are new: these are the nodes of a much smaller graph.
@@ -122,7 +127,7 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return sums.select("token", F.col("most.label").alias("main"), (F.col("all").cast("double") * (F.col("all") - F.col("most.times"))).alias("pairs"))
 
 
-def _across(entries: DataFrame, labels: DataFrame, percent: int, finer: Callable) -> DataFrame:
+def _across(entries: DataFrame, labels: DataFrame, percent: int, finer: Callable, marked: Callable | None = None, close: Column | None = None) -> DataFrame:
     """Pairs that share keys, could still be similar enough, and stand in different components.
 
     For each token the component with most entries is not joined with itself: the other entries meet all
@@ -140,12 +145,13 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int, finer: Callable
         tokens = checkpointed(_mixed(held))
     as_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(CLASS_BASE)))
     held = checkpointed(held.join(tokens.drop("pairs"), "token").withColumn("class", as_class(F.col("n"))))
+    if marked is not None:
+        held = checkpointed(held.join(marked(held.select("id").distinct()), "id"))
     # A partner of b tokens needs min(n - place, ...) >= percent (n + b) / (100 + percent), so b has an upper and a lower bound.
     high = F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n"))
     low = F.ceil(F.col("n") * percent / 100)
     side = held.filter("label <> main").withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).withColumn("low", low).filter("high >= low")
     left = side.withColumn("class", F.explode(F.sequence(as_class(F.col("low")), as_class(F.col("high"))))).alias("a")
-    pairs = left.join(held.alias("b"), ["token", "class"]).filter(
-        f"a.label <> b.label and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)"
-    )
+    enough = F.expr(f"a.label <> b.label and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)")
+    pairs = left.join(held.alias("b"), ["token", "class"]).filter(enough if close is None else enough & close)
     return checkpointed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())

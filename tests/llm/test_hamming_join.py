@@ -17,10 +17,10 @@ def test_signatures_within_the_distance_share_keys_of_two_chunks(percent):
     chunks, distance = hamming_join.distance_for(percent)
     rng = np.random.default_rng(percent)
     for _ in range(300):
-        one = rng.integers(0, 1 << 16, 5 * chunks, dtype=np.uint16)
+        one = rng.integers(0, 1 << 60, chunks, dtype=np.uint64)
         other = one.copy()
-        wrong = rng.choice(5 * chunks, distance, replace=False)
-        other[wrong] += 1
+        for slot in rng.choice(5 * chunks, distance, replace=False).tolist():
+            other[slot // 5] ^= np.uint64(1 + rng.integers(4095)) << np.uint64(12 * (slot % 5))
         keys = hamming_join.chunk_keys(np.stack([one, other]))
         shared = {k // 5 for k in np.flatnonzero(keys[0] == keys[1])}
         assert len(shared) >= 2
