@@ -444,16 +444,18 @@ def j7_lookup_ads(spark, sf_dir):
     return lookup.lookup_ads(asked, fx.works(spark, sf_dir)).select("ref_id", found_id())
 
 
-searchable = lambda spark, sf_dir: parsed(spark, sf_dir).filter("mode IN (2, 3, 4)")
+#: Every citation of an article is searched; the two kinds of web page are no articles.
+ARTICLE_MODES = "mode NOT IN (8, 11)"
+searchable = lambda spark, sf_dir: parsed(spark, sf_dir).filter(ARTICLE_MODES)
 #: Every candidate of the searches by brute force: shared keys of every citation with every work of its years.
-MET = """, titled AS (SELECT ref_id AS id, t_year AS y, t_journal AS jn, lower(t_title) AS t, lower(t_s1) AS a FROM citations WHERE mode IN (2, 3, 4)
+MET = f""", titled AS (SELECT ref_id AS id, t_year AS y, t_journal AS jn, lower(t_title) AS t, lower(t_s1) AS a FROM citations WHERE {ARTICLE_MODES}
   UNION ALL SELECT -1 - work_id, year, journal, lower(title), lower(s1) FROM articles),
 keyed AS (SELECT id, y, jn, list_distinct(list_concat(list_transform(string_split(t, ' '), lambda w: 't:' || w),
     list_transform(range(1, len(string_split('^ ' || t || ' $', ' '))), lambda i: 'p:' || string_split('^ ' || t || ' $', ' ')[i] || ' ' || string_split('^ ' || t || ' $', ' ')[i + 1]),
     ['a:' || CASE WHEN length(a) < 8 THEN a ELSE left(a, 3) || right(a, 2) || length(a) END])) AS ks FROM titled),
 single AS (SELECT id, y, jn, unnest(ks) AS k FROM keyed),
 weights AS (SELECT k, ln((SELECT count(*) FROM articles)::DOUBLE / count(*) + 1) AS idf FROM single WHERE id < 0 GROUP BY k),
-met AS (SELECT c.id AS ref_id, w.id AS work, round(sum(idf) + any_value(CASE WHEN c.jn = w.jn THEN {bonus} ELSE 0.0 END), 6) AS score
+met AS (SELECT c.id AS ref_id, w.id AS work, round(sum(idf) + any_value(CASE WHEN c.jn = w.jn THEN {{bonus}} ELSE 0.0 END), 6) AS score
   FROM single c JOIN single w USING (k) JOIN weights USING (k) WHERE c.id >= 0 AND w.id < 0 AND abs(c.y - w.y) <= CASE WHEN c.y <= 1990 THEN 1 ELSE 2 END GROUP BY c.id, w.id)
 """
 SEARCH = MET + """, ranked AS (SELECT m.ref_id, doi, row_number() OVER (PARTITION BY m.ref_id ORDER BY score DESC, doi) AS rank FROM met m JOIN articles ON work_id = -1 - work)
@@ -497,25 +499,26 @@ def j12_review_lookup(spark, sf_dir):
     return lookup.review_lookup(found, works, fx.pub_types(spark, sf_dir)).select("ref_id", "is_review")
 
 
-FULL = "mode = 4 OR (mode = 3 AND ref_id % 24 = 3)"
+#: The article's own title and authors, and a year within the tolerance.
+FULL = "mode IN (0, 4, 5, 6, 7, 9, 10) OR (mode = 3 AND ref_id % 24 = 3)"
 
 
 @registered(
     MET.replace("{bonus}", "0.0")
     + f"""SELECT ref_id, had AS had_candidate, CASE WHEN {FULL} THEN doi END AS full_match,
   CASE WHEN mode = 2 THEN CASE WHEN had THEN 'fielded search: no acceptable Crossref match' ELSE 'no Crossref items' END END AS rejected
-  FROM (SELECT *, ref_id IN (SELECT ref_id FROM met) AS had FROM citations WHERE mode IN (2, 3, 4))"""
+  FROM (SELECT *, ref_id IN (SELECT ref_id FROM met) AS had FROM citations WHERE {ARTICLE_MODES})"""
 )
 def w1_choose_best(spark, sf_dir):
-    """All searched citations. Of those whose year is off by three, works of like titles may be accepted, which a test holds against brute force."""
+    """All citations of articles. Of those whose year is off by three, works of like titles may be accepted, which a test holds against brute force."""
     out = candidates.searched(searchable(spark, sf_dir), fx.works(spark, sf_dir))
     full = F.col("match_reason").contains("title=1.00, year_ok=True, auth_ok=True")
     return out.select("ref_id", "had_candidate", F.when(full, F.col("record.doi")).alias("full_match"), F.when(F.col("mode") == 2, F.col("match_reason")).alias("rejected"))
 
 
 @registered(
-    f"""SELECT ref_id, CASE WHEN {FULL} THEN concat('title=1.00, year_ok=True, auth_ok=True, jnl_ok=True, tol=', CASE WHEN t_year <= 1990 THEN '1' ELSE '2' END) END AS reason
-  FROM citations WHERE mode IN (2, 3, 4)"""
+    f"""SELECT ref_id, CASE WHEN {FULL} OR mode = 1 THEN concat('title=1.00, year_ok=True, auth_ok=', CASE WHEN mode = 1 THEN 'False' ELSE 'True' END,
+  ', jnl_ok=', CASE WHEN mode IN (7, 9) THEN 'False' ELSE 'True' END, ', tol=', CASE WHEN t_year <= 1990 THEN '1' ELSE '2' END) END AS reason FROM citations WHERE {ARTICLE_MODES}"""
 )
 def w2_candidate_reason(spark, sf_dir):
     asked = staged(searchable(spark, sf_dir))
