@@ -40,7 +40,7 @@ _HIGH = sum(1 << (SLOT * k + SLOT - 1) for k in range(CHUNK))
 #: A pair that is just similar enough is outside the distance with this probability at most.
 MISSED = 1e-7
 #: Bits of the long signatures, and how many of them are compared first.
-BITS, FIRST_BITS = 1024, 256
+BITS, FIRST_BITS = 2048, 256
 #: Signatures for less similar texts would be long.
 LEAST_PERCENT = 70
 
