@@ -89,6 +89,7 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 # --- author names -------------------------------------------------------------------------------
 
+# The forms of names that results depend on.
 _COLLECTIVE = re.compile(r"^(.+?\b(?:Collaboration|Consortium|Team))(?=,|\s+et\s+al|$)", re.I)
 _SURNAME_STOP = regex.compile(rf"(^|[,;]\s*|\band\s+|&\s+)([\p{{Lu}}][\p{{L}}\p{{M}}'’\-]+)\.\s+(?=[\p{{Lu}}](?:[\p{{Lu}}.\s\-]*)(?:,|;|$))")
 _FAMILY_FIRST = regex.compile(rf"{LINK}({FAMILY})\s*,\s*(?={INITIAL})")
@@ -146,6 +147,7 @@ def surnames(ref: str | None) -> list[str]:
 author_surnames = F.pandas_udf(lambda s: s.map(surnames), T.ArrayType(T.StringType()))
 
 
+# Fixed value.
 _APPARENT = regex.compile(r"(?:^|[,;]\s*|\band\s+|&\s+)([\p{Lu}][\p{L}\p{M}'’\-]+)\s*[,.:]\s*(?=[\p{Lu}](?:[\p{Lu}.\s\-]*)(?:[,;()]|$))")
 MISSED_AUTHORS = "incomplete author extraction: supplied author tokens were not parsed"
 
@@ -243,7 +245,7 @@ def _greedy(submitted, metadata):
 
 
 def author_conflicts(submitted: list[str], metadata: list[str], et_al: bool) -> list[str]:
-    """What to say about names that are absent from a record or stand elsewhere in it."""
+    """What to say about names that are absent from a record or stand elsewhere in it. The sentences are fixed values."""
     absent = "{} is named in the submitted reference but not found in the retrieved author list".format
     notes = []
     if et_al:

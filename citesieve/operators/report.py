@@ -86,6 +86,24 @@ def _part_status(matches: Column, submitted: Column, metadata: Column) -> Column
     )
 
 
+# What the parts of a reference say, as outputs must match.
+DOI_MEANINGS = {
+    "resolves": "The DOI supplied in the reference resolves.",
+    "found": "The DOI was found by the lookup; it did not add points to the score.",
+    "unconfirmed": "The supplied DOI could not be confirmed; this alone does not establish fabrication.",
+    "none": "No DOI was supplied or recovered.",
+}
+PART_MEANINGS = {
+    "Year": "Letter suffixes such as 2025a use the four-digit year.",
+    "Journal": "Common abbreviations and punctuation are normalized.",
+    "Volume": "Compared when both records provide a volume.",
+    "Issue": "Compared when both records provide an issue.",
+    "Pages": "Page ranges and article locators are accepted.",
+    "Identifier": "Checked using the cited database identifier.",
+}
+NO_METHOD, NOT_CHECKED = "No comparison available", "Not checked"
+
+
 def part_by_part(results: DataFrame) -> DataFrame:
     """One row per reference and field: ref_id, part_no, Part, Submitted reference, Trusted record, Status, What this means.
 
@@ -98,26 +116,26 @@ def part_by_part(results: DataFrame) -> DataFrame:
     doi, record_doi = first("Extracted DOI"), first("Metadata DOI", "Crossref DOI")
     doi_status = F.when(c("doi_explicit_ok"), "Matched").when(c("doi_derived_ok"), "Metadata only").when(doi.isNotNull(), "Not verified").otherwise("Not found")
     doi_meaning = (
-        F.when(c("doi_explicit_ok"), "The DOI supplied in the reference resolves.").when(c("doi_derived_ok"), "The DOI was found by the lookup; it did not add points to the score.")
-        .when(doi.isNotNull(), "The supplied DOI could not be confirmed; this alone does not establish fabrication.").otherwise("No DOI was supplied or recovered.")
+        F.when(c("doi_explicit_ok"), DOI_MEANINGS["resolves"]).when(c("doi_derived_ok"), DOI_MEANINGS["found"])
+        .when(doi.isNotNull(), DOI_MEANINGS["unconfirmed"]).otherwise(DOI_MEANINGS["none"])
     )
     number = lambda n: F.coalesce(c(n), F.lit(0)).cast("string")
-    authors_meaning = F.concat(number("Author match count"), F.lit(" of "), number("Submitted author count"), F.lit(" named authors matched. Method: "), F.coalesce(first("Author match method"), F.lit("No comparison available")), F.lit("."))
+    authors_meaning = F.concat(number("Author match count"), F.lit(" of "), number("Submitted author count"), F.lit(" named authors matched. Method: "), F.coalesce(first("Author match method"), F.lit(NO_METHOD)), F.lit("."))
     confidence = F.coalesce(F.format_string("%.3f", "title_match_confidence"), F.lit("—"))
-    title_meaning = F.concat(F.lit("Method: "), F.coalesce("title_match_method", F.lit("Not checked")), F.lit(". Confidence: "), confidence, F.lit("."))
-    both = "Compared when both records provide {}.".format
+    title_meaning = F.concat(F.lit("Method: "), F.coalesce("title_match_method", F.lit(NOT_CHECKED)), F.lit(". Confidence: "), confidence, F.lit("."))
+    meaning_of = lambda name: F.lit(PART_MEANINGS[name])
     parts = [
         ("DOI", doi, record_doi, doi_status, doi_meaning),
         ("Authors", c("Extracted Authors"), c("Metadata Authors"), c("author_ok"), authors_meaning),
-        ("Year", c("Extracted Year"), first("Metadata Year", "Crossref Year", "PubMed Year"), c("year_ok"), F.lit("Letter suffixes such as 2025a use the four-digit year.")),
+        ("Year", c("Extracted Year"), first("Metadata Year", "Crossref Year", "PubMed Year"), c("year_ok"), meaning_of("Year")),
         ("Title", c("Extracted Title"), c("Metadata Title"), c("title_ok"), title_meaning),
-        ("Journal", c("Extracted Journal"), first("Metadata Journal", "Crossref Journal", "PubMed Journal"), c("journal_ok"), F.lit("Common abbreviations and punctuation are normalized.")),
-        ("Volume", c("Extracted Volume"), c("Metadata Volume"), c("vol_ok"), F.lit(both("a volume"))),
-        ("Issue", c("Extracted Issue"), c("Metadata Issue"), c("issue_ok"), F.lit(both("an issue"))),
-        ("Pages", c("Extracted Pages"), c("Metadata Pages"), c("pages_ok"), F.lit("Page ranges and article locators are accepted.")),
+        ("Journal", c("Extracted Journal"), first("Metadata Journal", "Crossref Journal", "PubMed Journal"), c("journal_ok"), meaning_of("Journal")),
+        ("Volume", c("Extracted Volume"), c("Metadata Volume"), c("vol_ok"), meaning_of("Volume")),
+        ("Issue", c("Extracted Issue"), c("Metadata Issue"), c("issue_ok"), meaning_of("Issue")),
+        ("Pages", c("Extracted Pages"), c("Metadata Pages"), c("pages_ok"), meaning_of("Pages")),
     ]
     cited = first("arXiv ID", "ADS ID")
-    identifier = F.when(cited.isNotNull(), _part(0, "Identifier", cited, c("Metadata Record URL"), F.lit("Not verified"), F.lit("Checked using the cited database identifier."), shown))
+    identifier = F.when(cited.isNotNull(), _part(0, "Identifier", cited, c("Metadata Record URL"), F.lit("Not verified"), meaning_of("Identifier"), shown))
     rows = [identifier]
     for k, (name, submitted, metadata, status, meaning) in enumerate(parts, 1):
         status = status if name == "DOI" else _part_status(status, submitted, metadata)
