@@ -652,11 +652,21 @@ LABEL = f"""CASE WHEN mode IN (2, 9) THEN '{classify.MAJOR}' WHEN mode = 1 OR (m
   WHEN mode = 8 THEN '{route.MANUAL_REVIEW}' WHEN mode = 11 THEN '{route.WEB}' ELSE '{classify.SUFFICIENT}' END"""
 
 
-def _verdicts(spark, sf_dir):
+def _verdicts(spark, sf_dir, lookup_status=None):
     """Citations with a DOI, from text to label."""
     own = parsed(spark, sf_dir).filter("route = 'doi'")
     found = with_doi_flags(lookup.lookup_doi(own, fx.works(spark, sf_dir)).withColumn("match_reason", F.lit(None).cast("string")), fx.registry(spark, sf_dir))
-    return classified(compare.with_evidence(compare.compared(found)))
+    return classified(compare.with_evidence(compare.compared(found)), lookup_status)
+
+
+@registered(
+    f"""SELECT ref_id, {LABEL} AS label, CASE WHEN mode = 10 THEN CASE WHEN ref_id % 24 < 12 THEN 'lookup unavailable: HTTP 503' ELSE '{classify.NO_RECORD}' END END AS issue
+  FROM citations WHERE t_doi IS NOT NULL"""
+)
+def g2_lookup_status(spark, sf_dir):
+    """Lookups of half the citations failed: that is an issue of the lookup where no record is known, and never a mismatch."""
+    status = fx.citations(spark, sf_dir).select("ref_id", F.when(F.col("ref_id") % 24 < 12, 503).otherwise(404).alias("http_status"))
+    return _verdicts(spark, sf_dir, status).select("ref_id", "label", F.col("lookup_issue").alias("issue"))
 
 
 @registered(f"SELECT ref_id, {LABEL} AS label FROM citations WHERE t_doi IS NOT NULL")
