@@ -33,6 +33,8 @@ LEAST_WORDS = 5
 LEAST_BYTES = 24
 #: So many words of an item in a row, of which the share agrees, are a leak whatever the rest of the item.
 LEAST_OVERLAP = 20
+#: Hits of a document are sent in stretches of so many times the longest piece, so that long documents stay linear.
+STRETCH = 4
 #: Numbers of the masks of short items, by their words: anywhere in a document, or as all of it.
 IN_A_ROW, ALONE = 100, 200
 #: Bits of the filter that documents' hashes must pass before they are sent to the join; at most 16 MB.
@@ -155,7 +157,11 @@ _HITS = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
 
 
 def _regions(shared, bits: int, reach: int, short: list[int]):
-    """For each document the stretches of words around hits, with the hits; ``short`` has the lengths of short items."""
+    """For each document the stretches of words around hits, with the hits; ``short`` has the lengths of short items.
+
+    A stretch reaches as far past its first and last hit as a piece is long, so all of an alignment is seen from any
+    of its hits. Hits on both sides of a cut give the same alignment twice, with the same result.
+    """
     masks = [*enumerate(MASKS), *((IN_A_ROW + n, "1" * n) for n in short), *((ALONE + n, "1" * n) for n in short)]
 
     def scan(batches):
@@ -177,7 +183,7 @@ def _regions(shared, bits: int, reach: int, short: list[int]):
             places, hashes = places[order], hashes[order]
             owner = np.searchsorted(first, places, "right") - 1
             new = np.ones(len(places), bool)
-            new[1:] = (np.diff(places) > reach) | (np.diff(owner) > 0)
+            new[1:] = (np.diff(places) > reach) | (np.diff(owner) > 0) | (np.diff((places - first[owner]) // (STRETCH * reach)) > 0)
             cuts = np.append(np.flatnonzero(new), len(places))
             rows = {"doc_id": [], "text_key": [], "base": [], "words": [], "hits": []}
             ids, texts, keys = part.column("doc_id"), part.column("text"), {}
@@ -219,8 +225,13 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, share: float) -> DataFram
     shared.destroy()
     hits = regions.select("region_id", F.explode("hits").alias("hit")).select("region_id", F.col("hit.h").alias("h"), F.col("hit.at").alias("at"))
     aligned = hits.join(seeds, "h").select("region_id", "piece_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    held = regions.select("region_id", "text_key", "doc_id", "base", F.col("words").alias("doc_words"))
-    aligned = aligned.join(held, "region_id").join(pieces.drop("seeds"), "piece_id").withColumn("at", F.col("shift") - F.col("base"))
+    held = regions.select("region_id", "text_key", "doc_id", "base", F.col("words").alias("region_words"))
+    # An alignment takes along the words beside its piece, not all of the stretch.
+    place = F.col("shift") - F.col("base")
+    aligned = aligned.join(held, "region_id").select(
+        "piece_id", "text_key", "doc_id", F.least(place, F.lit(0)).alias("at"), F.slice("region_words", F.greatest(place, F.lit(0)).cast("int") + 1, F.lit(sizes.reach)).alias("doc_words")
+    )
+    aligned = aligned.join(pieces.drop("seeds"), "piece_id")
     compared = aligned.select(*_OWN, "piece", "start", "at", "words", "doc_words").mapInArrow(_compared(share), _COMPARED)
     best = compared.groupBy(*_OWN, "piece").agg(F.max("matched").alias("matched"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), F.max("overlap").alias("overlap"))
     each = F.greatest(F.col("matched"), F.bit_count("low") + F.bit_count("high"))

@@ -63,3 +63,20 @@ def test_clean_goes_by_text(spark):
     left = decontaminate.clean(df, bench)
     assert sorted(r.text for r in left.collect()) == ["also harmless", "harmless words"] and left.columns == df.columns
     assert decontaminate.clean(df.limit(0), bench).count() == 0 and decontaminate.clean(df, bench.limit(0)).count() == len(rows)
+
+
+def test_long_document_full_of_hits(spark):
+    """Parts of items stand so close that a document's hits are one stretch, cut many times; whole items are found at every place."""
+    rng = random.Random(8)
+    items = [words(rng, 30) for _ in range(40)] + [words(rng, 400)]
+    # Six words of an item are a hit but no leak.
+    text = []
+    for _ in range(2000):
+        at = rng.randrange(390)
+        text += [*words(rng, 14), *items[40][at : at + 6]]
+    for k, item in enumerate(items[:40]):
+        text[977 * k + 3 : 977 * k + 3] = item
+    df = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.item_id: r.n_matched for r in decontaminate.contaminated(df, bench).collect() if r.item_id < 40}
+    assert got == dict.fromkeys(range(40), 30)
