@@ -9,6 +9,7 @@ bound, for the following texts of the task.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 
@@ -22,6 +23,8 @@ from .text import SLICE_BYTES, slices
 
 #: Pre-tokens whose counts a task keeps; then it starts again.
 KEPT = 400_000
+#: A pre-token of more letters is counted by itself, and only the pairs beside merged places are ranked again.
+LONG = 2048
 _NONE = np.iinfo(np.int64).max
 
 
@@ -48,6 +51,13 @@ def checked(spec: dict) -> str:
         all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec.get("added_tokens", [])),
         not spec.get("truncation") and not spec.get("padding"),
     ]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges") or []]
+    used: dict[str, int] = {}
+    for rank, pair in enumerate(merges):
+        for symbol in pair:
+            used.setdefault(symbol, rank)
+    # Only then may all places of a rank merge at once: what they make forms no pair that should have come before.
+    fits.append(all(used.get(a + b, rank) >= rank for rank, (a, b) in enumerate(merges)))
     if not all(fits) or parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
         raise ValueError("this kind of vocabulary file is not supported")
     return parts[0]["pattern"]["Regex"]
@@ -116,12 +126,10 @@ def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
             break
         best = np.repeat(lowest, sizes)[:-1]
         at = (rank == best) & (rank < _NONE)
-        # In a run such as "x x x" only every other place can merge, counted from the left.
         places = np.flatnonzero(at)
         fresh = np.ones(len(places), bool)
         fresh[1:] = np.diff(places) > 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - run) % 2 == 0]
+        places = places[_every_other(fresh)]
         ids[places] = merges.made[rank[places]]
         stay[places + 1] = False
         counts -= np.bincount(owner[places], minlength=len(counts))
@@ -129,6 +137,66 @@ def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
     return counts
 
 
+def _every_other(fresh: np.ndarray) -> np.ndarray:
+    """In a run such as "x x x" only every other place can merge, counted from the left; ``fresh`` marks where runs begin."""
+    order = np.arange(len(fresh))
+    return (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
+
+
+def count_long(piece: bytes, merges: Merges) -> int:
+    """As ``count_symbols`` for one long pre-token.
+
+    Places wait by the rank of the pair that begins there, the lowest rank is applied at all of its places, and
+    only the pairs beside these are ranked again: the work grows with the merges, not with rounds times length.
+    """
+    data = np.frombuffer(piece, np.uint8)
+    n = len(data)
+    ids = merges.inner[data]
+    ids[-1] = merges.final[data[-1]]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # The rank of the pair that begins at each symbol; a merged symbol, like the last, begins none.
+    rank = np.append(merges.rank(ids[:-1], ids[1:]), _NONE)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[rank[places] < _NONE]
+        places = places[np.argsort(rank[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[places])) + 1
+        for group in np.split(places, cuts) if len(places) else []:
+            own = int(rank[group[0]])
+            if own not in waiting:
+                waiting[own] = []
+                heapq.heappush(ranks, own)
+            waiting[own].append(group)
+
+    wait(np.arange(n))
+    left = n
+    while ranks:
+        lowest = heapq.heappop(ranks)
+        places = np.unique(np.concatenate(waiting.pop(lowest)))
+        places = places[rank[places] == lowest]
+        if not len(places):
+            continue
+        fresh = np.ones(len(places), bool)
+        fresh[1:] = after[places[:-1]] != places[1:]
+        places = places[_every_other(fresh)]
+        gone = after[places]
+        ids[places] = merges.made[lowest]
+        rank[gone] = _NONE
+        after[places] = after[gone]
+        inner = places[after[places] < n]
+        before[after[inner]] = inner
+        rank[places] = _NONE
+        rank[inner] = merges.rank(ids[inner], ids[after[inner]])
+        outer = before[places]
+        outer = outer[outer >= 0]
+        rank[outer] = merges.rank(ids[outer], ids[after[outer]])
+        left -= len(places)
+        wait(np.union1d(inner, outer))
+    return left
+
+
 class Counter:
     """Counts the tokens of texts within one task."""
 
@@ -156,6 +224,9 @@ class Counter:
         if len(self.known) > KEPT:
             self.known = {}
         new = list(set().union(*(p for p, _ in cut)).difference(self.known))
+        long = [p for p in new if len(p) > LONG]
+        self.known.update((p, count_long(p.encode(), self.merges)) for p in long)
+        new = [p for p in new if len(p) <= LONG]
         part, size = [], 0
         for piece in [*new, None]:
             if piece is None or size > SLICE_BYTES // 4:
