@@ -732,6 +732,24 @@ def g5_records_of_routes(spark, sf_dir):
     return validated(spark, sf_dir).select("ref_id", *[F.col(f"`{n}`").alias(m) for n, m in names.items()])
 
 
+#: Every citation again by its arXiv identifier (odd ref_id) or its ADS bibcode (even); a third has another year, a third another title and first author.
+PHYSICS_REFS = """SELECT ref_id, submission_id, concat(CASE WHEN ref_id % 3 = 2 THEN 'Quinn' ELSE s1 END, ', A., ', s2, ', B. and ', s3, ', C. (', CAST(CASE WHEN ref_id % 3 = 1 THEN 1971 ELSE year END AS STRING), ') ‘',
+  CASE WHEN ref_id % 3 = 2 THEN 'Another topic entirely about slow rivers' ELSE title END, '’, ', CASE WHEN ref_id % 2 = 1 THEN concat('arXiv, arXiv:', arxiv_id, '.')
+  ELSE concat(journal, ', ', volume, '(', issue, '), pp. ', page_start, '-', page_end, '. https://ui.adsabs.harvard.edu/abs/', bibcode, '/abstract') END) AS ref FROM citations"""
+
+
+@registered(
+    f"""SELECT ref_id, CASE WHEN ref_id % 2 = 1 THEN 'DataCite (arXiv)' WHEN work_id % 20 = 3 THEN 'NASA ADS' ELSE '' END AS source,
+  CASE WHEN ref_id % 2 = 0 AND work_id % 20 <> 3 THEN '{classify.UNVERIFIED}' ELSE CASE ref_id % 3 WHEN 0 THEN '{classify.SUFFICIENT}' WHEN 1 THEN '{classify.DETAILS}' ELSE '{classify.MAJOR}' END END AS label,
+  CASE WHEN ref_id % 2 = 0 AND work_id % 20 <> 3 THEN '{classify.NO_RECORD}' ELSE '' END AS issue FROM citations"""
+)
+def g5_labels_of_physics_routes(spark, sf_dir):
+    """Citations by preprint and bibcode, where arXiv itself has no record and DataCite has, and ADS has some articles."""
+    works = fx.works(spark, sf_dir).withColumn("source", F.when(F.col("source") == "arXiv", "DataCite (arXiv)").otherwise(F.col("source")))
+    out = validate_citations(fx._run(spark, sf_dir, PHYSICS_REFS), works, fx.registry(spark, sf_dir))
+    return out.select("ref_id", F.col("Metadata Source").alias("source"), F.col("Validation Result").alias("label"), F.col("Lookup issue").alias("issue"))
+
+
 @registered("SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN 2 WHEN 2 THEN -1 ELSE 0 END AS doi_score, CASE WHEN ref_id % 4 = 0 THEN '' ELSE 'Manual check required' END AS status FROM citations")
 def g6_g7_doi_score(spark, sf_dir):
     k = F.col("ref_id") % 4

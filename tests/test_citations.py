@@ -162,7 +162,7 @@ def test_signature_follows_content(spark):
     assert sign(rows) == sign(rows[::-1]) and sign(rows)[1] != sign([(1, 1, "a"), (1, 2, "b")])[1]
 
 
-FAST = ("s2_crossref_works", "s4_arxiv_works", "l4_clean_reference", "x4_extract_title", "x6_extract_journal", "x8_clean_doi", "c8_c9_c10_details", "c10_pages_match", "c13_conflict_list", "g2_classify_evidence", "a3_domain_label_matrix", "k3_run_records", "g5_validate_citations")
+FAST = ("s2_crossref_works", "s4_arxiv_works", "l4_clean_reference", "x4_extract_title", "x6_extract_journal", "x8_clean_doi", "c8_c9_c10_details", "c10_pages_match", "c13_conflict_list", "g2_classify_evidence", "a3_domain_label_matrix", "k3_run_records", "g5_validate_citations", "g5_labels_of_physics_routes")
 
 
 @pytest.mark.parametrize("name", FAST)
