@@ -36,8 +36,9 @@ def registered(oracle: str | None = None, **tables: str) -> Callable[[Query], Qu
 
 
 def column_query(name: str, columns: Callable[[], dict[str, Column]], oracle: str) -> None:
-    """A query that adds columns to the citations' ref_id."""
-    QUERIES[name] = lambda spark, sf_dir: fx.citations(spark, sf_dir).select("ref_id", *[c.alias(n) for n, c in columns().items()])
+    """A query that adds columns to the citations' ref_id. They may read ``ref_clean``, which is computed once below them."""
+    cited = lambda spark, sf_dir: spread(fx.citations(spark, sf_dir), "ref_id").withColumn("ref_clean", text.clean_reference(F.col("ref")))
+    QUERIES[name] = lambda spark, sf_dir: cited(spark, sf_dir).select("ref_id", *[c.alias(n) for n, c in columns().items()])
     ORACLES[name] = fx.sql(oracle)
 
 
@@ -122,15 +123,15 @@ body_query(
 column_query("x4_extract_title", lambda: {"title": text.extract_title(F.col("ref"))}, f"SELECT ref_id, {TITLE} AS title FROM citations")
 column_query(
     "x5_publication_tail",
-    lambda: {"tail": text.publication_tail(text.clean_reference(F.col("ref")))},
+    lambda: {"tail": text.publication_tail(F.col("ref_clean"))},
     f"""SELECT ref_id, CASE WHEN mode = 7 THEN concat('arXiv, arXiv:', arxiv_id) WHEN {PUBLISHED} THEN concat(t_journal, ', ', t_volume, '(', issue, '), pp. ', t_start, '-', t_end,
   CASE WHEN mode = 5 THEN concat('. PMID: ', pmid) WHEN mode = 4 THEN '' ELSE '.' END) END AS tail FROM citations""",
 )
 column_query(
-    "x6_extract_journal", lambda: {"journal": text.extract_journal(text.clean_reference(F.col("ref")))},
+    "x6_extract_journal", lambda: {"journal": text.extract_journal(F.col("ref_clean"))},
     f"SELECT ref_id, CASE WHEN mode = 7 THEN concat('arxiv, arxiv:', arxiv_id) WHEN {PUBLISHED} THEN {JOURNAL} END AS journal FROM citations",
 )
-vip = lambda: text.vol_issue_pages(text.clean_reference(F.col("ref")))
+vip = lambda: text.vol_issue_pages(F.col("ref_clean"))
 column_query(
     "x7_vol_issue_pages", lambda: {n: vip()[n] for n in ("volume", "issue", "pages", "page_start", "page_end")},
     f"SELECT ref_id, {only('t_volume')} AS volume, {only('issue')} AS issue, {only('concat(t_start, chr(45), t_end)')} AS pages, {only('t_start')} AS page_start, {only('t_end')} AS page_end FROM citations",
@@ -181,7 +182,7 @@ def x13_extract_domains(spark, sf_dir):
 
 column_query("x14_ai_tracking_flag", lambda: {"flag": helpers.ai_tracking_flag(F.col("ref"))}, "SELECT ref_id, mode = 11 AS flag FROM citations")
 column_query(
-    "x15_x16_shape", lambda: {"shape": text.bibliographic_shape(text.clean_reference(F.col("ref"))), "scholarly": text.scholarly_like(text.clean_reference(F.col("ref")))},
+    "x15_x16_shape", lambda: {"shape": text.bibliographic_shape(F.col("ref_clean")), "scholarly": text.scholarly_like(F.col("ref_clean"))},
     f"SELECT ref_id, {PUBLISHED} AS shape, mode NOT IN (8, 11) AS scholarly FROM citations",
 )
 body_query(
