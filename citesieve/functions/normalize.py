@@ -81,6 +81,11 @@ def metadata_author_issue(authors: Column) -> Column:
     return F.when(misplaced, F.lit("unusable author metadata: professional description in an author field"))
 
 
+def title_key(col: Column) -> Column:
+    """A title's letters and digits, lowered, or null: equal for titles that differ in case, space and punctuation alone."""
+    return F.nullif(F.trim(F.lower(F.regexp_replace(col, r"[^\p{L}\p{N}]+", " "))), F.lit(""))
+
+
 def title_distinctive(col: Column) -> Column:
     """A normalised title long enough to be evidence where it is contained in another text."""
     return F.coalesce((F.length(col) >= 24) & (F.size(F.split(squeezed(col), " ")) >= 2), F.lit(False))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import metadata_author_issue, metadata_surnames, review_from_pub_types, review_from_title
+from ..functions.normalize import metadata_author_issue, metadata_surnames, review_from_pub_types, review_from_title, title_key
 from ..functions.text import arxiv_stem, trimmed_of
+from .staging import dealt
 
 #: A record as lookups return it, in one nullable struct. ``search_year`` is what a candidate search compares, if it differs from ``year``.
 RECORD = ("source", "record_id", "doi", "dois", "title", "year", "years", "pubdate", "journal", "volume", "issue", "pages", "type", "url", "search_year")
@@ -28,7 +29,7 @@ def one_record(works: DataFrame, key: Column) -> DataFrame:
 
 
 def _joined(citations: DataFrame, key: Column, records: DataFrame) -> DataFrame:
-    return citations.drop("record").withColumn("key", key).join(records, "key", "left").drop("key")
+    return citations.drop("record").withColumn("key", key).join(dealt(records), "key", "left").drop("key")
 
 
 def lookup_doi(citations: DataFrame, works: DataFrame) -> DataFrame:
@@ -47,20 +48,54 @@ def lookup_pmcid(citations: DataFrame, works: DataFrame) -> DataFrame:
     return _joined(citations.drop("bridge_pmid").filter("pmcid IS NOT NULL"), F.upper("pmcid"), records)
 
 
+def first_records(held: DataFrame) -> DataFrame:
+    """(key, n, record, pmid, shared) of ``held`` (key, version, t, record_id, record, pmid): of each key the record with the smallest record_id.
+
+    ``shared``: works of different titles (``t``) have the very identifier (``version``) of that record, so it does not
+    tell which of them is meant.
+    """
+    first = lambda c: F.min_by(c, F.col("record_id")).alias(c)
+    shared = F.coalesce(F.min("t") != F.max("t"), F.lit(False)).alias("shared")
+    versions = held.repartition("key").groupBy("key", "version").agg(F.count("*").alias("n"), first("record"), first("pmid"), F.min("record_id").alias("record_id"), shared)
+    return versions.groupBy("key").agg(F.sum("n").alias("n"), first("record"), first("pmid"), first("shared"))
+
+
+def titled_key(key: Column, title: Column) -> Column:
+    """An identifier with the title of its work, as one key; null without either."""
+    return F.concat(key, F.lit(" "), title_key(title))
+
+
+def _by_preprint(citations: DataFrame, works: DataFrame, asked: Column, held: Column, name: str) -> DataFrame:
+    """Citations with ``<name>_titled``, the record of the key and the citation's title, and ``<name>_first``, struct(record, shared) of the key alone."""
+    keys = lambda key, title: F.when(key != "", F.array(key, titled_key(key, title)))
+    rows = works.select(F.explode(keys(held, F.col("title"))).alias("key"), F.lower("arxiv_id").alias("version"), title_key(F.col("title")).alias("t"), "record_id", as_record().alias("record"), "pmid")
+    records = first_records(rows.filter("key IS NOT NULL")).select("key", F.struct("record", "shared").alias("found"))
+    title = F.col("title") if "title" in citations.columns else F.lit(None).cast("string")
+    for kind, key in (("titled", titled_key(asked, title)), ("first", asked)):
+        citations = citations.withColumn("key", key).join(dealt(records.withColumnRenamed("found", f"{name}_{kind}")), "key", "left").drop("key")
+    return citations.withColumn(f"{name}_titled", F.col(f"{name}_titled.record"))
+
+
 def lookup_arxiv(citations: DataFrame, works: DataFrame) -> DataFrame:
-    """Citations with an arxiv_id: the record of that very version, or without a version asked for, of any; the first by id."""
+    """Citations with an arxiv_id: the record of that very version, or without a version asked for, of any; the first by id.
+
+    Where works of different titles share an identifier, the title decides, and if it is none of theirs there is no record.
+    """
     own = works.filter("source = 'arXiv' AND arxiv_id IS NOT NULL")
-    exact, stem = one_record(own, F.lower("arxiv_id")), one_record(own, arxiv_stem(F.lower("arxiv_id")))
     asked = citations.drop("record").filter("arxiv_id IS NOT NULL")
     plain = F.when(~F.col("arxiv_id").rlike(r"v\d+$"), F.col("arxiv_id"))
-    both = asked.join(exact.select(F.col("key").alias("arxiv_id"), F.col("record").alias("own_version")), "arxiv_id", "left")
-    return both.withColumn("stem", plain).join(stem.withColumnRenamed("key", "stem"), "stem", "left").withColumn("record", F.coalesce("own_version", "record")).drop("stem", "own_version")
+    both = _by_preprint(asked, own, F.col("arxiv_id"), F.lower("arxiv_id"), "exact")
+    both = _by_preprint(both, own, plain, arxiv_stem(F.lower("arxiv_id")), "stem")
+    sole = lambda name: F.when(~F.col(f"{name}.shared"), F.col(f"{name}.record"))
+    record = F.coalesce("exact_titled", sole("exact_first"), "stem_titled", sole("stem_first"))
+    return both.withColumn("record", record).drop("exact_titled", "exact_first", "stem_titled", "stem_first")
 
 
 def lookup_datacite(unmatched: DataFrame, works: DataFrame) -> DataFrame:
-    """Of citations that arXiv has no record of, those without a version, with DataCite's record."""
+    """Of citations that arXiv has no record of, those without a version, with DataCite's record: the one of their title, else the first by id."""
     asked = unmatched.filter("arxiv_id IS NOT NULL AND record IS NULL").filter(~F.col("arxiv_id").rlike(r"v\d+$"))
-    return _joined(asked, F.col("arxiv_id"), one_record(works.filter("source = 'DataCite (arXiv)'"), F.lower("arxiv_id")))
+    both = _by_preprint(asked.drop("record"), works.filter("source = 'DataCite (arXiv)'"), F.col("arxiv_id"), F.lower("arxiv_id"), "own")
+    return both.withColumn("record", F.coalesce("own_titled", "own_first.record")).drop("own_titled", "own_first")
 
 
 def lookup_ads(citations: DataFrame, works: DataFrame, key: Column | None = None) -> DataFrame:
@@ -74,7 +109,7 @@ def lookup_ads(citations: DataFrame, works: DataFrame, key: Column | None = None
 def resolve_doi(citations: DataFrame, registry: DataFrame) -> DataFrame:
     """``resolves``: true, false, or null where the registry does not know. Rows without a doi stay, with null."""
     known = registry.filter("doi IS NOT NULL").groupBy(doi_key(F.col("doi")).alias("key")).agg(F.max("resolves").alias("resolves"))
-    return citations.drop("resolves").withColumn("key", doi_key(F.coalesce("doi", "derived_doi") if "derived_doi" in citations.columns else F.col("doi"))).join(known, "key", "left").drop("key")
+    return citations.drop("resolves").withColumn("key", doi_key(F.coalesce("doi", "derived_doi") if "derived_doi" in citations.columns else F.col("doi"))).join(dealt(known), "key", "left").drop("key")
 
 
 def doi_flags() -> dict[str, Column]:
@@ -98,8 +133,8 @@ def review_lookup(df: DataFrame, works: DataFrame, pub_types: DataFrame) -> Data
     by_doi = works.filter("doi IS NOT NULL AND pmid IS NOT NULL").groupBy(doi_key(F.col("doi")).alias("key")).agg(F.min("pmid").alias("doi_pmid"))
     if "bridge_pmid" not in df.columns:
         df = df.withColumn("bridge_pmid", F.lit(None).cast("string"))
-    df = df.withColumn("key", doi_key(F.col("doi"))).join(by_doi, "key", "left").drop("key")
-    df = df.withColumn("asked", F.expr("CASE route WHEN 'pmid' THEN pmid WHEN 'pmcid' THEN bridge_pmid WHEN 'doi' THEN doi_pmid END")).join(types, "asked", "left")
+    df = df.withColumn("key", doi_key(F.col("doi"))).join(dealt(by_doi), "key", "left").drop("key")
+    df = df.withColumn("asked", F.expr("CASE route WHEN 'pmid' THEN pmid WHEN 'pmcid' THEN bridge_pmid WHEN 'doi' THEN doi_pmid END")).join(dealt(types), "asked", "left")
     by_title = review_from_title(F.col("record.title")) | review_from_title(F.col("title"))
     found = review_from_pub_types(F.col("pub_types"))
     known = F.col("pub_types").isNotNull()

@@ -28,6 +28,14 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the catalogue or the citations: never broadcast, so never gathered by the driver.
+
+    Spark guesses sizes from compressed files, and records built from a small file are a hundred times larger.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by their keys to as many partitions as the session shuffles into, and to two for each core at least.
 

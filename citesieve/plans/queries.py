@@ -414,14 +414,15 @@ def j4_lookup_pmcid(spark, sf_dir):
 def _versions(spark, sf_dir):
     """arXiv has every third article not, every third with version 2, every third without."""
     works = fx.works(spark, sf_dir)
-    number = F.substring("arxiv_id", 6, 5).cast("int") % 3
+    # The article's number ends its title; identifiers of articles over 99999 are cut and shared.
+    number = F.translate(F.substring_index("title", " ", -1), "abcdefghij", "0123456789").cast("long") % 3
     own = works.filter("source = 'arXiv'").filter(number > 0).withColumn("arxiv_id", F.when(number == 1, F.concat("arxiv_id", F.lit("v2"))).otherwise(F.col("arxiv_id"))).withColumn("record_id", F.col("arxiv_id"))
     datacite = works.filter("source = 'arXiv'").withColumn("source", F.lit("DataCite (arXiv)"))
     return own.unionByName(datacite)
 
 
 def _asked_versions(spark, sf_dir):
-    cited = parsed(spark, sf_dir).filter("arxiv_id IS NOT NULL").select("ref_id", "arxiv_id")
+    cited = parsed(spark, sf_dir).filter("arxiv_id IS NOT NULL").select("ref_id", "arxiv_id", "title")
     return cited.withColumn("arxiv_id", F.when(F.col("ref_id") % 24 == 7, F.concat("arxiv_id", F.lit("v2"))).otherwise(F.col("arxiv_id")))
 
 
