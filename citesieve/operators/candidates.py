@@ -24,7 +24,7 @@ from ..functions.normalize import journal_key, metadata_surnames, normalize_jour
 from ..functions.text import squeezed
 from .compare import same_journal
 from .lookup import as_record
-from .staging import spread, staged
+from .staging import dealt, spread, staged
 
 #: Weights of keys of more than this share of the works (and this many) are broadcast, so that no join is dealt by them.
 COMMON_SHARE, LEAST_COMMON = 0.005, 20.0
@@ -32,8 +32,8 @@ COMMON_SHARE, LEAST_COMMON = 0.005, 20.0
 UNFOUND = "record IS NULL AND title IS NOT NULL AND pmid IS NULL AND pmcid IS NULL AND route NOT IN ('arxiv', 'ads')"
 #: In the first round keys are visited while the works of all keys so far are at most so many.
 FIRST_POSTINGS = 1000
-#: Posting lists are cut into spans of so many years; a citation reaches two at most.
-SPAN = 5
+#: Posting lists are cut into spans of so many years: of one year each, no work outside a citation's years is met.
+SPAN = 1
 
 
 def author_key(name: Column) -> Column:
@@ -86,13 +86,13 @@ def _weighed(asked: DataFrame, weights: DataFrame) -> DataFrame:
     the keys before it have (``behind``) and what it and all after it weigh together (``ahead``).
     """
     single = asked.select("ref_id", F.explode("keys").alias("key"))
-    known = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(weights.filter("NOT common"), "key"))
+    known = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(dealt(weights.filter("NOT common")), "key"))
     own = known.groupBy("ref_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("rank"), "key", "df"))).alias("own"))
     so_far = lambda part, value: F.aggregate(part, F.lit(0.0), lambda n, x: n + value(x))
     step = lambda x, i: F.struct(
         x["key"].alias("key"), i.alias("at"), so_far(F.slice("own", 1, i + 1), lambda y: y["df"]).alias("behind"), so_far(F.slice("own", i + 1, F.size("own")), lambda y: -y["rank"]).alias("ahead")
     )
-    named = asked.drop("keys").join(own, "ref_id")
+    named = asked.drop("keys").join(dealt(own), "ref_id")
     codes = F.transform("own", lambda x: x["key"])
     return named.select("ref_id", "year", "journal_key", codes.alias("codes"), F.map_from_arrays(codes, F.transform("own", lambda x: -x["rank"])).alias("gains"), F.transform("own", step).alias("steps"))
 
@@ -104,8 +104,8 @@ def _met(visits: DataFrame, keys: DataFrame, bonus: float) -> DataFrame:
     asked = visits.withColumns({"low": F.col("year") - tolerance, "high": F.col("year") + tolerance})
     asked = asked.withColumn("span", F.explode(F.sequence(span(F.col("low")), span(F.col("high"))))).drop("year")
     held = keys.select("source", "record_id", F.col("year").alias("work_year"), F.col("journal_key").alias("work_journal"), F.col("keys").alias("work_keys"), F.explode("keys").alias("key"))
-    held = held.withColumn("span", span(F.col("work_year"))).join(visits.select("key").distinct(), "key", "left_semi")
-    met = asked.join(held, ["key", "span"]).filter("work_year BETWEEN low AND high")
+    held = held.withColumn("span", span(F.col("work_year"))).join(dealt(visits.select("key").distinct()), "key", "left_semi")
+    met = asked.join(dealt(held), ["key", "span"]).filter("work_year BETWEEN low AND high")
     met = met.withColumn("shared", F.array_intersect("codes", "work_keys")).filter(F.get("shared", F.lit(0)) == F.col("key"))
     score = F.aggregate("shared", F.lit(0.0), lambda n, k: n + F.col("gains")[k])
     score = score + F.when(F.col("journal_key") == F.col("work_journal"), bonus).otherwise(0.0) if bonus else score
@@ -113,9 +113,15 @@ def _met(visits: DataFrame, keys: DataFrame, bonus: float) -> DataFrame:
 
 
 def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
-    """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, keys); ``bonus`` is for the same journal."""
+    """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, keys); ``bonus`` is for the same journal.
+
+    What many citations ask alike is searched once, by the smallest of their ref_ids (``lead``).
+    """
     keys, weights = index or search_index(works)
-    weighed = staged(_weighed(staged(asked), weights))
+    asked = staged(asked if bonus else asked.withColumn("journal_key", F.lit("")))
+    alike = ["year", "journal_key", "keys"]
+    leads = staged(asked.groupBy(*alike).agg(F.min("ref_id").alias("lead")))
+    weighed = staged(_weighed(leads.withColumnRenamed("lead", "ref_id"), weights))
     rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("rank_score"), "source", "record_id"))
     best = lambda df: df.withColumn("rank", rank).filter(F.col("rank") <= k)
     steps = weighed.withColumn("step", F.explode("steps")).select("ref_id", "year", "journal_key", "codes", "gains", "step.*")
@@ -124,11 +130,13 @@ def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tup
     least = first.filter(F.col("rank") == k).select("ref_id", F.col("rank_score").alias("least"))
     # A sum in another order may differ in its last digits, so keys are visited a little beyond the threshold.
     open_ = F.coalesce(F.col("ahead") + bonus + 1e-5 >= F.col("least"), F.lit(True))
-    later = steps.filter(~early).join(least, "ref_id", "left").filter(open_).drop("at", "behind", "ahead")
+    later = steps.filter(~early).join(dealt(least), "ref_id", "left").filter(open_).drop("at", "behind", "ahead")
     more = _met(later, keys, bonus).filter(F.coalesce(F.col("rank_score") >= F.col("least"), F.lit(True))).drop("least")
     top = best(first.drop("rank").unionByName(more))
+    owners = asked.join(dealt(leads), alike).select("ref_id", "lead")
+    top = owners.join(dealt(top.withColumnRenamed("ref_id", "lead")), "lead")
     records = works.select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
-    return top.join(records, F.expr("source = s AND record_id = r")).select("ref_id", "rank", "rank_score", "record")
+    return top.join(dealt(records), F.expr("source = s AND record_id = r")).select("ref_id", "rank", "rank_score", "record")
 
 
 def _asked(citations: DataFrame, author: Column) -> DataFrame:
@@ -152,7 +160,7 @@ def search_fielded(citations: DataFrame, works: DataFrame, k: int = 5, index: tu
 def scored_candidates(candidates: DataFrame, citations: DataFrame) -> DataFrame:
     """Candidates with title_sim, year_ok, auth_ok, jnl_ok, accepted and candidate_score."""
     fields = citations.select("ref_id", "title", "year", "authors", "uses_et_al", "first_author", "journal")
-    df = candidates.join(fields, "ref_id")
+    df = candidates.join(dealt(fields), "ref_id")
     both = F.col("title").isNotNull() & (F.coalesce("record.title", F.lit("")) != "")
     df = df.withColumns({"own_journal": journal_key(F.col("journal")), "record_journal": journal_key(F.col("record.journal"))})
     df = df.withColumns({"list": helpers.compare_authors(F.col("authors"), F.col("record.surnames"), F.col("uses_et_al")), "sim": helpers.text_ratio(F.col("title"), F.col("record.title")), "jnl": helpers.text_ratio(F.col("record_journal"), F.col("own_journal"))})
@@ -184,12 +192,12 @@ def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
     index = search_index(works)
     first = staged(scored_candidates(search_candidates(citations, works, index=index), citations))
     best = choose_best_candidate(first).select("ref_id", "record", F.concat(F.lit("accepted: "), "reason").alias("match_reason"))
-    rest = citations.join(best.select("ref_id"), "ref_id", "left_anti")
+    rest = citations.join(dealt(best.select("ref_id")), "ref_id", "left_anti")
     second = staged(scored_candidates(search_fielded(rest, works, index=index), rest))
     again = choose_best_candidate(second).select("ref_id", "record", F.concat(F.lit("accepted (fielded): "), "reason").alias("match_reason"))
     seen = lambda df, name: df.select("ref_id").distinct().withColumn(name, F.lit(True))
-    out = citations.drop("record", "match_reason").join(best.unionByName(again), "ref_id", "left")
-    out = out.join(seen(first, "seen_first"), "ref_id", "left").join(seen(second, "seen_second"), "ref_id", "left")
+    out = citations.drop("record", "match_reason").join(dealt(best.unionByName(again)), "ref_id", "left")
+    out = out.join(dealt(seen(first, "seen_first")), "ref_id", "left").join(dealt(seen(second, "seen_second")), "ref_id", "left")
     reason = F.coalesce(
         "match_reason",
         F.when(F.col("seen_second"), "fielded search: no acceptable Crossref match"),
@@ -220,7 +228,7 @@ def title_pairs(citations: DataFrame, works: DataFrame, source: str = "arXiv") -
     size = F.length("plain")
     # A class more on either side, as lowering can change the length of a few letters.
     asked = asked.withColumn("class", F.explode(F.sequence(of_length(size / 1.23) - 1, of_length(size * 1.23) + 1)))
-    met = asked.join(held.withColumn("class", of_length(F.length("other"))), ["key", "second", "class"])
+    met = asked.join(dealt(held.withColumn("class", of_length(F.length("other")))), ["key", "second", "class"])
     return met.filter(F.levenshtein("plain", "other") <= 0.1 * (F.length("plain") + F.length("other")) + 2).select("ref_id", "title", "authors", "uses_et_al", "record_id", "record")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import dealt
 from ..sources.catalogue import WORKS, as_works
 
 _LETTERS = "translate(CAST({} AS STRING), '0123456789', 'abcdefghij')"
@@ -69,7 +70,7 @@ def sql(body: str, **tables: str) -> str:
 
 def _run(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(sql(body, part="{part}", orders="{orders}"), part=read("part"), orders=read("orders"))
+    return spark.sql(sql(body, part="{part}", orders="{orders}"), part=read("part"), orders=dealt(read("orders")))
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:

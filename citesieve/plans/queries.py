@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import helpers, normalize, text
 from ..operators import candidates, classify, compare, lookup, report, route, sinks, split
 from ..operators.parse import parse_citations
-from ..operators.staging import checkpoint_folder, spread, staged
+from ..operators.staging import checkpoint_folder, dealt, spread, staged
 from ..sources import catalogue
 from . import fixtures as fx
 from .validate import classified, validate_citations, with_doi_flags
@@ -526,7 +526,7 @@ def w2_candidate_reason(spark, sf_dir):
     asked = staged(searchable(spark, sf_dir))
     best = candidates.choose_best_candidate(candidates.scored_candidates(candidates.search_candidates(asked, fx.works(spark, sf_dir)), asked))
     full = best.filter(F.col("reason").startswith("title=1.00")).select("ref_id", "reason")
-    return asked.select("ref_id").join(full, "ref_id", "left")
+    return asked.select("ref_id").join(dealt(full), "ref_id", "left")
 
 
 # --- comparison ---------------------------------------------------------------------------------

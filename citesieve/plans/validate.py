@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates, classify, compare, identifiers, lookup, route
 from ..operators.parse import AI_NOTE, parse_citations
-from ..operators.staging import spread, staged
+from ..operators.staging import dealt, spread, staged
 
 VERSION = "1"
 #: Columns of a result, with the expression that gives each from a classified row.
@@ -54,14 +54,14 @@ def looked_up(parsed: DataFrame, works: DataFrame, ads: bool = True, index: Data
     titled = candidates.title_search_unique(parsed.filter("route = 'arxiv' AND arxiv_id IS NULL"), works).select("ref_id", F.col("record").alias("unique"))
     out = needed.drop("record", "bridge_pmid", "match_reason", "had_candidate")
     for part in (found, search, titled):
-        out = out.join(part, "ref_id", "left")
+        out = out.join(dealt(part), "ref_id", "left")
     out = out.withColumn("record", F.coalesce("record", "searched", "unique")).drop("searched", "unique")
     if ads:
         # Read twice below: staged, no lookup is planned and made again.
         out = staged(out.withColumn("record", F.coalesce("record", "by_doi")))
         missed = out.filter(candidates.UNFOUND).filter("doi IS NULL").drop("record")
         found = candidates.title_search_unique(missed, works, "NASA ADS").withColumnRenamed("record", "discovered")
-        out = out.join(found, "ref_id", "left").withColumn("record", F.coalesce("record", "discovered")).drop("discovered")
+        out = out.join(dealt(found), "ref_id", "left").withColumn("record", F.coalesce("record", "discovered")).drop("discovered")
     return out.drop("by_doi")
 
 
@@ -94,7 +94,7 @@ def classified(df: DataFrame, lookup_status: DataFrame | None = None) -> DataFra
     """
     c = F.col
     if lookup_status is not None:
-        df = df.join(lookup_status.select("ref_id", "http_status"), "ref_id", "left")
+        df = df.join(dealt(lookup_status.select("ref_id", "http_status")), "ref_id", "left")
     down = F.when(~c("http_status").isin(200, 404) & c("record").isNull(), F.concat(F.lit("lookup unavailable: HTTP "), c("http_status").cast("string"))) if "http_status" in df.columns else F.lit(None).cast("string")
     df = df.withColumn("lookup_issue", F.coalesce(down, F.when(~compare.filled(c("record.title")), classify.NO_RECORD)))
     supplied = c("cited_doi").isNotNull() | c("pmid").isNotNull() | c("pmcid").isNotNull() | c("arxiv_id").isNotNull() | c("ads_id").isNotNull()
