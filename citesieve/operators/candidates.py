@@ -42,6 +42,22 @@ def author_key(name: Column) -> Column:
     return F.concat(F.lit("a:"), F.when(F.length(name) < 8, name).otherwise(long))
 
 
+def surname_keys(name: Column) -> Column:
+    """Blocking keys of a folded surname: surnames that are the same (``helpers.same_surname``) have one in common.
+
+    Long ones differ in one letter between the first three and the last two at most, so one half of these letters is equal.
+    """
+    size, head = F.length(name), surname_head(name)
+    whole = F.concat(F.lit("1:"), head, F.lit(":"), F.right(name, F.lit(2)), size.cast("string"))
+    other = F.concat(F.lit("2:"), F.left(name, F.lit(3)), F.lit(":"), F.right(name, size - F.length(head)), size.cast("string"))
+    return F.when(size < 8, F.array(name)).otherwise(F.array(whole, other))
+
+
+def surname_head(name: Column) -> Column:
+    """The first three letters of a long surname and the first half of those before its last two."""
+    return F.left(name, F.floor((F.length(name) + 1) / 2).cast("int"))
+
+
 def year_tolerance(year: Column) -> Column:
     return F.when(year <= 1990, 1).otherwise(2)
 
@@ -210,7 +226,7 @@ def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
 def title_pairs(citations: DataFrame, works: DataFrame, source: str = "arXiv") -> DataFrame:
     """(ref_id, title, authors, uses_et_al, record_id, record): the works of a source that a citation has to be compared with.
 
-    Lists that agree agree in their first surnames, and the second name of a citation that has one is among the names of
+    Lists that agree agree in their first surnames, which are equal or long and one letter apart, and the second name of a citation that has one is among the names of
     the record, so works stand under their first surname with each of the others, and with none for citations of one
     name: a common surname is no block of its own. Titles of a ratio of 0.9 differ in length by a fifth at most, so
     both are dealt by classes of length too, and no more than a tenth of both lengths need be put in or left out to
@@ -219,16 +235,21 @@ def title_pairs(citations: DataFrame, works: DataFrame, source: str = "arXiv") -
     works = works.filter(F.col("source") == source)
     plain = lambda c: F.lower(squeezed(c))
     of_length = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.1)))
-    first, alone = author_key(F.get("names", F.lit(0))).alias("key"), F.array(F.lit(""))
+    first, alone = F.get("names", F.lit(0)), F.array(F.lit(""))
     asked = citations.filter("title IS NOT NULL").select("ref_id", "title", "authors", "uses_et_al", helpers.normalize_authors("authors").alias("names"), plain(F.col("title")).alias("plain"))
     held = works.select("record_id", as_record().alias("record")).withColumns({"names": helpers.normalize_authors("record.surnames"), "other": plain(F.coalesce("record.title", F.lit("")))})
-    asked = asked.filter("size(names) > 0").select("ref_id", "title", "authors", "uses_et_al", "plain", first, F.coalesce(author_key(F.get("names", F.lit(1))), F.lit("")).alias("second"))
+    asked = asked.filter("size(names) > 0").select("ref_id", "title", "authors", "uses_et_al", "plain", first.alias("asked_name"), F.coalesce(author_key(F.get("names", F.lit(1))), F.lit("")).alias("second"))
     others = F.array_distinct(F.concat(alone, F.transform(F.slice("names", F.lit(2), F.size("names")), author_key)))
-    held = held.filter("size(names) > 0").select("record_id", "record", "other", first, others.alias("others")).withColumn("second", F.explode("others")).drop("others")
+    held = held.filter("size(names) > 0").select("record_id", "record", "other", first.alias("held_name"), others.alias("others")).withColumn("second", F.explode("others")).drop("others")
     size = F.length("plain")
     # A class more on either side, as lowering can change the length of a few letters.
     asked = asked.withColumn("class", F.explode(F.sequence(of_length(size / 1.23) - 1, of_length(size * 1.23) + 1)))
-    met = asked.join(dealt(held.withColumn("class", of_length(F.length("other")))), ["key", "second", "class"])
+    asked = asked.withColumn("key", F.explode(surname_keys(F.col("asked_name"))))
+    held = held.withColumns({"class": of_length(F.length("other")), "key": F.explode(surname_keys(F.col("held_name")))})
+    met = asked.join(dealt(held), ["key", "second", "class"])
+    # A pair with the first half in common has met by that key already.
+    again = F.col("key").startswith("2:") & (surname_head(F.col("asked_name")) == surname_head(F.col("held_name")))
+    met = met.filter(~again & (F.levenshtein("asked_name", "held_name") <= 1))
     return met.filter(F.levenshtein("plain", "other") <= 0.1 * (F.length("plain") + F.length("other")) + 2).select("ref_id", "title", "authors", "uses_et_al", "record_id", "record")
 
 
