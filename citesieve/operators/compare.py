@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from ..functions.normalize import journal_key, pubdate_year, title_distinctive
 from ..functions.text import arxiv_stem, extract_arxiv_id, let, nonblank, year_value
 
 FIELDS = ("authors", "title", "year", "journal", "volume", "issue", "pages")
+#: What the comparison of each field reads of a parsed citation.
+READ = {
+    "authors": ("authors", "uses_et_al"), "title": ("title", "ref_clean", "year"), "year": ("year",), "journal": ("journal",),
+    "volume": ("volume",), "issue": ("issue",), "pages": ("pages", "page_start", "page_end"),
+}
 PHYSICS = ("arXiv", "DataCite (arXiv)", "NASA ADS")
 
 
@@ -84,35 +91,33 @@ def title_threshold() -> Column:
     return F.when((F.col("record.source") == "Crossref") & (F.col("year") <= 1990), 0.78).otherwise(0.75)
 
 
-def compared(df: DataFrame) -> DataFrame:
-    """Parsed citations with ``record`` (or null): every comparison as a column. No shuffle."""
+def compared(df: DataFrame, which: Sequence[str] = FIELDS) -> DataFrame:
+    """Parsed citations with ``record`` (or null): every comparison of the fields ``which`` as a column. No shuffle."""
     c = F.col
     surnames = F.coalesce("record.surnames", F.array().cast("array<string>"))
     found = c("record").isNotNull()
-    df = df.withColumns({"own_journal": journal_key(c("journal")), "record_journal": journal_key(c("record.journal"))})
-    df = df.withColumns(
-        {
-            "comparison": helpers.compare_authors(c("authors"), surnames, c("uses_et_al")),
-            "similarity": helpers.title_similarity(c("title"), c("record.title")),
-            **{n: F.coalesce(helpers.normalize_title(c(x)), F.lit("")) for n, x in (("title_a", "title"), ("title_b", "record.title"), ("title_ref", "ref_clean"))},
-            "journal_issue": helpers.journal_abbreviation_issue(c("journal"), c("record.journal")),
-            "journal_ratio": helpers.text_ratio(c("record_journal"), c("own_journal")),
-        }
-    )
-    df = df.withColumns(
-        {
-            "title_match": matched_title(c("title"), c("record.title"), c("similarity"), c("title_a"), c("title_b"), c("title_ref"), title_threshold()),
-            "journal_ok": same_journal(c("own_journal"), c("record_journal"), c("journal_ratio")),
-        }
-    ).drop("similarity", "title_a", "title_b", "title_ref", "journal_ratio", "own_journal", "record_journal")
-    return df.withColumns(
-        {
-            "author_list_ok": found & c("comparison.ok"), "title_ok": found & c("title_match.ok"), "year_ok": found & year_match(),
-            "volume_ok": equal_text(c("volume"), c("record.volume")), "issue_ok": equal_text(c("issue"), c("record.issue")),
-            "pages_ok": pages_match(c("page_start"), c("page_end"), c("record.pages")), "record_year": record_year(),
-            "metadata_source": F.when(found, F.concat_ws(" ", "record.source", F.coalesce("record.doi", "record.record_id"))).otherwise("bibliographic lookup"),
-        }
-    )
+    titles = {n: F.coalesce(helpers.normalize_title(c(x)), F.lit("")) for n, x in (("title_a", "title"), ("title_b", "record.title"), ("title_ref", "ref_clean"))}
+    helped = {
+        "authors": {"comparison": helpers.compare_authors(c("authors"), surnames, c("uses_et_al"))},
+        "title": {"similarity": helpers.title_similarity(c("title"), c("record.title")), **titles},
+        "journal": {"journal_issue": helpers.journal_abbreviation_issue(c("journal"), c("record.journal")), "journal_ratio": helpers.text_ratio(c("record_journal"), c("own_journal"))},
+    }
+    if "journal" in which:
+        df = df.withColumns({"own_journal": journal_key(c("journal")), "record_journal": journal_key(c("record.journal"))})
+    df = df.withColumns({n: e for name in which for n, e in helped.get(name, {}).items()})
+    if "title" in which:
+        df = df.withColumn("title_match", matched_title(c("title"), c("record.title"), c("similarity"), c("title_a"), c("title_b"), c("title_ref"), title_threshold()))
+    if "journal" in which:
+        df = df.withColumn("journal_ok", same_journal(c("own_journal"), c("record_journal"), c("journal_ratio")))
+    df = df.drop("similarity", "title_a", "title_b", "title_ref", "journal_ratio", "own_journal", "record_journal")
+    done = {
+        "authors": {"author_list_ok": found & c("comparison.ok")}, "title": {"title_ok": found & c("title_match.ok")},
+        "year": {"year_ok": found & year_match(), "record_year": record_year()},
+        "volume": {"volume_ok": equal_text(c("volume"), c("record.volume"))}, "issue": {"issue_ok": equal_text(c("issue"), c("record.issue"))},
+        "pages": {"pages_ok": pages_match(c("page_start"), c("page_end"), c("record.pages"))},
+    }
+    source = F.when(found, F.concat_ws(" ", "record.source", F.coalesce("record.doi", "record.record_id"))).otherwise("bibliographic lookup")
+    return df.withColumns({n: e for name in which for n, e in done.get(name, {}).items()} | {"metadata_source": source})
 
 
 def evidence(submitted: Column, metadata: Column, matches: Column, issue: Column | None = None) -> Column:
