@@ -5,13 +5,14 @@ last two letters. Of titles every word and every pair of neighbours counts, howe
 sum of the idf of all shared keys, ties by source and record_id, and is exact; a title without one whole word in
 common is only met by its author. Any accepted candidate needs a year within the tolerance, so no others are met.
 
-Works stand in the posting list of each of their keys, and citations visit the lists rarest key first, in two rounds
-of joins. The first visits keys with few works, and the k-th best score there is a threshold: a work that shares
-none of the keys visited so far can only gain what the keys to come weigh, so the second round goes on just until
-these weigh less than the threshold. Common keys are rarely visited at all. A pair is scored in full where it meets,
-at the rarest key it shares and nowhere else, and only scores that reach the threshold leave the join. So what is
-shuffled are the keys of works and the visited keys of citations, each a fixed number of times, and a hot key is
-a join on one value, which Spark can split.
+A key that few works have (``RARE_WORKS``) is visited work by work, and what meets there is scored in full. Of the works
+that share only common title keys, those of one year with the same such keys, their *shape*, have one score: of a shape's works
+in a year the first k will do, and citations with the same year and shape are searched once. A common author key is the
+third route: works of one year, shape and author are a class too, posted under the author with each of the shape's keys.
+A work that has more in common than its route counts is met by the other routes as well, where it scores higher; its
+score counts once, the highest. A work that belongs to the first k has less than k works of its class before it, so none is lost.
+Thus lists of common keys grow with the number of shapes and not with the works, and a citation visits few of them: keys
+are visited rarest first, and the k-th best score found so far is a threshold that ends the visits when the keys to come weigh less.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from .staging import dealt, spread, staged
 COMMON_SHARE, LEAST_COMMON = 0.005, 20.0
 #: Citations that may be looked for in ADS.
 UNFOUND = "record IS NULL AND title IS NOT NULL AND pmid IS NULL AND pmcid IS NULL AND route NOT IN ('arxiv', 'ads')"
-#: In the first round keys are visited while the works of all keys so far are at most so many.
-FIRST_POSTINGS = 1000
-#: Posting lists are cut into spans of so many years: of one year each, no work outside a citation's years is met.
-SPAN = 1
+#: In the first round of a search by shapes keys are visited while the works of all keys so far are at most so many.
+FIRST_POSTINGS = 100
+#: A key of at most so many works is rare: all its works are met.
+RARE_WORKS = 200
 
 
 def author_key(name: Column) -> Column:
@@ -75,11 +76,16 @@ def _coded(keys: Column) -> Column:
     return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
+def _author_code(name: Column) -> Column:
+    return F.when(name != "", F.xxhash64(author_key(name)))
+
+
 def work_keys(works: DataFrame) -> DataFrame:
-    """(record_id, source, year, journal_key, keys): the keys of every work that has one."""
+    """(work, record_id, source, year, journal_key, author, keys): the keys of every work that has one, that of its author among them."""
     named = works.select("record_id", "source", F.coalesce("search_year", "year").alias("year"), normalize_journal(F.col("journal")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_authors(metadata_surnames(F.col("authors"))).alias("names"))
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.size("names") > 0, F.array(author_key(F.get("names", F.lit(0))))).otherwise(F.array().cast("array<string>")))
-    return named.select("record_id", "source", "year", "journal_key", _coded(keys).alias("keys")).filter("size(keys) > 0")
+    author = F.when(F.size("names") > 0, F.xxhash64(author_key(F.get("names", F.lit(0)))))
+    return named.select(F.monotonically_increasing_id().alias("work"), "record_id", "source", "year", "journal_key", author.alias("author"), _coded(keys).alias("keys")).filter("size(keys) > 0")
 
 
 def key_weights(keys: DataFrame) -> DataFrame:
@@ -90,67 +96,160 @@ def key_weights(keys: DataFrame) -> DataFrame:
 
 
 def search_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keys of all Crossref works and the keys' weights, staged; every search over these works can share them."""
+    """All Crossref works with their rare keys, shape and common author, and the keys' weights, staged; every search over these works can share them."""
     keys = staged(work_keys(spread(works.filter("source = 'Crossref'"), "record_id")))
-    return keys, staged(key_weights(keys))
+    weights = staged(key_weights(keys))
+    single = _known(keys.select("work", "author", F.explode("keys").alias("key")), weights)
+    rare, own = F.col("df") <= RARE_WORKS, F.coalesce(F.col("key") == F.col("author"), F.lit(False))
+    parts = single.groupBy("work").agg(
+        F.collect_list(F.when(rare, F.col("key"))).alias("rare"), F.sort_array(F.collect_list(F.when(~rare & ~own, F.col("key")))).alias("shape"), F.max(F.when(~rare & own, F.col("key"))).alias("author")
+    )
+    return staged(keys.drop("author").join(dealt(parts), "work")), weights
+
+
+def _known(single: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rows with a ``key`` that works have, and its weight."""
+    return single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(dealt(weights.filter("NOT common")), "key"))
 
 
 def _weighed(asked: DataFrame, weights: DataFrame) -> DataFrame:
-    """(ref_id, year, journal_key, codes, gains, steps) of ``asked`` (ref_id, year, journal_key, keys) with any key that works have.
+    """(ref_id, year, journal_key, own, shape, author, shape_id, author_id) of ``asked`` (ref_id, year, journal_key, author, keys) with any key that works have.
 
-    ``codes`` are these keys, rarest first, and ``gains`` their idf. A step is a key with the number of works that
-    the keys before it have (``behind``) and what it and all after it weigh together (``ahead``).
+    ``own`` are these keys with their idf and number of works, rarest first; ``shape`` are the common ones of the title.
+    ``author`` is null unless it is common. The last two tell what is searched once.
     """
-    single = asked.select("ref_id", F.explode("keys").alias("key"))
-    known = single.join(F.broadcast(weights.filter("common")), "key").unionByName(single.join(dealt(weights.filter("NOT common")), "key"))
+    known = _known(asked.select("ref_id", F.explode("keys").alias("key")), weights)
     own = known.groupBy("ref_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("rank"), "key", "df"))).alias("own"))
+    often = F.filter("own", lambda x: x["df"] > RARE_WORKS)
+    author = F.when(F.exists(often, lambda x: x["key"] == F.col("author")), F.col("author"))
+    named = asked.drop("keys").join(dealt(own), "ref_id").withColumn("author", author)
+    named = named.withColumn("shape", F.filter(often, lambda x: ~x["key"].eqNullSafe(F.col("author"))))
+    shape = F.xxhash64("year", "journal_key", F.transform("shape", lambda x: x["key"]))
+    return named.withColumn("shape_id", F.when(F.size("shape") > 0, shape)).withColumn("author_id", F.when(F.col("author").isNotNull(), F.xxhash64(shape, "author")))
+
+
+def _codes(own: Column) -> dict[str, Column]:
+    codes = F.transform(own, lambda x: x["key"])
+    return {"codes": codes, "gains": F.map_from_arrays(codes, F.transform(own, lambda x: -x["rank"]))}
+
+
+def _steps(own: Column) -> Column:
+    """The keys with the number of works that those before have (``behind``) and what they and all after weigh together (``ahead``)."""
     so_far = lambda part, value: F.aggregate(part, F.lit(0.0), lambda n, x: n + value(x))
-    step = lambda x, i: F.struct(
-        x["key"].alias("key"), i.alias("at"), so_far(F.slice("own", 1, i + 1), lambda y: y["df"]).alias("behind"), so_far(F.slice("own", i + 1, F.size("own")), lambda y: -y["rank"]).alias("ahead")
-    )
-    named = asked.drop("keys").join(dealt(own), "ref_id")
-    codes = F.transform("own", lambda x: x["key"])
-    return named.select("ref_id", "year", "journal_key", codes.alias("codes"), F.map_from_arrays(codes, F.transform("own", lambda x: -x["rank"])).alias("gains"), F.transform("own", step).alias("steps"))
+    return F.transform(own, lambda x, i: F.struct(
+        x["key"].alias("mark"), i.alias("at"), so_far(F.slice(own, F.lit(1), i), lambda y: y["df"]).alias("behind"), so_far(F.slice(own, i + 1, F.size(own)), lambda y: -y["rank"]).alias("ahead")
+    ))
 
 
-def _met(visits: DataFrame, keys: DataFrame, bonus: float) -> DataFrame:
-    """(ref_id, source, record_id, rank_score) of the works met at the visited keys: at the rarest key that both have, and so once."""
-    span = lambda year: F.floor(year / SPAN)
+def _between_years(visits: DataFrame) -> DataFrame:
     tolerance = year_tolerance(F.col("year"))
-    asked = visits.withColumns({"low": F.col("year") - tolerance, "high": F.col("year") + tolerance})
-    asked = asked.withColumn("span", F.explode(F.sequence(span(F.col("low")), span(F.col("high"))))).drop("year")
-    held = keys.select("source", "record_id", F.col("year").alias("work_year"), F.col("journal_key").alias("work_journal"), F.col("keys").alias("work_keys"), F.explode("keys").alias("key"))
-    held = held.withColumn("span", span(F.col("work_year"))).join(dealt(visits.select("key").distinct()), "key", "left_semi")
-    met = asked.join(dealt(held), ["key", "span"]).filter("work_year BETWEEN low AND high")
-    met = met.withColumn("shared", F.array_intersect("codes", "work_keys")).filter(F.get("shared", F.lit(0)) == F.col("key"))
+    return visits.withColumns({"low": F.col("year") - tolerance, "high": F.col("year") + tolerance}).drop("year")
+
+
+def _score(bonus: float) -> Column:
     score = F.aggregate("shared", F.lit(0.0), lambda n, k: n + F.col("gains")[k])
-    score = score + F.when(F.col("journal_key") == F.col("work_journal"), bonus).otherwise(0.0) if bonus else score
-    return met.select("ref_id", "source", "record_id", F.round(score, 6).alias("rank_score"), *(["least"] if "least" in visits.columns else []))
+    return F.round(score + F.when(F.col("journal_key") == F.col("work_journal"), bonus).otherwise(0.0) if bonus else score, 6)
+
+
+def _met_works(visits: DataFrame, index: DataFrame, bonus: float) -> DataFrame:
+    """(id, work, source, record_id, rank_score) of the works met at rare keys: at the rarest that both have, and so once."""
+    held = index.select("work", "source", "record_id", F.col("year").alias("work_year"), F.col("journal_key").alias("work_journal"), F.col("keys").alias("work_keys"), F.explode("rare").alias("mark"))
+    met = _between_years(visits).join(dealt(held), "mark").filter("work_year BETWEEN low AND high")
+    met = met.withColumn("shared", F.array_intersect("codes", "work_keys")).filter(F.get("shared", F.lit(0)) == F.col("mark"))
+    return met.select("id", "work", "source", "record_id", _score(bonus).alias("rank_score"))
+
+
+def _classes(index: DataFrame, k: int, bonus: float, *more: str) -> DataFrame:
+    """(work_year, work_journal, shape, author, members): the first k works of each year, shape and ``more``, and of each journal if there is a bonus for it."""
+    kinds = ["year", *(["journal_key"] if bonus else []), "shape", *more]
+    place = F.row_number().over(Window.partitionBy(*kinds).orderBy("source", "record_id"))
+    own = index.withColumn("place", place).filter(F.col("place") <= k).groupBy(*kinds).agg(F.collect_list(F.struct("work", "source", "record_id")).alias("members"))
+    author, journal = F.col("author") if more else F.lit(None).cast("bigint"), F.col("journal_key") if bonus else F.lit("")
+    return own.select(F.col("year").alias("work_year"), journal.alias("work_journal"), "shape", author.alias("author"), "members")
+
+
+def _met_classes(visits: DataFrame, held: DataFrame, bonus: float) -> DataFrame:
+    """(id, work, source, record_id, rank_score) of the members of the classes met: at the rarest title key that both have, or by the author if they have none."""
+    asked = _between_years(visits).withColumn("work_year", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    held = held.join(dealt(visits.select("key").distinct()), "key", "left_semi")
+    met = asked.join(dealt(held), ["key", "work_year"]).withColumn("shared", F.array_intersect("codes", "work_codes"))
+    titled = F.filter("shared", lambda x: ~x.eqNullSafe(F.col("author")))
+    met = met.filter(F.get(titled, F.lit(0)).eqNullSafe(F.col("mark"))).withColumn("rank_score", _score(bonus))
+    least = F.coalesce(F.col("rank_score") >= F.col("least"), F.lit(True))
+    return met.filter(least).select("id", F.explode("members").alias("member"), "rank_score").select("id", "member.*", "rank_score")
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy(F.desc("rank_score"), "source", "record_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _least(best: DataFrame, k: int) -> DataFrame:
+    """(id, found): the k-th best score, of those with so many."""
+    return best.filter(F.col("rank") == k).select("id", F.col("rank_score").alias("found"))
+
+
+def _by_shape(weighed: DataFrame, index: DataFrame, k: int, bonus: float) -> tuple[DataFrame, DataFrame]:
+    """The first k by the shape alone, for each shape_id (``id``), and (id, least), a score that the first k of its citations reach, if there is one."""
+    shapes = weighed.filter("shape_id IS NOT NULL").groupBy(F.col("shape_id").alias("id")).agg(*[F.first(c).alias(c) for c in ("year", "journal_key", "shape")], _floor())
+    steps = shapes.select("id", "year", "journal_key", "least", F.lit(None).cast("bigint").alias("author"), F.col("shape").alias("own"), F.explode(_steps(F.col("shape"))).alias("step"))
+    steps = staged(steps.select("id", "year", "journal_key", "least", "author", "step.*", *[c.alias(n) for n, c in _codes(F.col("own")).items()]).withColumn("key", F.col("mark")))
+    classes = _classes(index.filter("size(shape) > 0"), k, bonus).drop("author")
+    held = staged(classes.select("*", F.col("shape").alias("work_codes"), F.explode("shape").alias("key")).drop("shape"))
+    # A sum in another order may differ in its last digits, so keys are visited a little beyond the threshold.
+    open_ = F.coalesce(F.col("ahead") + bonus + 1e-5 >= F.col("least"), F.lit(True))
+    early = (F.col("at") == 0) | (F.col("behind") <= FIRST_POSTINGS)
+    first = staged(_best(_met_classes(steps.filter(early & open_), held, bonus), k))
+    known = lambda df: df.join(dealt(_least(first, k)), "id", "left").withColumn("least", F.greatest("least", "found")).drop("found")
+    more = _met_classes(known(steps.filter(~early)).filter(open_), held, bonus)
+    top = staged(_best(first.drop("rank").unionByName(more), k))
+    least = shapes.select("id", "least").join(dealt(_least(top, k)), "id", "left").select("id", F.greatest("least", "found").alias("least"))
+    return top, least
+
+
+def _floor() -> Column:
+    """The least score of the first k, if all rows have so many."""
+    return F.when(F.count("found") == F.count("*"), F.min("found")).alias("least")
+
+
+def _by_author(weighed: DataFrame, index: DataFrame, k: int, bonus: float, least: DataFrame) -> DataFrame:
+    """The first k by author and shape, for each author_id (``id``)."""
+    named = weighed.filter("author_id IS NOT NULL").groupBy(F.col("author_id").alias("id")).agg(*[F.first(c).alias(c) for c in ("shape_id", "year", "journal_key", "author", "own", "shape")], _floor())
+    named = named.join(dealt(least.select(F.col("id").alias("shape_id"), F.col("least").alias("found"))), "shape_id", "left").withColumn("least", F.greatest("least", "found"))
+    often = F.filter("own", lambda x: x["df"] > RARE_WORKS)
+    steps = F.concat(F.transform(_steps(F.col("shape")), lambda x: F.struct(x["mark"].alias("mark"), x["ahead"].alias("ahead"))), F.array(F.struct(F.lit(None).cast("bigint").alias("mark"), F.lit(0.0).alias("ahead"))))
+    codes = _codes(often)
+    visits = named.select("id", "year", "journal_key", "author", "least", *[c.alias(n) for n, c in codes.items()], F.explode(steps).alias("step")).select("*", "step.*").drop("step")
+    visits = visits.filter(F.coalesce(F.col("ahead") + F.col("gains")[F.col("author")] + bonus + 1e-5 >= F.col("least"), F.lit(True))).drop("ahead")
+    visits = staged(visits.withColumn("key", F.xxhash64("author", "mark")))
+    classes = _classes(index.filter("author IS NOT NULL"), k, bonus, "author")
+    marks = F.concat("shape", F.array(F.lit(None).cast("bigint")))
+    held = classes.select("work_year", "work_journal", "author", "members", F.concat("shape", F.array("author")).alias("work_codes"), F.explode(marks).alias("mark"))
+    held = held.select("work_year", "work_journal", "members", "work_codes", F.xxhash64("author", "mark").alias("key"))
+    return _best(_met_classes(visits, held, bonus), k)
 
 
 def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
-    """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, keys); ``bonus`` is for the same journal.
+    """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, author, keys); ``bonus`` is for the same journal.
 
     What many citations ask alike is searched once, by the smallest of their ref_ids (``lead``).
     """
-    keys, weights = index or search_index(works)
+    index, weights = index or search_index(works)
     asked = staged(asked if bonus else asked.withColumn("journal_key", F.lit("")))
     alike = ["year", "journal_key", "keys"]
-    leads = staged(asked.groupBy(*alike).agg(F.min("ref_id").alias("lead")))
+    leads = staged(asked.groupBy(*alike).agg(F.min("ref_id").alias("lead"), F.first("author").alias("author")))
     weighed = staged(_weighed(leads.withColumnRenamed("lead", "ref_id"), weights))
-    rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("rank_score"), "source", "record_id"))
-    best = lambda df: df.withColumn("rank", rank).filter(F.col("rank") <= k)
-    steps = weighed.withColumn("step", F.explode("steps")).select("ref_id", "year", "journal_key", "codes", "gains", "step.*")
-    early = (F.col("at") == 0) | (F.col("behind") <= FIRST_POSTINGS)
-    first = staged(best(_met(steps.filter(early).drop("at", "behind", "ahead"), keys, bonus)))
-    least = first.filter(F.col("rank") == k).select("ref_id", F.col("rank_score").alias("least"))
-    # A sum in another order may differ in its last digits, so keys are visited a little beyond the threshold.
-    open_ = F.coalesce(F.col("ahead") + bonus + 1e-5 >= F.col("least"), F.lit(True))
-    later = steps.filter(~early).join(dealt(least), "ref_id", "left").filter(open_).drop("at", "behind", "ahead")
-    more = _met(later, keys, bonus).filter(F.coalesce(F.col("rank_score") >= F.col("least"), F.lit(True))).drop("least")
-    top = best(first.drop("rank").unionByName(more))
-    owners = asked.join(dealt(leads), alike).select("ref_id", "lead")
-    top = owners.join(dealt(top.withColumnRenamed("ref_id", "lead")), "lead")
+    rare = weighed.select(F.col("ref_id").alias("id"), "year", "journal_key", *[c.alias(n) for n, c in _codes(F.col("own")).items()], F.explode(F.filter("own", lambda x: x["df"] <= RARE_WORKS)).alias("step"))
+    single = staged(_best(_met_works(rare.withColumn("mark", F.col("step.key")).drop("step"), index, bonus), k))
+    weighed = staged(weighed.join(dealt(_least(single, k).withColumnRenamed("id", "ref_id")), "ref_id", "left"))
+    shaped, least = _by_shape(weighed, index, k, bonus)
+    authored = _by_author(weighed, index, k, bonus, least)
+    to_leads = lambda df, own: weighed.select("ref_id", F.col(own).alias("id")).join(dealt(df), "id").drop("id").withColumnRenamed("ref_id", "id")
+    met = single.unionByName(to_leads(shaped, "shape_id")).unionByName(to_leads(authored, "author_id"))
+    met = met.groupBy("id", "work").agg(F.first("source").alias("source"), F.first("record_id").alias("record_id"), F.max("rank_score").alias("rank_score"))
+    top = _best(met, k)
+    owners = asked.join(dealt(leads.drop("author")), alike).select("ref_id", "lead")
+    top = owners.join(dealt(top.withColumnRenamed("id", "lead")), "lead")
     records = works.select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
     return top.join(dealt(records), F.expr("source = s AND record_id = r")).select("ref_id", "rank", "rank_score", "record")
 
@@ -160,7 +259,7 @@ def _asked(citations: DataFrame, author: Column) -> DataFrame:
         "ref_id", "year", F.coalesce(normalize_journal(F.col("journal")), F.lit("")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_author(author).alias("a")
     )
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.col("a") != "", F.array(author_key(F.col("a")))).otherwise(F.array().cast("array<string>")))
-    return named.select("ref_id", "year", "journal_key", _coded(keys).alias("keys"))
+    return named.select("ref_id", "year", "journal_key", _author_code(F.col("a")).alias("author"), _coded(keys).alias("keys"))
 
 
 def search_candidates(citations: DataFrame, works: DataFrame, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
