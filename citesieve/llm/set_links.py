@@ -22,6 +22,8 @@ from .text import U64, mix, ragged, shingle_sets, slices
 
 #: Set sizes within 4 percent are of one class; only classes that can link are joined.
 CLASS_BASE = 1.04
+#: Rows with marks are wide, so their classes are coarser, and a row is dealt to three or four of them.
+MARKED_BASE = 1.18
 #: A key with more pairs to try across components is cut by further keys.
 HOT_PAIRS = 1 << 24
 
@@ -143,15 +145,16 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int, finer: Callable
             break
         held = checkpointed(held.join(hot, "token", "left_anti").unionByName(cut))
         tokens = checkpointed(_mixed(held))
-    as_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(CLASS_BASE)))
+    as_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(CLASS_BASE if marked is None else MARKED_BASE)))
     held = checkpointed(held.join(tokens.drop("pairs"), "token").withColumn("class", as_class(F.col("n"))))
-    if marked is not None:
-        held = checkpointed(held.join(marked(held.select("id").distinct()), "id"))
+    # Marks are joined to the entries where these meet, and no copy of them is kept for each key.
+    marks = None if marked is None else marked(held.select("id").distinct())
+    wide = lambda df: df if marks is None else df.join(marks, "id")
     # A partner of b tokens needs min(n - place, ...) >= percent (n + b) / (100 + percent), so b has an upper and a lower bound.
     high = F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n"))
     low = F.ceil(F.col("n") * percent / 100)
     side = held.filter("label <> main").withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).withColumn("low", low).filter("high >= low")
-    left = side.withColumn("class", F.explode(F.sequence(as_class(F.col("low")), as_class(F.col("high"))))).alias("a")
+    left = wide(side).withColumn("class", F.explode(F.sequence(as_class(F.col("low")), as_class(F.col("high"))))).alias("a")
     enough = F.expr(f"a.label <> b.label and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)")
-    pairs = left.join(held.alias("b"), ["token", "class"]).filter(enough if close is None else enough & close)
+    pairs = left.join(wide(held).alias("b"), ["token", "class"]).filter(enough if close is None else enough & close)
     return checkpointed(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())

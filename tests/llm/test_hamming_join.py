@@ -1,6 +1,7 @@
 """Near duplicates by signatures: the pigeonhole's promise, all pairs by brute force, hot keys, and odd rows."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -67,3 +68,25 @@ def test_odd_rows(spark):
     assert hamming_join.near_duplicates(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         hamming_join.distance_for(50)
+
+
+def test_long_signatures_are_not_kept_for_each_key(spark, monkeypatch):
+    kept, copies = [], []
+    across = set_links._across
+
+    def counted(df):
+        kept.append(set(df.columns))
+        return checkpoint(df)
+
+    def seen(entries, labels, percent, finer, marked, close):
+        bounds = lambda n: [math.floor(math.log(x) / math.log(set_links.MARKED_BASE)) for x in (math.ceil(n * percent / 100), n * 100 // percent)]
+        copies.extend(b - a + 1 for a, b in (bounds(n) for n in range(10, 3000)))
+        return across(entries, labels, percent, finer, marked, close)
+
+    checkpoint = set_links.checkpointed
+    monkeypatch.setattr(set_links, "checkpointed", counted)
+    monkeypatch.setattr(set_links, "_across", seen)
+    rows = near_rows(60, 5)
+    got = hamming_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, 85)
+    assert ordered(got.collect()) == ordered(brute_kept(rows, 3, 85))
+    assert not [columns for columns in kept if {"mark", "token"} <= columns] and max(copies) <= 4
