@@ -35,6 +35,8 @@ UNFOUND = "record IS NULL AND title IS NOT NULL AND pmid IS NULL AND pmcid IS NU
 FIRST_POSTINGS = 100
 #: A key of at most so many works is rare: all its works are met.
 RARE_WORKS = 200
+#: The name that the free and the fielded search ask for, and the bonus of the same journal.
+FREE, FIELDED = ("first_author", 0.0), ("substring_index(first_author, ' ', 1)", 1.0)
 
 
 def author_key(name: Column) -> Column:
@@ -229,10 +231,10 @@ def _by_author(weighed: DataFrame, index: DataFrame, k: int, bonus: float, least
     return _best(_met_classes(visits, held, bonus), k)
 
 
-def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
-    """Top k works for each ref_id of ``asked`` (ref_id, year, journal_key, author, keys); ``bonus`` is for the same journal.
+def _first(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """``asked`` (ref_id, year, journal_key, author, keys, ...) with the ``lead`` of each, and the top k works of each lead (lead, rank, rank_score, source, record_id).
 
-    What many citations ask alike is searched once, by the smallest of their ref_ids (``lead``).
+    What many citations ask alike is searched once, by the smallest of their ref_ids, the lead. ``bonus`` is for the same journal.
     """
     index, weights = index or search_index(works)
     asked = staged(asked if bonus else asked.withColumn("journal_key", F.lit("")))
@@ -247,29 +249,38 @@ def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tup
     to_leads = lambda df, own: weighed.select("ref_id", F.col(own).alias("id")).join(dealt(df), "id").drop("id").withColumnRenamed("ref_id", "id")
     met = single.unionByName(to_leads(shaped, "shape_id")).unionByName(to_leads(authored, "author_id"))
     met = met.groupBy("id", "work").agg(F.first("source").alias("source"), F.first("record_id").alias("record_id"), F.max("rank_score").alias("rank_score"))
-    top = _best(met, k)
-    owners = asked.join(dealt(leads.drop("author")), alike).select("ref_id", "lead")
-    top = owners.join(dealt(top.withColumnRenamed("id", "lead")), "lead")
-    records = works.select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
-    return top.join(dealt(records), F.expr("source = s AND record_id = r")).select("ref_id", "rank", "rank_score", "record")
+    owners = asked.join(dealt(leads.drop("author")), alike).drop("journal_key", "keys", "author")
+    return owners, _best(met, k).withColumnRenamed("id", "lead")
+
 
+def _records(works: DataFrame) -> DataFrame:
+    """(s, r, record) of the works that searches find."""
+    return works.filter("source = 'Crossref'").select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
 
-def _asked(citations: DataFrame, author: Column) -> DataFrame:
+
+def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """(ref_id, rank, rank_score, record): the top k works for each ref_id of ``asked``."""
+    owners, top = _first(asked, works, k, bonus, index)
+    top = owners.select("ref_id", "lead").join(dealt(top), "lead")
+    return top.join(dealt(_records(works)), F.expr("source = s AND record_id = r")).select("ref_id", "rank", "rank_score", "record")
+
+
+def _asked(citations: DataFrame, author: str, *more: str | Column) -> DataFrame:
     named = citations.filter("year IS NOT NULL").select(
-        "ref_id", "year", F.coalesce(normalize_journal(F.col("journal")), F.lit("")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_author(author).alias("a")
+        "ref_id", "year", F.coalesce(normalize_journal(F.col("journal")), F.lit("")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_author(F.expr(author)).alias("a"), *more
     )
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.col("a") != "", F.array(author_key(F.col("a")))).otherwise(F.array().cast("array<string>")))
-    return named.select("ref_id", "year", "journal_key", _author_code(F.col("a")).alias("author"), _coded(keys).alias("keys"))
+    return named.withColumns({"author": _author_code(F.col("a")), "keys": _coded(keys)}).drop("t", "a")
 
 
 def search_candidates(citations: DataFrame, works: DataFrame, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(ref_id, rank from 1, rank_score, record) of parsed citations. Without a year nothing can be accepted, so nothing is searched."""
-    return _ranked(_asked(citations, F.col("first_author")), works, k, 0.0, index)
+    return _ranked(_asked(citations, FREE[0]), works, k, FREE[1], index)
 
 
 def search_fielded(citations: DataFrame, works: DataFrame, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """As ``search_candidates``, with the first word of the first author, and a bonus of 1 for the same journal."""
-    return _ranked(_asked(citations, F.substring_index("first_author", " ", 1)), works, k, 1.0, index)
+    return _ranked(_asked(citations, FIELDED[0]), works, k, FIELDED[1], index)
 
 
 def scored_candidates(candidates: DataFrame, citations: DataFrame) -> DataFrame:
@@ -302,16 +313,45 @@ def candidate_reason() -> Column:
     return F.format_string("title=%.2f, year_ok=%s, auth_ok=%s, jnl_ok=%s, tol=%d", "title_sim", flag("year_ok"), flag("auth_ok"), flag("jnl_ok"), "tol")
 
 
+def _judged() -> Column:
+    """What of a ``record`` decides whether it is accepted."""
+    return F.struct("record.title", "record.surnames", journal_key(F.col("record.journal")).alias("journal"), F.coalesce("record.search_year", "record.year").alias("year"))
+
+
+def best_choices(citations: DataFrame, works: DataFrame, fielded: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(ref_id, choice, reason) of the citations with a candidate: the one that ``choose_best_candidate`` takes of the ``scored_candidates`` of a search, both null if none is accepted.
+
+    The fields that are judged move once for each lead, and a citation's five are judged together: ratios are worked
+    out only while their bounds leave the choice open. ``with_records`` gives the records of choices.
+    """
+    author, bonus = FIELDED if fielded else FREE
+    owners, top = _first(_asked(citations, author, "title", "authors", "uses_et_al", journal_key(F.col("journal")).alias("own_journal")), works, 5, bonus, index)
+    held = _records(works).select("s", "r", _judged().alias("judged"))
+    offered = F.struct("rank", F.struct("source", "record_id", F.xxhash64("judged").alias("mark")).alias("choice"), "judged")
+    offers = top.join(dealt(held), F.expr("source = s AND record_id = r")).groupBy("lead").agg(F.sort_array(F.collect_list(offered)).alias("offers"))
+    judged = helpers.best_candidate("title", "authors", "uses_et_al", "year", "own_journal", F.transform("offers", lambda o: o["judged"]))
+    out = owners.join(dealt(offers), "lead").withColumn("best", judged).select("ref_id", F.get("offers.choice", F.col("best.at")).alias("choice"), "best.*", F.lit(True).alias("year_ok"), year_tolerance(F.col("year")).alias("tol"))
+    return out.select("ref_id", "choice", F.when(F.col("at").isNotNull(), candidate_reason()).alias("reason"))
+
+
+def with_records(chosen: DataFrame, works: DataFrame) -> DataFrame:
+    """``chosen`` with the ``record`` of each choice; without one a row is left out."""
+    # Records of one identifier that are judged alike are one.
+    records = _records(works).select(F.struct("s", "r", F.xxhash64(_judged()).alias("mark")).alias("held"), "record").selectExpr("held.*", "record").dropDuplicates(["s", "r", "mark"])
+    keyed = chosen.filter("choice IS NOT NULL").select("*", "choice.*").drop("choice").withColumnRenamed("mark", "own")
+    return keyed.join(dealt(records), F.expr("source = s AND record_id = r AND own = mark")).drop("source", "record_id", "own", "s", "r", "mark")
+
+
 def searched(citations: DataFrame, works: DataFrame) -> DataFrame:
     """Citations with ``record`` (or null), had_candidate and match_reason: the free search, then the fielded one for the rest."""
     index = search_index(works)
-    first = staged(scored_candidates(search_candidates(citations, works, index=index), citations))
-    best = choose_best_candidate(first).select("ref_id", "record", F.concat(F.lit("accepted: "), "reason").alias("match_reason"))
-    rest = citations.join(dealt(best.select("ref_id")), "ref_id", "left_anti")
-    second = staged(scored_candidates(search_fielded(rest, works, index=index), rest))
-    again = choose_best_candidate(second).select("ref_id", "record", F.concat(F.lit("accepted (fielded): "), "reason").alias("match_reason"))
+    first = staged(best_choices(citations, works, index=index))
+    rest = citations.join(dealt(first.filter("choice IS NOT NULL").select("ref_id")), "ref_id", "left_anti")
+    second = staged(best_choices(rest, works, fielded=True, index=index))
+    named = lambda df, how: df.select("ref_id", "choice", F.concat(F.lit(how), "reason").alias("match_reason"))
+    best = with_records(named(first, "accepted: ").unionByName(named(second, "accepted (fielded): ")), works)
     seen = lambda df, name: df.select("ref_id").distinct().withColumn(name, F.lit(True))
-    out = citations.drop("record", "match_reason").join(dealt(best.unionByName(again)), "ref_id", "left")
+    out = citations.drop("record", "match_reason").join(dealt(best), "ref_id", "left")
     out = out.join(dealt(seen(first, "seen_first")), "ref_id", "left").join(dealt(seen(second, "seen_second")), "ref_id", "left")
     reason = F.coalesce(
         "match_reason",
