@@ -318,6 +318,13 @@ def _judged() -> Column:
     return F.struct("record.title", "record.surnames", journal_key(F.col("record.journal")).alias("journal"), F.coalesce("record.search_year", "record.year").alias("year"))
 
 
+def _agrees_in_full(first: Column) -> Column:
+    """The first record has the citation's very title, names, journal and a year within the tolerance, so none has a better score. A plain first name is one that folding leaves."""
+    filled, named = (F.col("title") != "") & (F.col("own_journal") != ""), F.get("authors", F.lit(0)).rlike("^[A-Za-z][^&]*$")
+    same = (F.col("title") == first["title"]) & (F.col("authors") == first["surnames"]) & (F.col("own_journal") == first["journal"])
+    return F.coalesce(filled & named & same & (F.abs(first["year"] - F.col("year")) <= year_tolerance(F.col("year"))), F.lit(False))
+
+
 def best_choices(citations: DataFrame, works: DataFrame, fielded: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(ref_id, choice, reason) of the citations with a candidate: the one that ``choose_best_candidate`` takes of the ``scored_candidates`` of a search, both null if none is accepted.
 
@@ -329,8 +336,10 @@ def best_choices(citations: DataFrame, works: DataFrame, fielded: bool = False,
     held = _records(works).select("s", "r", _judged().alias("judged"))
     offered = F.struct("rank", F.struct("source", "record_id", F.xxhash64("judged").alias("mark")).alias("choice"), "judged")
     offers = top.join(dealt(held), F.expr("source = s AND record_id = r")).groupBy("lead").agg(F.sort_array(F.collect_list(offered)).alias("offers"))
-    judged = helpers.best_candidate("title", "authors", "uses_et_al", "year", "own_journal", F.transform("offers", lambda o: o["judged"]))
-    out = owners.join(dealt(offers), "lead").withColumn("best", judged).select("ref_id", F.get("offers.choice", F.col("best.at")).alias("choice"), "best.*", F.lit(True).alias("year_ok"), year_tolerance(F.col("year")).alias("tol"))
+    asked = owners.join(dealt(offers), "lead").withColumn("sure", _agrees_in_full(F.get("offers", F.lit(0))["judged"]))
+    judged = helpers.best_candidate("title", "authors", "uses_et_al", "year", "own_journal", F.when(~F.col("sure"), F.transform("offers", lambda o: o["judged"])))
+    in_full = F.struct(F.lit(0).alias("at"), F.lit(1.0).alias("title_sim"), F.lit(True).alias("auth_ok"), F.lit(True).alias("jnl_ok"))
+    out = asked.withColumn("best", F.when(F.col("sure"), in_full).otherwise(judged)).select("ref_id", F.get("offers.choice", F.col("best.at")).alias("choice"), "best.*", F.lit(True).alias("year_ok"), year_tolerance(F.col("year")).alias("tol"))
     return out.select("ref_id", "choice", F.when(F.col("at").isNotNull(), candidate_reason()).alias("reason"))
 
 

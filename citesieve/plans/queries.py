@@ -547,7 +547,7 @@ def w1_choose_best(spark, sf_dir):
 )
 def w2_candidate_reason(spark, sf_dir):
     asked = staged(searchable(spark, sf_dir))
-    best = candidates.choose_best_candidate(candidates.scored_candidates(candidates.search_candidates(asked, fx.works(spark, sf_dir)), asked))
+    best = candidates.best_choices(asked, fx.works(spark, sf_dir))
     full = best.filter(F.col("reason").startswith("title=1.00")).select("ref_id", "reason")
     return asked.select("ref_id").join(dealt(full), "ref_id", "left")
 

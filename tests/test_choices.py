@@ -3,6 +3,8 @@
 import difflib
 import random
 
+import pyarrow as pa
+
 from citesieve.functions import helpers
 from citesieve.operators import candidates
 from tests.test_search_shapes import catalogue
@@ -53,6 +55,14 @@ def test_a_record_that_agrees_in_full_needs_no_ratio(monkeypatch):
     assert got == {"at": 2, "title_sim": 1.0, "auth_ok": True, "jnl_ok": True} and not made
 
 
+def test_lists_from_flat_columns_are_those_of_to_pylist():
+    kind = pa.list_(pa.struct([("title", pa.string()), ("surnames", pa.list_(pa.string())), ("year", pa.int32())]))
+    rows = [[{"title": "a", "surnames": ["x", None], "year": 1}, {"title": None, "surnames": None, "year": None}], None, [], [{"title": "é", "surnames": [], "year": 2}]]
+    for array in (pa.array(rows, kind), pa.array([None, *rows, None], kind)[1:5], pa.array(rows, kind)[1:]):
+        want = [[dict(r, surnames=r["surnames"] or []) for r in row or []] for row in array.to_pylist()]
+        assert helpers._lists(array) == want
+
+
 def test_a_citation_keeps_its_choice_and_not_its_candidates(spark, monkeypatch):
     """Nothing staged by a search holds records, and the choice is one row a citation."""
     kept = []
