@@ -13,10 +13,15 @@ A work that has more in common than its route counts is met by the other routes
 score counts once, the highest. A work that belongs to the first k has less than k works of its class before it, so none is lost.
 Thus lists of common keys grow with the number of shapes and not with the works, and a citation visits few of them: keys
 are visited rarest first, and the k-th best score found so far is a threshold that ends the visits when the keys to come weigh less.
+
+A bonus for the same journal is a second search, among the works of the citation's journal alone: a work that gets no
+bonus is among the first k only if it is among the first k without any, whose k-th score is the threshold of the second search.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,19 +120,23 @@ def _known(single: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def _weighed(asked: DataFrame, weights: DataFrame) -> DataFrame:
-    """(ref_id, year, journal_key, own, shape, author, shape_id, author_id) of ``asked`` (ref_id, year, journal_key, author, keys) with any key that works have.
+    """(ref_id, year, own, shape, author) of ``asked`` (ref_id, year, author, keys) with any key that works have.
 
     ``own`` are these keys with their idf and number of works, rarest first; ``shape`` are the common ones of the title.
-    ``author`` is null unless it is common. The last two tell what is searched once.
+    ``author`` is null unless it is common.
     """
     known = _known(asked.select("ref_id", F.explode("keys").alias("key")), weights)
     own = known.groupBy("ref_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("rank"), "key", "df"))).alias("own"))
     often = F.filter("own", lambda x: x["df"] > RARE_WORKS)
     author = F.when(F.exists(often, lambda x: x["key"] == F.col("author")), F.col("author"))
     named = asked.drop("keys").join(dealt(own), "ref_id").withColumn("author", author)
-    named = named.withColumn("shape", F.filter(often, lambda x: ~x["key"].eqNullSafe(F.col("author"))))
+    return named.withColumn("shape", F.filter(often, lambda x: ~x["key"].eqNullSafe(F.col("author"))))
+
+
+def _told_apart(weighed: DataFrame) -> DataFrame:
+    """``weighed`` with shape_id and author_id, which tell what is searched once."""
     shape = F.xxhash64("year", "journal_key", F.transform("shape", lambda x: x["key"]))
-    return named.withColumn("shape_id", F.when(F.size("shape") > 0, shape)).withColumn("author_id", F.when(F.col("author").isNotNull(), F.xxhash64(shape, "author")))
+    return weighed.withColumn("shape_id", F.when(F.size("shape") > 0, shape)).withColumn("author_id", F.when(F.col("author").isNotNull(), F.xxhash64(shape, "author")))
 
 
 def _codes(own: Column) -> dict[str, Column]:
@@ -150,31 +159,35 @@ def _between_years(visits: DataFrame) -> DataFrame:
 
 def _score(bonus: float) -> Column:
     score = F.aggregate("shared", F.lit(0.0), lambda n, k: n + F.col("gains")[k])
-    return F.round(score + F.when(F.col("journal_key") == F.col("work_journal"), bonus).otherwise(0.0) if bonus else score, 6)
+    return F.round(score + bonus if bonus else score, 6)
+
+
+def _within(bonus: float) -> list[str]:
+    """What a search with a bonus meets by, besides its keys: all it meets has the citation's journal."""
+    return ["journal_key"] if bonus else []
 
 
 def _met_works(visits: DataFrame, index: DataFrame, bonus: float) -> DataFrame:
     """(id, work, source, record_id, rank_score) of the works met at rare keys: at the rarest that both have, and so once."""
-    held = index.select("work", "source", "record_id", F.col("year").alias("work_year"), F.col("journal_key").alias("work_journal"), F.col("keys").alias("work_keys"), F.explode("rare").alias("mark"))
-    met = _between_years(visits).join(dealt(held), "mark").filter("work_year BETWEEN low AND high")
+    held = index.select("work", "source", "record_id", F.col("year").alias("work_year"), *_within(bonus), F.col("keys").alias("work_keys"), F.explode("rare").alias("mark"))
+    met = _between_years(visits).join(dealt(held), ["mark", *_within(bonus)]).filter("work_year BETWEEN low AND high")
     met = met.withColumn("shared", F.array_intersect("codes", "work_keys")).filter(F.get("shared", F.lit(0)) == F.col("mark"))
     return met.select("id", "work", "source", "record_id", _score(bonus).alias("rank_score"))
 
 
 def _classes(index: DataFrame, k: int, bonus: float, *more: str) -> DataFrame:
-    """(work_year, work_journal, shape, author, members): the first k works of each year, shape and ``more``, and of each journal if there is a bonus for it."""
-    kinds = ["year", *(["journal_key"] if bonus else []), "shape", *more]
+    """(work_year, journal_key, shape, author, members): the first k works of each year, shape and ``more``, and of each journal if there is a bonus for it."""
+    kinds = ["year", *_within(bonus), "shape", *more]
     place = F.row_number().over(Window.partitionBy(*kinds).orderBy("source", "record_id"))
     own = index.withColumn("place", place).filter(F.col("place") <= k).groupBy(*kinds).agg(F.collect_list(F.struct("work", "source", "record_id")).alias("members"))
-    author, journal = F.col("author") if more else F.lit(None).cast("bigint"), F.col("journal_key") if bonus else F.lit("")
-    return own.select(F.col("year").alias("work_year"), journal.alias("work_journal"), "shape", author.alias("author"), "members")
+    return own.select(F.col("year").alias("work_year"), *_within(bonus), "shape", *more, "members")
 
 
 def _met_classes(visits: DataFrame, held: DataFrame, bonus: float) -> DataFrame:
     """(id, work, source, record_id, rank_score) of the members of the classes met: at the rarest title key that both have, or by the author if they have none."""
     asked = _between_years(visits).withColumn("work_year", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    held = held.join(dealt(visits.select("key").distinct()), "key", "left_semi")
-    met = asked.join(dealt(held), ["key", "work_year"]).withColumn("shared", F.array_intersect("codes", "work_codes"))
+    held = held.join(dealt(visits.select("key", *_within(bonus)).distinct()), ["key", *_within(bonus)], "left_semi")
+    met = asked.join(dealt(held), ["key", "work_year", *_within(bonus)]).withColumn("shared", F.array_intersect("codes", "work_codes"))
     titled = F.filter("shared", lambda x: ~x.eqNullSafe(F.col("author")))
     met = met.filter(F.get(titled, F.lit(0)).eqNullSafe(F.col("mark"))).withColumn("rank_score", _score(bonus))
     least = F.coalesce(F.col("rank_score") >= F.col("least"), F.lit(True))
@@ -196,7 +209,7 @@ def _by_shape(weighed: DataFrame, index: DataFrame, k: int, bonus: float) -> tup
     shapes = weighed.filter("shape_id IS NOT NULL").groupBy(F.col("shape_id").alias("id")).agg(*[F.first(c).alias(c) for c in ("year", "journal_key", "shape")], _floor())
     steps = shapes.select("id", "year", "journal_key", "least", F.lit(None).cast("bigint").alias("author"), F.col("shape").alias("own"), F.explode(_steps(F.col("shape"))).alias("step"))
     steps = staged(steps.select("id", "year", "journal_key", "least", "author", "step.*", *[c.alias(n) for n, c in _codes(F.col("own")).items()]).withColumn("key", F.col("mark")))
-    classes = _classes(index.filter("size(shape) > 0"), k, bonus).drop("author")
+    classes = _classes(index.filter("size(shape) > 0"), k, bonus)
     held = staged(classes.select("*", F.col("shape").alias("work_codes"), F.explode("shape").alias("key")).drop("shape"))
     # A sum in another order may differ in its last digits, so keys are visited a little beyond the threshold.
     open_ = F.coalesce(F.col("ahead") + bonus + 1e-5 >= F.col("least"), F.lit(True))
@@ -226,31 +239,57 @@ def _by_author(weighed: DataFrame, index: DataFrame, k: int, bonus: float, least
     visits = staged(visits.withColumn("key", F.xxhash64("author", "mark")))
     classes = _classes(index.filter("author IS NOT NULL"), k, bonus, "author")
     marks = F.concat("shape", F.array(F.lit(None).cast("bigint")))
-    held = classes.select("work_year", "work_journal", "author", "members", F.concat("shape", F.array("author")).alias("work_codes"), F.explode(marks).alias("mark"))
-    held = held.select("work_year", "work_journal", "members", "work_codes", F.xxhash64("author", "mark").alias("key"))
+    held = classes.select("work_year", *_within(bonus), "author", "members", F.concat("shape", F.array("author")).alias("work_codes"), F.explode(marks).alias("mark"))
+    held = held.select("work_year", *_within(bonus), "members", "work_codes", F.xxhash64("author", "mark").alias("key"))
     return _best(_met_classes(visits, held, bonus), k)
 
 
-def _first(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    """``asked`` (ref_id, year, journal_key, author, keys, ...) with the ``lead`` of each, and the top k works of each lead (lead, rank, rank_score, source, record_id).
+def _top(weighed: DataFrame, index: DataFrame, k: int, bonus: float) -> DataFrame:
+    """The first k works (id, work, source, record_id, rank_score, rank) for each ref_id of ``weighed`` (ref_id, year, journal_key, own, shape, author, floor): with a bonus, those of its journal.
 
-    What many citations ask alike is searched once, by the smallest of their ref_ids, the lead. ``bonus`` is for the same journal.
+    Works under ``floor``, if it is not null, may be left out.
     """
-    index, weights = index or search_index(works)
-    asked = staged(asked if bonus else asked.withColumn("journal_key", F.lit("")))
-    alike = ["year", "journal_key", "keys"]
-    leads = staged(asked.groupBy(*alike).agg(F.min("ref_id").alias("lead"), F.first("author").alias("author")))
-    weighed = staged(_weighed(leads.withColumnRenamed("lead", "ref_id"), weights))
     rare = weighed.select(F.col("ref_id").alias("id"), "year", "journal_key", *[c.alias(n) for n, c in _codes(F.col("own")).items()], F.explode(F.filter("own", lambda x: x["df"] <= RARE_WORKS)).alias("step"))
-    single = staged(_best(_met_works(rare.withColumn("mark", F.col("step.key")).drop("step"), index, bonus), k))
-    weighed = staged(weighed.join(dealt(_least(single, k).withColumnRenamed("id", "ref_id")), "ref_id", "left"))
+    rare = rare.withColumn("mark", F.col("step.key")).drop("step", *([] if bonus else ["journal_key"]))
+    single = staged(_best(_met_works(rare, index, bonus), k))
+    weighed = _told_apart(weighed).join(dealt(_least(single, k).withColumnRenamed("id", "ref_id")), "ref_id", "left")
+    weighed = staged(weighed.withColumn("found", F.greatest("found", "floor")).drop("floor"))
     shaped, least = _by_shape(weighed, index, k, bonus)
     authored = _by_author(weighed, index, k, bonus, least)
     to_leads = lambda df, own: weighed.select("ref_id", F.col(own).alias("id")).join(dealt(df), "id").drop("id").withColumnRenamed("ref_id", "id")
-    met = single.unionByName(to_leads(shaped, "shape_id")).unionByName(to_leads(authored, "author_id"))
-    met = met.groupBy("id", "work").agg(F.first("source").alias("source"), F.first("record_id").alias("record_id"), F.max("rank_score").alias("rank_score"))
-    owners = asked.join(dealt(leads.drop("author")), alike).drop("journal_key", "keys", "author")
-    return owners, _best(met, k).withColumnRenamed("id", "lead")
+    return _merged([single, to_leads(shaped, "shape_id"), to_leads(authored, "author_id")], k)
+
+
+def _merged(parts: list[DataFrame], k: int) -> DataFrame:
+    """The first k of what several searches met; a work's score counts once, the highest."""
+    met = functools.reduce(DataFrame.unionByName, [p.select("id", "work", "source", "record_id", "rank_score") for p in parts])
+    return _best(met.groupBy("id", "work").agg(F.first("source").alias("source"), F.first("record_id").alias("record_id"), F.max("rank_score").alias("rank_score")), k)
+
+
+def _first(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """``asked`` (ref_id, year, asked_title, asked_name, asked_journal, ...) with the ``lead`` of each, and the top k works of each lead (lead, rank, rank_score, source, record_id).
+
+    What many citations ask alike is read and searched once, by the smallest of their ref_ids, the lead. ``bonus`` is for the same journal.
+    """
+    index, weights = index or search_index(works)
+    texts = ["asked_title", "asked_name", *(["asked_journal"] if bonus else [])]
+    owners = staged(asked.withColumn("lead", F.min("ref_id").over(Window.partitionBy("year", *texts))))
+    # The smallest of those that ask alike when folded, too; with a bonus also whatever their journal (``plain``).
+    alike = lambda *kinds: F.min("ref_id").over(Window.partitionBy("year", "keys", *kinds))
+    leads = _keyed(owners.filter("ref_id = lead").select("ref_id", "year", *texts))
+    leads = staged(leads.withColumns({"plain": alike(), "first": alike("journal_key")} if bonus else {"plain": alike(), "first": alike()}))
+    owners = owners.drop("asked_title", "asked_name", "asked_journal").join(dealt(leads.select(F.col("ref_id").alias("lead"), "first")), "lead").drop("lead").withColumnRenamed("first", "lead")
+    weighed = staged(_weighed(leads.filter("ref_id = plain").select("ref_id", "year", "author", "keys"), weights))
+    top = _top(weighed.withColumns({"journal_key": F.lit(""), "floor": F.lit(None).cast("double")}), index, k, 0.0)
+    if bonus:
+        top = staged(top)
+        # Journals that no work has give no bonus.
+        own = leads.filter("ref_id = first").select("ref_id", "plain", "journal_key")
+        held = own.join(dealt(index.select("journal_key").distinct()), "journal_key")
+        floors = weighed.withColumnRenamed("ref_id", "plain").join(dealt(_least(top, k).select(F.col("id").alias("plain"), F.col("found").alias("floor"))), "plain", "left")
+        within = _top(staged(held.join(dealt(floors), "plain").drop("plain")), index, k, bonus)
+        top = _merged([within, own.select(F.col("ref_id").alias("lead"), F.col("plain").alias("id")).join(dealt(top), "id").drop("id").withColumnRenamed("lead", "id")], k)
+    return owners, top.withColumnRenamed("id", "lead")
 
 
 def _records(works: DataFrame) -> DataFrame:
@@ -266,9 +305,14 @@ def _ranked(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tup
 
 
 def _asked(citations: DataFrame, author: str, *more: str | Column) -> DataFrame:
-    named = citations.filter("year IS NOT NULL").select(
-        "ref_id", "year", F.coalesce(normalize_journal(F.col("journal")), F.lit("")).alias("journal_key"), helpers.normalize_title("title").alias("t"), helpers.normalize_author(F.expr(author)).alias("a"), *more
-    )
+    """(ref_id, year, asked_title, asked_name, asked_journal) and ``more`` of the citations that are searched."""
+    return citations.filter("year IS NOT NULL").select("ref_id", "year", F.col("title").alias("asked_title"), F.expr(author).alias("asked_name"), F.col("journal").alias("asked_journal"), *more)
+
+
+def _keyed(asked: DataFrame) -> DataFrame:
+    """(ref_id, year, journal_key, author, keys) of what is asked; without a journal its key is empty."""
+    journal = F.coalesce(normalize_journal(F.col("asked_journal")), F.lit("")) if "asked_journal" in asked.columns else F.lit("")
+    named = asked.select("ref_id", "year", journal.alias("journal_key"), helpers.normalize_title("asked_title").alias("t"), helpers.normalize_author("asked_name").alias("a"))
     keys = F.concat(_title_words(F.coalesce("t", F.lit(""))), F.when(F.col("a") != "", F.array(author_key(F.col("a")))).otherwise(F.array().cast("array<string>")))
     return named.withColumns({"author": _author_code(F.col("a")), "keys": _coded(keys)}).drop("t", "a")
 

@@ -471,7 +471,13 @@ def j7_lookup_ads(spark, sf_dir):
 #: Every citation of an article is searched; the two kinds of web page are no articles.
 ARTICLE_MODES = "mode NOT IN (8, 11)"
 SEARCHED = ("mode", "title", "year", "authors", "uses_et_al", "first_author", "journal")
-searchable = lambda spark, sf_dir: parsed(spark, sf_dir, *SEARCHED).filter(ARTICLE_MODES)
+
+
+def searchable(spark, sf_dir):
+    """The searched fields of the citations of articles. The mode is known beforehand, so web pages are not parsed for it."""
+    return staged(parse_citations(spread(fx.citations(spark, sf_dir).filter(ARTICLE_MODES), "ref_id")).select("ref_id", *SEARCHED))
+
+
 #: Every candidate of the searches by brute force: shared keys of every citation with every work of its years.
 MET = f""", titled AS (SELECT ref_id AS id, t_year AS y, t_journal AS jn, lower(t_title) AS t, lower(t_s1) AS a FROM citations WHERE {ARTICLE_MODES}
   UNION ALL SELECT -1 - work_id, year, journal, lower(title), lower(s1) FROM articles),
