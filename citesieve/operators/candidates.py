@@ -244,14 +244,19 @@ def _by_author(weighed: DataFrame, index: DataFrame, k: int, bonus: float, least
     return _best(_met_classes(visits, held, bonus), k)
 
 
-def _top(weighed: DataFrame, index: DataFrame, k: int, bonus: float) -> DataFrame:
+def _by_rare_keys(weighed: DataFrame, index: DataFrame, k: int, bonus: float) -> DataFrame:
+    """The first k by rare keys alone, for each ref_id (``id``)."""
+    rare = weighed.select(F.col("ref_id").alias("id"), "year", "journal_key", *[c.alias(n) for n, c in _codes(F.col("own")).items()], F.explode(F.filter("own", lambda x: x["df"] <= RARE_WORKS)).alias("step"))
+    rare = rare.withColumn("mark", F.col("step.key")).drop("step", *([] if bonus else ["journal_key"]))
+    return staged(_best(_met_works(rare, index, bonus), k))
+
+
+def _top(weighed: DataFrame, index: DataFrame, k: int, bonus: float, single: DataFrame | None = None) -> DataFrame:
     """The first k works (id, work, source, record_id, rank_score, rank) for each ref_id of ``weighed`` (ref_id, year, journal_key, own, shape, author, floor): with a bonus, those of its journal.
 
-    Works under ``floor``, if it is not null, may be left out.
+    Works under ``floor``, if it is not null, may be left out. ``single`` is the first k by rare keys, if at hand.
     """
-    rare = weighed.select(F.col("ref_id").alias("id"), "year", "journal_key", *[c.alias(n) for n, c in _codes(F.col("own")).items()], F.explode(F.filter("own", lambda x: x["df"] <= RARE_WORKS)).alias("step"))
-    rare = rare.withColumn("mark", F.col("step.key")).drop("step", *([] if bonus else ["journal_key"]))
-    single = staged(_best(_met_works(rare, index, bonus), k))
+    single = single or _by_rare_keys(weighed, index, k, bonus)
     weighed = _told_apart(weighed).join(dealt(_least(single, k).withColumnRenamed("id", "ref_id")), "ref_id", "left")
     weighed = staged(weighed.withColumn("found", F.greatest("found", "floor")).drop("floor"))
     shaped, least = _by_shape(weighed, index, k, bonus)
@@ -266,32 +271,48 @@ def _merged(parts: list[DataFrame], k: int) -> DataFrame:
     return _best(met.groupBy("id", "work").agg(F.first("source").alias("source"), F.first("record_id").alias("record_id"), F.max("rank_score").alias("rank_score")), k)
 
 
-def _first(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    """``asked`` (ref_id, year, asked_title, asked_name, asked_journal, ...) with the ``lead`` of each, and the top k works of each lead (lead, rank, rank_score, source, record_id).
+def _begun(asked: DataFrame, index: tuple[DataFrame, DataFrame], bonus: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``asked`` (ref_id, year, asked_title, asked_name, asked_journal, ...) with the ``lead`` of each, the leads, and their weighed keys.
 
-    What many citations ask alike is read and searched once, by the smallest of their ref_ids, the lead. ``bonus`` is for the same journal.
+    What many citations ask alike is read and searched once, by the smallest of their ref_ids, the lead.
     """
-    index, weights = index or search_index(works)
     texts = ["asked_title", "asked_name", *(["asked_journal"] if bonus else [])]
     owners = staged(asked.withColumn("lead", F.min("ref_id").over(Window.partitionBy("year", *texts))))
     # The smallest of those that ask alike when folded, too; with a bonus also whatever their journal (``plain``).
     alike = lambda *kinds: F.min("ref_id").over(Window.partitionBy("year", "keys", *kinds))
     leads = _keyed(owners.filter("ref_id = lead").select("ref_id", "year", *texts))
-    leads = staged(leads.withColumns({"plain": alike(), "first": alike("journal_key")} if bonus else {"plain": alike(), "first": alike()}))
+    leads = staged(leads.withColumns({"plain": alike(), "first": alike("journal_key") if bonus else alike()}))
     owners = owners.drop("asked_title", "asked_name", "asked_journal").join(dealt(leads.select(F.col("ref_id").alias("lead"), "first")), "lead").drop("lead").withColumnRenamed("first", "lead")
-    weighed = staged(_weighed(leads.filter("ref_id = plain").select("ref_id", "year", "author", "keys"), weights))
-    top = _top(weighed.withColumns({"journal_key": F.lit(""), "floor": F.lit(None).cast("double")}), index, k, 0.0)
+    weighed = _weighed(leads.filter("ref_id = plain").select("ref_id", "year", "author", "keys"), index[1])
+    return owners, leads, staged(weighed.withColumns({"journal_key": F.lit(""), "floor": F.lit(None).cast("double")}))
+
+
+def _first(asked: DataFrame, works: DataFrame, k: int, bonus: float, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """``asked`` with the ``lead`` of each, and the top k works of each lead (lead, rank, rank_score, source, record_id). ``bonus`` is for the same journal."""
+    index = index or search_index(works)
+    owners, leads, weighed = _begun(asked, index, bonus)
+    index, _ = index
+    top = _top(weighed, index, k, 0.0)
     if bonus:
         top = staged(top)
         # Journals that no work has give no bonus.
         own = leads.filter("ref_id = first").select("ref_id", "plain", "journal_key")
         held = own.join(dealt(index.select("journal_key").distinct()), "journal_key")
-        floors = weighed.withColumnRenamed("ref_id", "plain").join(dealt(_least(top, k).select(F.col("id").alias("plain"), F.col("found").alias("floor"))), "plain", "left")
+        floors = weighed.drop("journal_key", "floor").withColumnRenamed("ref_id", "plain").join(dealt(_least(top, k).select(F.col("id").alias("plain"), F.col("found").alias("floor"))), "plain", "left")
         within = _top(staged(held.join(dealt(floors), "plain").drop("plain")), index, k, bonus)
         top = _merged([within, own.select(F.col("ref_id").alias("lead"), F.col("plain").alias("id")).join(dealt(top), "id").drop("id").withColumnRenamed("lead", "id")], k)
     return owners, top.withColumnRenamed("id", "lead")
 
 
+def _in_whole(single: DataFrame, weighed: DataFrame) -> DataFrame:
+    """(lead, source, record_id) of the works that are first because they have all keys of the lead, a rare one among them.
+
+    Another work has a key less, or has the rare one too and was ranked with it.
+    """
+    total = weighed.select(F.col("ref_id").alias("id"), F.round(F.aggregate("own", F.lit(0.0), lambda n, x: n - x["rank"]), 6).alias("total"))
+    return single.filter("rank = 1").join(dealt(total), "id").filter("rank_score = total").select(F.col("id").alias("lead"), "source", "record_id")
+
+
 def _records(works: DataFrame) -> DataFrame:
     """(s, r, record) of the works that searches find."""
     return works.filter("source = 'Crossref'").select(F.col("source").alias("s"), F.col("record_id").alias("r"), as_record().alias("record"))
@@ -376,15 +397,34 @@ def best_choices(citations: DataFrame, works: DataFrame, fielded: bool = False,
     out only while their bounds leave the choice open. ``with_records`` gives the records of choices.
     """
     author, bonus = FIELDED if fielded else FREE
-    owners, top = _first(_asked(citations, author, "title", "authors", "uses_et_al", journal_key(F.col("journal")).alias("own_journal")), works, 5, bonus, index)
+    asked = _asked(citations, author, "title", "authors", "uses_et_al", journal_key(F.col("journal")).alias("own_journal"))
     held = _records(works).select("s", "r", _judged().alias("judged"))
-    offered = F.struct("rank", F.struct("source", "record_id", F.xxhash64("judged").alias("mark")).alias("choice"), "judged")
-    offers = top.join(dealt(held), F.expr("source = s AND record_id = r")).groupBy("lead").agg(F.sort_array(F.collect_list(offered)).alias("offers"))
+    choice = F.struct("source", "record_id", F.xxhash64("judged").alias("mark")).alias("choice")
+    judged_of = lambda df: df.join(dealt(held), F.expr("source = s AND record_id = r"))
+    if bonus:
+        owners, top = _first(asked, works, 5, bonus, index)
+        settled = None
+    else:
+        # Where the first work has all keys and agrees in full, the other four make no difference and are not searched.
+        index = index or search_index(works)
+        owners, _, weighed = _begun(asked, index, bonus)
+        single = _by_rare_keys(weighed, index[0], 5, bonus)
+        firsts = judged_of(_in_whole(single, weighed)).groupBy("lead").agg(F.min(F.struct(choice, "judged")).alias("offer"))
+        settled = staged(owners.join(dealt(firsts), "lead").filter(_agrees_in_full(F.col("offer.judged"))).select("ref_id", "offer.choice", *_in_full(), year_tolerance(F.col("year")).alias("tol")))
+        owners = staged(owners.join(dealt(settled.select("ref_id")), "ref_id", "left_anti"))
+        left = lambda df, name: df.join(dealt(owners.select(F.col("lead").alias(name)).distinct()), name, "left_semi")
+        top = _top(left(weighed, "ref_id"), index[0], 5, bonus, left(single, "id")).withColumnRenamed("id", "lead")
+    offers = judged_of(top).groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("rank", choice, "judged"))).alias("offers"))
     asked = owners.join(dealt(offers), "lead").withColumn("sure", _agrees_in_full(F.get("offers", F.lit(0))["judged"]))
     judged = helpers.best_candidate("title", "authors", "uses_et_al", "year", "own_journal", F.when(~F.col("sure"), F.transform("offers", lambda o: o["judged"])))
-    in_full = F.struct(F.lit(0).alias("at"), F.lit(1.0).alias("title_sim"), F.lit(True).alias("auth_ok"), F.lit(True).alias("jnl_ok"))
-    out = asked.withColumn("best", F.when(F.col("sure"), in_full).otherwise(judged)).select("ref_id", F.get("offers.choice", F.col("best.at")).alias("choice"), "best.*", F.lit(True).alias("year_ok"), year_tolerance(F.col("year")).alias("tol"))
-    return out.select("ref_id", "choice", F.when(F.col("at").isNotNull(), candidate_reason()).alias("reason"))
+    out = asked.withColumn("best", F.when(F.col("sure"), F.struct(*_in_full())).otherwise(judged)).select("ref_id", F.get("offers.choice", F.col("best.at")).alias("choice"), "best.*", year_tolerance(F.col("year")).alias("tol"))
+    out = out.unionByName(settled) if settled is not None else out
+    return out.withColumn("year_ok", F.lit(True)).select("ref_id", "choice", F.when(F.col("at").isNotNull(), candidate_reason()).alias("reason"))
+
+
+def _in_full() -> list[Column]:
+    """What ``helpers.best_candidate`` gives for a first record that agrees in full."""
+    return [F.lit(0).alias("at"), F.lit(1.0).alias("title_sim"), F.lit(True).alias("auth_ok"), F.lit(True).alias("jnl_ok")]
 
 
 def with_records(chosen: DataFrame, works: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import dealt
+from ..operators.staging import dealt, spread
 from ..sources.catalogue import WORKS, as_works
 
 _LETTERS = "translate(CAST({} AS STRING), '0123456789', 'abcdefghij')"
@@ -84,7 +84,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each article as Crossref, PubMed, PMC and arXiv have it, and some as ADS has it."""
-    a = articles(spark, sf_dir)
+    # A table of one row group would make every record in one task.
+    a = spread(articles(spark, sf_dir), "work_id")
     no = F.lit(None).cast("string")
     person = lambda name, given: F.struct(F.lit(given).alias("given"), F.col(name).alias("family"), no.alias("last"), no.alias("name"))
     people = F.array(person("s1", "A."), person("s2", "B."), person("s3", "C."))

@@ -40,6 +40,11 @@ RESULT = {
     "Review required": f"label <> '{classify.SUFFICIENT}'", "metadata_conflict_count": "conflict_count", "metadata_conflicts": "conflict_names", "route": "route",
     "Is Review": "is_review", "Review Source": "coalesce(review_source, '')", "Review Notes": "coalesce(review_note, '')",
 }
+#: The routes that need a lookup, and the fields that lookups and searches read; no others are moved for them.
+LOOKED_UP = ("arxiv", "doi", "pmid", "pmcid", "ads", "search")
+ASKED = (
+    "ref_id", "route", "doi", "cited_doi", "inferred_doi", "pmid", "pmcid", "arxiv_id", "ads_id", "title", "year", "authors", "uses_et_al", "first_author", "journal",
+)
 
 
 def looked_up(parsed: DataFrame, works: DataFrame, ads: bool = True, index: DataFrame | None = None) -> DataFrame:
@@ -48,19 +53,25 @@ def looked_up(parsed: DataFrame, works: DataFrame, ads: bool = True, index: Data
     All identifiers are looked up in one join with ``index`` (of ``identifiers``; made here if not given). Titles are
     searched for citations without a usable identifier, and (``ads``) in ADS for those that found nothing.
     """
-    needed = parsed.filter(F.col("route").isin("arxiv", "doi", "pmid", "pmcid", "ads", "search"))
+    needed = parsed.filter(F.col("route").isin(*LOOKED_UP))
     found = identifiers.lookup_all(needed, index if index is not None else identifiers.staged_index(works), ads)
-    search = candidates.searched(parsed.filter(F.col("route") == "search"), works).select("ref_id", F.col("record").alias("searched"), "match_reason", "had_candidate")
-    titled = candidates.title_search_unique(parsed.filter("route = 'arxiv' AND arxiv_id IS NULL"), works).select("ref_id", F.col("record").alias("unique"))
-    out = needed.drop("record", "bridge_pmid", "match_reason", "had_candidate")
-    for part in (found, search, titled):
-        out = out.join(dealt(part), "ref_id", "left")
-    out = out.withColumn("record", F.coalesce("record", "searched", "unique")).drop("searched", "unique")
-    if ads:
-        # Read twice below: staged, no lookup is planned and made again.
-        out = staged(out.withColumn("record", F.coalesce("record", "by_doi")))
-        missed = out.filter(candidates.UNFOUND).filter("doi IS NULL").drop("record")
-        found = candidates.title_search_unique(missed, works, "NASA ADS").withColumnRenamed("record", "discovered")
+    out = needed.drop("record", "bridge_pmid", "match_reason", "had_candidate").join(dealt(found), "ref_id", "left")
+    # A search makes an index of its whole catalogue, so it is only made if a citation asks for it.
+    asking = needed.filter(F.col("route") == "search")
+    if asking.isEmpty():
+        out = out.withColumns({"match_reason": F.lit(None).cast("string"), "had_candidate": F.lit(None).cast("boolean")})
+    else:
+        search = candidates.searched(asking, works).select("ref_id", F.col("record").alias("searched"), "match_reason", "had_candidate")
+        out = out.join(dealt(search), "ref_id", "left").withColumn("record", F.coalesce("record", "searched")).drop("searched")
+    untold = needed.filter("route = 'arxiv' AND arxiv_id IS NULL")
+    if not untold.isEmpty():
+        titled = candidates.title_search_unique(untold, works).select("ref_id", F.col("record").alias("unique"))
+        out = out.join(dealt(titled), "ref_id", "left").withColumn("record", F.coalesce("record", "unique")).drop("unique")
+    # Read more than once: staged, no lookup is planned and made again.
+    out = staged(out.withColumn("record", F.coalesce("record", "by_doi")) if ads else out)
+    missed = out.filter(candidates.UNFOUND).filter("doi IS NULL").drop("record")
+    if ads and not missed.isEmpty():
+        found = staged(candidates.title_search_unique(missed, works, "NASA ADS").withColumnRenamed("record", "discovered"))
         out = out.join(dealt(found), "ref_id", "left").withColumn("record", F.coalesce("record", "discovered")).drop("discovered")
     return out.drop("by_doi")
 
@@ -116,10 +127,17 @@ def validate_citations(
         if name not in citations.columns:
             citations = citations.withColumn(name, F.lit(None).cast(kind))
     parsed = staged(parse_citations(spread(citations.select("ref_id", "ref_no", "submission_id", "ref"), "ref_id")))
-    found = staged(with_doi_flags(looked_up(parsed, works, ads), registry))
-    done = classified(compare.with_evidence(compare.compared(found)), lookup_status)
+    asked = staged(parsed.filter(F.col("route").isin(*LOOKED_UP)).select(*ASKED))
+    found = looked_up(asked, works, ads)
+    # The resolver and the publication types are asked with a few fields of the records. Records and other fields meet
+    # once, by ref_id, as which they are dealt already.
+    brief = F.struct(*[F.col(f"record.{name}") for name in ("source", "doi", "dois", "title")])
+    flags = with_doi_flags(found.withColumn("record", F.when(F.col("record").isNotNull(), brief)), registry)
     if pub_types is not None:
-        done = lookup.review_lookup(done, works, pub_types)
+        flags = lookup.review_lookup(flags, works, pub_types)
+    records = found.drop(*ASKED[1:])
+    both = parsed.join(dealt(records), "ref_id").join(dealt(flags.drop(*ASKED[1:], *records.columns[1:])), "ref_id")
+    done = classified(compare.with_evidence(compare.compared(both)), lookup_status)
     web = route.web_source_rows(parsed)
     both = done.unionByName(web, allowMissingColumns=True)
     missing = {"is_review": "boolean", "review_source": "string", "review_note": "string"}
