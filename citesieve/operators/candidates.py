@@ -410,7 +410,7 @@ def best_choices(citations: DataFrame, works: DataFrame, fielded: bool = False,
         owners, _, weighed = _begun(asked, index, bonus)
         single = _by_rare_keys(weighed, index[0], 5, bonus)
         firsts = judged_of(_in_whole(single, weighed)).groupBy("lead").agg(F.min(F.struct(choice, "judged")).alias("offer"))
-        settled = staged(owners.join(dealt(firsts), "lead").filter(_agrees_in_full(F.col("offer.judged"))).select("ref_id", "offer.choice", *_in_full(), year_tolerance(F.col("year")).alias("tol")))
+        settled = staged(owners.join(dealt(firsts), "lead").filter(_agrees_in_full(F.col("offer.judged"))).select("ref_id", "offer.choice.*", year_tolerance(F.col("year")).alias("tol")))
         owners = staged(owners.join(dealt(settled.select("ref_id")), "ref_id", "left_anti"))
         left = lambda df, name: df.join(dealt(owners.select(F.col("lead").alias(name)).distinct()), name, "left_semi")
         top = _top(left(weighed, "ref_id"), index[0], 5, bonus, left(single, "id")).withColumnRenamed("id", "lead")
@@ -418,7 +418,8 @@ def best_choices(citations: DataFrame, works: DataFrame, fielded: bool = False,
     asked = owners.join(dealt(offers), "lead").withColumn("sure", _agrees_in_full(F.get("offers", F.lit(0))["judged"]))
     judged = helpers.best_candidate("title", "authors", "uses_et_al", "year", "own_journal", F.when(~F.col("sure"), F.transform("offers", lambda o: o["judged"])))
     out = asked.withColumn("best", F.when(F.col("sure"), F.struct(*_in_full())).otherwise(judged)).select("ref_id", F.get("offers.choice", F.col("best.at")).alias("choice"), "best.*", year_tolerance(F.col("year")).alias("tol"))
-    out = out.unionByName(settled) if settled is not None else out
+    if settled is not None:
+        out = out.unionByName(settled.select("ref_id", F.struct("source", "record_id", "mark").alias("choice"), *_in_full(), "tol"))
     return out.withColumn("year_ok", F.lit(True)).select("ref_id", "choice", F.when(F.col("at").isNotNull(), candidate_reason()).alias("reason"))
 
 
